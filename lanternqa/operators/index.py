@@ -15,7 +15,7 @@ document frequencies for the query terms (see ``operators.retrieve``).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,27 +48,56 @@ def document_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 @dataclass(frozen=True)
 class TermIndex:
-    """The index as DataFrames plus the parameters that produced it."""
+    """The index as DataFrames plus the parameters that produced it.
+
+    ``postings`` carries each document's length ``dl``; ``doc_ids`` lists
+    every document (also the empty ones, which have no postings).
+    """
 
     postings: DataFrame
-    docs: DataFrame
+    doc_ids: DataFrame
     ngram: int = 1
     mode: str = "any"
     unicode_form: str | None = "NFD"
     k1: float = BM25_K1
     b: float = BM25_B
 
+    @property
+    def docs(self) -> DataFrame:
+        """``(doc_id, dl)`` for every document, 0 for empty ones."""
+        lengths = self.postings.groupBy("doc_id").agg(F.first("dl").alias("dl"))
+        return (self.doc_ids.join(lengths, "doc_id", "left")
+                .select("doc_id", F.coalesce("dl", F.lit(0)).cast("long").alias("dl")))
+
     @property
     def stats(self) -> DataFrame:
         """C4: ``(n_docs, avgdl)``, one row."""
-        return self.docs.agg(F.count(F.lit(1)).alias("n_docs"),
-                             F.avg("dl").alias("avgdl"))
+        n = self.doc_ids.agg(F.count(F.lit(1)).alias("n_docs"))
+        return n.select("n_docs", (self.total_terms() / F.col("n_docs")).alias("avgdl"))
 
     def n_docs(self) -> Column:
-        return self.docs.agg(F.count(F.lit(1))).scalar()
+        """Scalar subquery: number of documents (a count of the id column)."""
+        return self.doc_ids.agg(F.count(F.lit(1))).scalar()
+
+    def total_terms(self) -> Column:
+        """Scalar subquery: kept n-grams in the corpus (= sum of all tf)."""
+        return self.postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("double")).scalar()
 
     def avgdl(self) -> Column:
-        return self.docs.agg(F.avg("dl")).scalar()
+        """Scalar subquery: mean document length, empty documents included."""
+        return self.total_terms() / self.n_docs()
+
+    def materialize(self, path: str) -> TermIndex:
+        """A10: write postings and ids as Parquet under ``path``, read them back.
+
+        One pass over the corpus builds the postings; everything after reads
+        the written columns only, and the lineage to the raw text is cut.
+        """
+        spark = self.postings.sparkSession
+        self.postings.write.mode("error").parquet(f"{path}/postings")
+        self.doc_ids.write.mode("error").parquet(f"{path}/doc_ids")
+        return replace(self, postings=spark.read.parquet(f"{path}/postings"),
+                       doc_ids=spark.read.parquet(f"{path}/doc_ids"))
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -76,11 +105,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 k1: float = BM25_K1, b: float = BM25_B) -> TermIndex:
     """Parse every document once and derive postings and lengths from it."""
     parsed = document_terms(docs, id_col, text_col, ngram, mode, unicode_form)
-    parsed = parsed.select("doc_id", "terms", F.size("terms").alias("dl"))
-    doc_rows = parsed.select("doc_id", "dl")
+    parsed = parsed.select("doc_id", "terms", F.size("terms").cast("long").alias("dl"))
     postings = term_frequencies(parsed, "terms", keep=("doc_id", "dl")) \
         .select("doc_id", "term", "tf", "dl")
-    return TermIndex(postings, doc_rows, ngram, mode, unicode_form, k1, b)
+    ids = docs.select(F.col(id_col).alias("doc_id"))
+    return TermIndex(postings, ids, ngram, mode, unicode_form, k1, b)
 
 
 def term_counts(index: TermIndex) -> DataFrame:
@@ -155,5 +184,4 @@ def hashed_index(index: TermIndex, num_buckets: int) -> TermIndex:
                 .groupBy("doc_id", "bucket")
                 .agg(F.sum("tf").cast("long").alias("tf"), F.first("dl").alias("dl"))
                 .select("doc_id", F.col("bucket").cast("string").alias("term"), "tf", "dl"))
-    return TermIndex(postings, index.docs, index.ngram, index.mode, index.unicode_form,
-                     index.k1, index.b)
+    return replace(index, postings=postings)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import parse_terms
 from .index import TermIndex, bm25_tf_part, idf, normalized_text
-from .joins import broadcast_checked
+from .joins import fits_broadcast
 
 RANKERS = ("bm25", "tfidf")
 SCORE_DIGITS = 6
@@ -55,17 +55,22 @@ def check_empty_queries(questions: DataFrame, qterms: DataFrame, strict: bool,
     return empty
 
 
-def query_vectors(qterms: DataFrame, index: TermIndex, ranker: str = "bm25") -> DataFrame:
+def query_vectors(qterms: DataFrame, index: TermIndex, ranker: str = "bm25",
+                  small: bool | None = None) -> DataFrame:
     """``(query_id, term, qweight, idf)`` with zero-idf terms pruned.
 
     BM25 keeps the raw question counts; TF-IDF uses ``ln(1+qtf) * idf``.
     ``idf`` is carried along because the document side needs it once more.
+    ``small`` says whether ``qterms`` passed the broadcast row check.
     """
     if ranker not in RANKERS:
         raise ValueError(f"unknown ranker: {ranker}")
-    qset = broadcast_checked(qterms.select("term").distinct())
-    term_idf = idf(index, qset).where(F.col("idf") > 0).select("term", "idf")
-    vec = qterms.join(term_idf, "term")
+    if small is None:
+        small = fits_broadcast(qterms)
+    qset = qterms.select("term").distinct()
+    term_idf = idf(index, F.broadcast(qset) if small else qset) \
+        .where(F.col("idf") > 0).select("term", "idf")
+    vec = qterms.join(F.broadcast(term_idf) if small else term_idf, "term")
     if ranker == "bm25":
         weight = F.col("qtf").cast("double")
     else:
@@ -73,14 +78,20 @@ def query_vectors(qterms: DataFrame, index: TermIndex, ranker: str = "bm25") ->
     return vec.select("query_id", "term", weight.alias("qweight"), "idf")
 
 
-def score_pairs(index: TermIndex, qvec: DataFrame, ranker: str = "bm25") -> DataFrame:
-    """Sparse dot product ``(query_id, doc_id, score)``, scores > 0 only."""
+def score_pairs(index: TermIndex, qvec: DataFrame, ranker: str = "bm25",
+                small: bool = True) -> DataFrame:
+    """Sparse dot product ``(query_id, doc_id, score)``, scores > 0 only.
+
+    ``small``: the question vector is broadcast (its row count is bounded
+    by the checked question-term count); otherwise a shuffle join on
+    ``term`` where AQE splits the partitions of hot terms.
+    """
     if ranker == "bm25":
         doc_weight = F.col("idf") * bm25_tf_part(F.col("tf"), F.col("dl"), index.avgdl(),
                                                 index.k1, index.b)
     else:
         doc_weight = F.log1p("tf") * F.col("idf")
-    joined = index.postings.join(broadcast_checked(qvec), "term")
+    joined = index.postings.join(F.broadcast(qvec) if small else qvec, "term")
     return (joined
             .groupBy("query_id", "doc_id")
             .agg(F.sum(F.col("qweight") * doc_weight).alias("score"))
@@ -103,7 +114,8 @@ def retrieve(index: TermIndex, questions: DataFrame, k: int = 5, ranker: str = "
     """Top-k documents for a whole question table in one job."""
     qterms = question_terms(questions, index, id_col, text_col)
     check_empty_queries(questions, qterms, strict, id_col)
-    scores = score_pairs(index, query_vectors(qterms, index, ranker), ranker)
+    small = fits_broadcast(qterms)
+    scores = score_pairs(index, query_vectors(qterms, index, ranker, small), ranker, small)
     return top_k(scores, k)
 
 

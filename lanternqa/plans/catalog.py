@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.constants import DOCS_PER_QUESTION, EVAL_CUTOFF
 from ..operators import index as ix
 from ..operators import retrieve as rt
+from ..operators.joins import fits_broadcast
+from ..session import scratch_path
 from . import fixtures as fx
 from . import oracle_sql as osql
 
@@ -20,9 +23,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def corpus_index(spark: SparkSession, sf_dir: str, unicode_form: str | None = "NFD",
-                 ngram: int = 1, mode: str = "any") -> ix.TermIndex:
-    return ix.build_index(fx.documents(spark, sf_dir), ngram=ngram, mode=mode,
-                          unicode_form=unicode_form)
+                 ngram: int = 1, mode: str = "any", materialize: bool = True) -> ix.TermIndex:
+    """The corpus index; written once to the shared checkpoint folder.
+
+    Retrieval reads the postings several times (idf of the question
+    terms, scoring, corpus length), so they are built in one pass over
+    the text and read back from Parquet instead of re-parsing the text.
+    """
+    index = ix.build_index(fx.documents(spark, sf_dir), ngram=ngram, mode=mode,
+                           unicode_form=unicode_form)
+    return index.materialize(scratch_path(spark, "index")) if materialize else index
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,14 +52,130 @@ def batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.retrieve(index, fx.questions(spark, sf_dir), k=DOCS_PER_QUESTION, ranker="bm25")
 
 
+# --- C: index build.  Term strings are shown as stored (NFC corpus), so
+# these use no Unicode normalisation; NFD is checked by ``nfd_normalize``.
+
+def _raw_index(spark: SparkSession, sf_dir: str) -> ix.TermIndex:
+    return corpus_index(spark, sf_dir, unicode_form=None, materialize=False)
+
+
+def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ix.term_counts(_raw_index(spark, sf_dir))
+
+
+def doc_freqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ix.doc_freqs(_raw_index(spark, sf_dir))
+
+
+def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ix.doc_lengths(_raw_index(spark, sf_dir))
+
+
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = ix.corpus_stats(_raw_index(spark, sf_dir))
+    return st.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ix.idf(_raw_index(spark, sf_dir))
+    return t.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = ix.tfidf_weights(_raw_index(spark, sf_dir))
+    return w.select("term", "doc_id", F.round("weight", 6).alias("weight"))
+
+
+def bm25_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = ix.bm25_weights(_raw_index(spark, sf_dir))
+    return w.select("term", "doc_id", F.round("weight", 6).alias("weight"))
+
+
+def hashed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C8 with 2**20 buckets: ``(bucket, doc_id, tf)``."""
+    h = ix.hashed_index(_raw_index(spark, sf_dir), 1 << 20)
+    return h.postings.select(F.col("term").cast("long").alias("bucket"), "doc_id", "tf")
+
+
+# --- D: retrieval pieces ---
+
+def _raw_questions(spark: SparkSession, sf_dir: str):
+    index = _raw_index(spark, sf_dir)
+    return index, rt.question_terms(fx.questions(spark, sf_dir), index)
+
+
+def query_vec_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, qterms = _raw_questions(spark, sf_dir)
+    return qterms.select("query_id", "term", F.col("qtf").cast("double").alias("weight"))
+
+
+def query_vec_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, qterms = _raw_questions(spark, sf_dir)
+    vec = rt.query_vectors(qterms, index, "tfidf")
+    return vec.select("query_id", "term", F.round("qweight", 6).alias("weight"))
+
+
+def empty_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, qterms = _raw_questions(spark, sf_dir)
+    return rt.empty_queries(fx.questions(spark, sf_dir), qterms).select("query_id")
+
+
+def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = corpus_index(spark, sf_dir)
+    qterms = rt.question_terms(fx.questions(spark, sf_dir), index)
+    small = fits_broadcast(qterms)
+    scores = rt.score_pairs(index, rt.query_vectors(qterms, index, "bm25", small), "bm25", small)
+    return scores.select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+def doc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rt.doc_index(fx.documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "bm25_topk": bm25_topk,
     "tfidf_topk": tfidf_topk,
     "batch_topk": batch_topk,
+    "term_counts": term_counts,
+    "doc_freqs": doc_freqs,
+    "doc_lengths": doc_lengths,
+    "corpus_stats": corpus_stats,
+    "idf": idf,
+    "tfidf_weights": tfidf_weights,
+    "bm25_weights": bm25_weights,
+    "hashed_index": hashed_index,
+    "query_vec_bm25": query_vec_bm25,
+    "query_vec_tfidf": query_vec_tfidf,
+    "empty_queries": empty_queries,
+    "score_pairs": score_pairs,
+    "doc_index": doc_index,
 }
 
+_IX = "WITH " + osql.index_ctes()
+_IXQ = _IX + "," + osql.question_ctes()
+
 ORACLE: dict[str, str] = {
     "bm25_topk": osql.retrieval_sql("bm25", EVAL_CUTOFF),
     "tfidf_topk": osql.retrieval_sql("tfidf", EVAL_CUTOFF),
     "batch_topk": osql.retrieval_sql("bm25", DOCS_PER_QUESTION),
+    "term_counts": _IX + " SELECT term, doc_id, tf FROM postings",
+    "doc_freqs": _IX + " SELECT term, count(*) AS df FROM postings GROUP BY term",
+    "doc_lengths": _IX + " SELECT doc_id, dl FROM docs",
+    "corpus_stats": _IX + " SELECT n_docs, round(avgdl, 6) AS avgdl FROM stats",
+    "idf": _IX + f""" SELECT term, df, round({osql.idf_expr()}, 6) AS idf
+        FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), stats""",
+    "tfidf_weights": _IX + f""" SELECT p.term, p.doc_id, round(ln(1 + p.tf) * i.idf, 6) AS weight
+        FROM postings p JOIN (SELECT term, {osql.idf_expr()} AS idf
+        FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), stats) i ON p.term = i.term""",
+    "bm25_weights": _IX + f""" SELECT p.term, p.doc_id, round(i.idf * {osql.bm25_part()}, 6) AS weight
+        FROM postings p JOIN (SELECT term, {osql.idf_expr()} AS idf
+        FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), stats) i ON p.term = i.term, stats""",
+    "query_vec_bm25": _IXQ + " SELECT query_id, term, CAST(qtf AS DOUBLE) AS weight FROM qterms",
+    "query_vec_tfidf": _IXQ + "," + osql.scores_cte("tfidf")
+        + " SELECT query_id, term, round(qweight, 6) AS weight FROM qvec",
+    "empty_queries": _IXQ + """ SELECT query_id FROM questions
+        WHERE query_id NOT IN (SELECT query_id FROM qterms)""",
+    "score_pairs": osql.retrieval_sql("bm25", 0).split("SELECT query_id, rank")[0]
+        + " SELECT query_id, doc_id, round(score, 6) AS score FROM scores",
+    "doc_index": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_index FROM documents",
 }
