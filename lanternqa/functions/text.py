@@ -115,13 +115,28 @@ def unigram_terms(text: Column | str) -> Column:
 
 
 def parse_terms(text: Column | str, n: int = 1, mode: str = "any") -> Column:
-    """Text -> uncased, filtered n-gram strings (NFD is applied by callers)."""
+    """Text -> uncased, filtered n-gram strings (NFD is applied by callers).
+
+    For ``n > 1`` prefer ``with_parsed_terms``: the n-gram lambdas read the
+    word array once per element, so it should be a materialised column.
+    """
     if n == 1 and mode == "any":
         return unigram_terms(text)
     ws = words(tokenize(text), uncased=True)
     return ngrams(ws, n, filter_fn=lambda g: filter_ngram(g, mode))
 
 
+def with_parsed_terms(df, text: Column, keep: tuple[str, ...], n: int = 1, mode: str = "any",
+                      out: str = "terms"):
+    """B11 over a DataFrame: ``(keep..., out)``; the words are a column first."""
+    if mode not in FILTER_MODES:
+        raise ValueError(f"Invalid mode: {mode}")
+    if n == 1 and mode == "any":
+        return df.select(*keep, unigram_terms(text).alias(out))
+    w = df.select(*keep, words(tokenize(text), uncased=True).alias("_w"))
+    return w.select(*keep, ngrams("_w", n, filter_fn=lambda g: filter_ngram(g, mode)).alias(out))
+
+
 def term_frequencies(df, terms_col: str = "terms", keep: tuple[str, ...] = ("doc_id",)):
     """In-row term counts: one ``(keep..., term, tf)`` row per distinct term.
 

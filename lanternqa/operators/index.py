@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrow
 from ..functions.constants import BM25_B, BM25_K1
-from ..functions.text import FILTER_MODES, parse_terms, term_frequencies
+from ..functions.text import FILTER_MODES, term_frequencies, with_parsed_terms
 
 
 def normalized_text(text: Column, unicode_form: str | None) -> Column:
@@ -41,9 +41,9 @@ def document_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if mode not in FILTER_MODES:
         raise ValueError(f"Invalid mode: {mode}")
     text = normalized_text(F.col(text_col), unicode_form)
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(parse_terms(text, ngram, mode), F.array().cast("array<string>")).alias("terms"))
+    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"))
+    parsed = with_parsed_terms(base, F.col("_text"), ("doc_id",), ngram, mode, "terms")
+    return parsed.select("doc_id", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
 
 
 @dataclass(frozen=True)

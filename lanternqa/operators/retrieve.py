@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import parse_terms
+from ..functions.text import with_parsed_terms
 from .index import TermIndex, bm25_tf_part, idf, normalized_text
 from .joins import fits_broadcast
 
@@ -32,9 +32,10 @@ def question_terms(questions: DataFrame, index: TermIndex, id_col: str = "query_
                    text_col: str = "question") -> DataFrame:
     """B11 on questions, counted: ``(query_id, term, qtf)``."""
     text = normalized_text(F.col(text_col), index.unicode_form)
-    return (questions
-            .select(F.col(id_col).alias("query_id"),
-                    F.explode(parse_terms(text, index.ngram, index.mode)).alias("term"))
+    base = questions.select(F.col(id_col).alias("query_id"), text.alias("_text"))
+    parsed = with_parsed_terms(base, F.col("_text"), ("query_id",), index.ngram, index.mode)
+    return (parsed.select("query_id", F.explode_outer("terms").alias("term"))
+            .where(F.col("term").isNotNull())
             .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 

@@ -18,6 +18,7 @@ from ..operators.joins import fits_broadcast
 from ..session import scratch_path
 from . import fixtures as fx
 from . import oracle_sql as osql
+from . import text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -179,3 +180,11 @@ ORACLE: dict[str, str] = {
         + " SELECT query_id, doc_id, round(score, 6) AS score FROM scores",
     "doc_index": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_index FROM documents",
 }
+
+
+def _register(queries: dict, oracle: dict) -> None:
+    QUERIES.update(queries)
+    ORACLE.update(oracle)
+
+
+_register(text_queries.QUERIES, text_queries.ORACLE)
