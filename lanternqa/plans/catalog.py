@@ -18,7 +18,7 @@ from ..operators.joins import fits_broadcast
 from ..session import scratch_path
 from . import fixtures as fx
 from . import oracle_sql as osql
-from . import text_queries
+from . import qa_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -188,3 +188,4 @@ def _register(queries: dict, oracle: dict) -> None:
 
 
 _register(text_queries.QUERIES, text_queries.ORACLE)
+_register(qa_queries.QUERIES, qa_queries.ORACLE)
