@@ -49,8 +49,8 @@ def mention_spans(occ: DataFrame, questions: DataFrame, docs: DataFrame) -> Data
     qlen = questions.select("query_id", F.size(F.regexp_extract_all(
         "question", F.lit(r"[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]"), 0)).alias("qlen"))
     j = occ.join(qlen, "query_id").join(spans, "doc_key")
-    s = F.col("start_idx") - F.col("qlen") - 2
-    e = F.col("end_idx") - F.col("qlen") - 2
+    s = (F.col("start_idx") - F.col("qlen") - 2).cast("int")
+    e = (F.col("end_idx") - F.col("qlen") - 2).cast("int")
     return j.select("query_id", "mention_idx", "pred_rank", "span", "doc_key", "text",
                     F.try_element_at("toks", s + 1)["start"].cast("long").alias("char_start"),
                     F.try_element_at("toks", e + 1)["end"].cast("long").alias("char_end"))
