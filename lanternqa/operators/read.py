@@ -3,7 +3,7 @@
 Each passage is one row holding its token sequence and its start / end
 logit arrays, as a span model emits them.  Valid spans (after the first
 separator, before the last, at most ``max_answer_len`` tokens) are
-generated in-row - ``max_answer_len`` ends per start instead of all
+scored per passage - ``max_answer_len`` ends per start instead of all
 ``L x L`` pairs - and cut to the passage's best ``n_best`` spans there.
 That cut is exact: a question's n-best are among the union of its
 passages' n-best.  Only then are spans exploded and ranked per question
@@ -14,11 +14,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import CLS, EMITTED_SPANS, EMPTY_PASSAGE, MAX_ANSWER_TOKENS, N_BEST, SEP
 from ..functions.text import tokenize, words
+from ..session import checkpoint_dir
 
 AGGREGATIONS = ("sum", "none")
 LOGIT_DIGITS = 6
@@ -85,39 +89,97 @@ def score_passages(enc: DataFrame, token_logits: Callable[[Column, Column], Colu
                       relevance(doc).alias("rel"))
 
 
+def materialize_passages(scored: DataFrame) -> DataFrame:
+    """Reliable checkpoint of the scored passages (shared checkpoint folder).
+
+    The span lambdas index the token and logit arrays once per span; after
+    the checkpoint those are stored columns, so the optimizer cannot fold
+    the tokenising expressions into the lambdas, and retrieval upstream is
+    not re-run by the later stages.  Size: questions x retrieved passages.
+    """
+    checkpoint_dir(scored.sparkSession)
+    return scored.checkpoint(eager=True)
+
+
+def _passage_topn(max_answer_len: int, n_best: int):
+    """Per Arrow batch: each passage's valid spans scored with numpy; the
+    spans within 2e-6 of its ``n_best``-th raw logit are kept (exact once
+    Spark rounds to 6 digits and ranks, as rounding is monotone)."""
+    schema = pa.schema([("query_id", pa.int64()), ("passage_idx", pa.int64()), ("doc_key", pa.string()),
+                        ("start_idx", pa.int64()), ("end_idx", pa.int64()), ("raw_logit", pa.float64()),
+                        ("span", pa.string())])
+
+    def run(batches):
+        for b in batches:
+            out = {k: [] for k in schema.names}
+            qid, pidx, dkey = (b.column(c).to_pylist() for c in ("query_id", "passage_idx", "doc_key"))
+            sep1 = b.column("sep1").to_numpy(zero_copy_only=False)
+            sep2 = b.column("sep2").to_numpy(zero_copy_only=False)
+            rel = b.column("rel").to_numpy(zero_copy_only=False)
+            seq, sl, el = b.column("seq"), b.column("start_logits"), b.column("end_logits")
+            q_off = seq.offsets.to_numpy()
+            spans_at = []
+            s_off, s_val = sl.offsets.to_numpy(), sl.values.to_numpy(zero_copy_only=False)
+            e_off, e_val = el.offsets.to_numpy(), el.values.to_numpy(zero_copy_only=False)
+            for r in range(b.num_rows):
+                lo, hi = int(sep1[r]) + 1, int(sep2[r]) - 1
+                if hi < lo:
+                    continue
+                st = s_val[s_off[r]:s_off[r + 1]]
+                en = e_val[e_off[r]:e_off[r + 1]]
+                starts = np.arange(lo, hi + 1)
+                grid = np.full((len(starts), max_answer_len), -np.inf)
+                for o in range(max_answer_len):
+                    ok = starts + o <= hi
+                    grid[ok, o] = st[starts[ok]] + en[starts[ok] + o] + rel[r]
+                flat = grid.ravel()
+                finite = np.isfinite(flat)
+                if len(flat) > n_best:
+                    cut = np.partition(flat, len(flat) - n_best)[len(flat) - n_best]
+                    keep = np.nonzero(finite & (flat >= cut - 2e-6))[0]
+                else:
+                    keep = np.nonzero(finite)[0]
+                for k in keep.tolist():
+                    i, j = lo + k // max_answer_len, lo + k // max_answer_len + k % max_answer_len
+                    out["query_id"].append(qid[r])
+                    out["passage_idx"].append(pidx[r])
+                    out["doc_key"].append(dkey[r])
+                    out["start_idx"].append(i)
+                    out["end_idx"].append(j)
+                    out["raw_logit"].append(float(flat[k]))
+                    spans_at.append((int(q_off[r]) + i, j - i + 1))
+            # only the tokens of kept spans leave Arrow
+            idx = [a + t for a, n in spans_at for t in range(n)]
+            words_ = pc.take(seq.values, pa.array(idx, type=pa.int64())).to_pylist() if idx else []
+            pos = 0
+            for _, n in spans_at:
+                out["span"].append(" ".join(words_[pos:pos + n]))
+                pos += n
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
+    return run
+
+
 def passage_spans(scored: DataFrame, max_answer_len: int = MAX_ANSWER_TOKENS,
                   n_best: int = N_BEST) -> DataFrame:
-    """E5 + E6 + E8: the best ``n_best`` valid spans of each passage, exploded.
+    """E5 + E6 + E8: each passage's best valid spans, one row per span.
 
     Output ``(query_id, passage_idx, doc_key, start_idx, end_idx, logit, span)``
-    with ``logit`` rounded to 6 digits (ranking and ties use it).
+    with ``logit`` rounded to 6 digits (ranking and ties use it).  Span
+    scoring is tensor arithmetic on the model output, so it runs as one
+    vectorised numpy step per passage inside the task (``mapInArrow``);
+    the per-question ranking after it is Spark's.
     """
-    spans = scored.select(
-        "query_id", "passage_idx", "doc_key", "seq",
-        F.flatten(F.transform(
-            F.sequence(F.col("sep1") + 1, F.greatest(F.col("sep2") - 1, F.col("sep1") + 1)),
-            lambda i: F.transform(
-                F.sequence(i, F.least(i + (max_answer_len - 1), F.col("sep2") - 1)),
-                lambda j: F.struct(
-                    (-F.round(F.element_at("start_logits", i + 1) + F.element_at("end_logits", j + 1)
-                              + F.col("rel"), LOGIT_DIGITS)).alias("neg_logit"),
-                    i.alias("start_idx"), j.alias("end_idx"))))).alias("_all"),
-        # The logit arrays are referenced outside the lambdas as well, so the
-        # optimizer keeps them materialised instead of inlining their
-        # expressions into the per-span lambda.
-        ((F.col("sep2") - F.col("sep1") > 1) & (F.size("start_logits") == F.size("seq"))
-         & (F.size("end_logits") == F.size("seq"))).alias("_has"))
-    best = spans.select("query_id", "passage_idx", "doc_key", "seq",
-                        F.when(F.col("_has"), F.slice(F.sort_array("_all"), 1, n_best))
-                        .otherwise(F.array().cast(spans.schema["_all"].dataType)).alias("_best"))
-    out = best.select("query_id", "passage_idx", "doc_key", "seq", F.explode_outer("_best").alias("s")) \
-        .where(F.col("s").isNotNull())
-    return out.select("query_id", "passage_idx", "doc_key",
-                      F.col("s.start_idx").cast("long").alias("start_idx"),
-                      F.col("s.end_idx").cast("long").alias("end_idx"),
-                      (-F.col("s.neg_logit")).alias("logit"),
-                      F.array_join(F.slice("seq", F.col("s.start_idx") + 1,
-                                           F.col("s.end_idx") - F.col("s.start_idx") + 1), " ").alias("span"))
+    cols = ["query_id", "passage_idx", "doc_key", "seq", "sep1", "sep2",
+            "start_logits", "end_logits", "rel"]
+    src = scored.select(*[F.col(c).cast("long") if c in ("query_id", "passage_idx", "sep1", "sep2")
+                          else F.col(c).cast("double") if c == "rel" else F.col(c) for c in cols])
+    src = src.withColumn("start_logits", F.col("start_logits").cast("array<double>")) \
+        .withColumn("end_logits", F.col("end_logits").cast("array<double>"))
+    spans = src.mapInArrow(_passage_topn(max_answer_len, n_best),
+                           "query_id long, passage_idx long, doc_key string, start_idx long, end_idx long, "
+                           "raw_logit double, span string")
+    return spans.select("query_id", "passage_idx", "doc_key", "start_idx", "end_idx",
+                        F.round("raw_logit", LOGIT_DIGITS).alias("logit"), "span")
 
 
 def nbest(spans: DataFrame, n_best: int = N_BEST) -> DataFrame:
@@ -163,6 +225,6 @@ def read(retrieved: DataFrame, questions: DataFrame, docs: DataFrame,
     """E1-E11 end to end."""
     enc = pair_encoding(reader_pairs(retrieved, questions, docs), max_length)
     enc = enc.withColumn("doc_num", F.coalesce(F.col("doc_key").try_cast("long"), F.lit(0)))
-    scored = score_passages(enc, token_logits, end_logits, relevance)
+    scored = materialize_passages(score_passages(enc, token_logits, end_logits, relevance))
     spans = passage_spans(scored, max_answer_len, n_best)
     return aggregate_spans(nbest(spans, n_best), aggregation, top)

@@ -73,7 +73,8 @@ def _scored(spark, sf_dir):
 
 
 def _nbest(spark, sf_dir, max_len=MAX_ANSWER_TOKENS):
-    return rd.nbest(rd.passage_spans(_scored(spark, sf_dir), max_len, N_BEST), N_BEST)
+    scored = rd.materialize_passages(_scored(spark, sf_dir))
+    return rd.nbest(rd.passage_spans(scored, max_len, N_BEST), N_BEST)
 
 
 def reader_pairs(spark, sf_dir):
