@@ -18,7 +18,7 @@ from ..operators.joins import fits_broadcast
 from ..session import scratch_path
 from . import fixtures as fx
 from . import oracle_sql as osql
-from . import qa_queries, text_queries
+from . import qa_queries, source_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -180,6 +180,7 @@ ORACLE: dict[str, str] = {
         + " SELECT query_id, doc_id, round(score, 6) AS score FROM scores",
     "doc_index": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_index FROM documents",
 }
+ORACLE["index_roundtrip"] = ORACLE["term_counts"]
 
 
 def _register(queries: dict, oracle: dict) -> None:
@@ -189,3 +190,4 @@ def _register(queries: dict, oracle: dict) -> None:
 
 _register(text_queries.QUERIES, text_queries.ORACLE)
 _register(qa_queries.QUERIES, qa_queries.ORACLE)
+_register(source_queries.QUERIES, source_queries.ORACLE)
