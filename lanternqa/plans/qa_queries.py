@@ -356,3 +356,24 @@ ORACLE = {
     "remap_predictions": VEC_SQL + """ SELECT f.query_id, row_number() OVER (PARTITION BY f.query_id ORDER BY f.fused_rank) AS rank,
         i.value AS entity FROM fused f JOIN imap i ON i.key = CAST(f.entity_id AS VARCHAR)""",
 }
+
+
+_OCC_SQL = _SPAN_SUM_CTE + """,
+occ0 AS (SELECT r.query_id, r.rank AS pred_rank, n.doc_key, n.start_idx, n.end_idx,
+         row_number() OVER (PARTITION BY r.query_id, r.rank ORDER BY n.nbest_rank) - 1 AS occ
+         FROM ranked r JOIN nb n ON n.query_id = r.query_id AND n.span = r.span WHERE r.rank <= 30),
+occ AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pred_rank, occ) - 1 AS mention_idx,
+        pred_rank, occ, doc_key, start_idx, end_idx FROM occ0)"""
+
+
+def _mention_spans_sql() -> str:
+    from .text_queries import TOKS_CTE
+    return _OCC_SQL + "," + TOKS_CTE + f""",
+ms AS (SELECT o.*, len({tokens('b.text')}) AS qlen FROM occ o JOIN benchmark b ON b.item_id = o.query_id)
+SELECT ms.query_id, ms.mention_idx, ms.doc_key, a.start AS char_start, z."end" AS char_end FROM ms
+LEFT JOIN toks a ON a.doc_id = CAST(ms.doc_key AS BIGINT) AND a.pos = ms.start_idx - ms.qlen - 2
+LEFT JOIN toks z ON z.doc_id = CAST(ms.doc_key AS BIGINT) AND z.pos = ms.end_idx - ms.qlen - 2"""
+
+
+ORACLE["occurrences"] = _OCC_SQL + " SELECT * FROM occ"
+ORACLE["mention_spans"] = _mention_spans_sql()
