@@ -6,4 +6,12 @@ Sub-packages: ``functions`` (Column expressions), ``operators``
 (retrieval over a stream of questions).
 """
 
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package that run in Python workers are sent by value, so
+# executors need neither the package on their path nor ``--py-files``.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __version__ = "0.1.0"
