@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,14 +102,34 @@ def mask_of(rules: Iterable[str]) -> int:
     return mask
 
 
+def failure_bits() -> Column:
+    """Bit *i* is set where rule *i* fails, over the columns ``MEASURES``."""
+    bits = F.lit(0).cast("long")
+    for name, failed in RULES:
+        bits = bits.bitwiseOR(F.when(failed(), F.lit(BIT[name]).cast("long")).otherwise(F.lit(0).cast("long")))
+    return bits
+
+
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, *MEASURES, failures)``, one row per document, no shuffle."""
     fields = [(m, pa.int64(), "long") for m in MEASURES]
     measured = map_texts(id_and_text(docs, id_col, text_col), measure, fields)
-    bits = F.lit(0).cast("long")
-    for name, failed in RULES:
-        bits = bits.bitwiseOR(F.when(failed(), F.lit(BIT[name]).cast("long")).otherwise(F.lit(0).cast("long")))
-    return measured.withColumn("failures", bits)
+    return measured.withColumn("failures", failure_bits())
+
+
+def kept_documents(docs: DataFrame, policy: str, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the policy keeps, columns as they were; no shuffle.
+
+    The measurements stand beside each row, so ids need not be unique.
+    """
+    @F.pandas_udf(", ".join(f"{m} long" for m in MEASURES))
+    def measured(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([measure(t or "") for t in texts], columns=list(MEASURES), dtype="int64")
+
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    beside = docs.select(F.struct(*own).alias("__row"), measured(F.col(text_col).cast("string")).alias("__m"))
+    bits = beside.select("__row", "__m.*").withColumn("failures", failure_bits())
+    return bits.where(~rejected(policy)).select("__row.*")
 
 
 def rejected(policy: str, failures: str = "failures") -> Column:
