@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, quality_rules, secret_scan, sharding, simhash, toxicity, url_filter
+from . import graph_ann, line_dedup, mixing, packing, quality_rules, secret_scan, sharding, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -29,6 +29,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return graph_ann.nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(table(spark, sf_dir, "documents"))
     judged = quality_rules.apply_policy(book, "v1")
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
+    "op4_graph_ann": op4_graph_ann,
     "op5_quality_rules": op5_quality_rules,
     "op6_url_filter": op6_url_filter,
     "op7_mixing": op7_mixing,
