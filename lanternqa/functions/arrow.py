@@ -6,6 +6,8 @@ callers apply them to distinct values where that shrinks the work.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,12 +21,6 @@ def nfd(text: pa.Array) -> pa.Array:
     return pc.utf8_normalize(text, "NFD")
 
 
-@F.arrow_udf(T.StringType())
-def nfc(text: pa.Array) -> pa.Array:
-    """Unicode NFC, for showing NFD terms in the form the corpus stores."""
-    return pc.utf8_normalize(text, "NFC")
-
-
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def segment_starts(segments: pa.Array) -> pa.Array:
     """Code-point start offset of every segment in a tiling of a text.
@@ -48,54 +44,74 @@ def segment_starts(segments: pa.Array) -> pa.Array:
                                     mask=segments.is_null())
 
 
-def murmur3_32(data: bytes, seed: int = 0) -> int:
-    """Unsigned MurmurHash3 x86 32-bit of ``data`` (public algorithm)."""
-    c1, c2, mask = 0xCC9E2D51, 0x1B873593, 0xFFFFFFFF
-    h = seed & mask
-    n = len(data)
-    body = n - (n % 4)
-    for k in np.frombuffer(data[:body], dtype="<u4").tolist():
-        k = (k * c1) & mask
-        k = ((k << 15) | (k >> 17)) & mask
-        k = (k * c2) & mask
-        h ^= k
-        h = ((h << 13) | (h >> 19)) & mask
-        h = (h * 5 + 0xE6546B64) & mask
-    tail = data[body:]
-    if tail:
-        k = int.from_bytes(tail, "little")
-        k = (k * c1) & mask
-        k = ((k << 15) | (k >> 17)) & mask
-        k = (k * c2) & mask
-        h ^= k
-    h ^= n
-    h ^= h >> 16
-    h = (h * 0x85EBCA6B) & mask
-    h ^= h >> 13
-    h = (h * 0xC2B2AE35) & mask
-    h ^= h >> 16
-    return h
+def _rotl(x: np.ndarray, r: int) -> np.ndarray:
+    return (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+
+
+def _mixed(k: np.ndarray) -> np.ndarray:
+    return _rotl(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+
+
+def murmur3_32(data: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Unsigned MurmurHash3 x86 32-bit (public algorithm) of every row of a
+    ``(n, length)`` byte matrix."""
+    n, length = data.shape
+    h = np.full(n, seed, dtype=np.uint32)
+    whole = length // 4
+    if whole:
+        body = np.ascontiguousarray(data[:, :4 * whole]).view("<u4")
+        for i in range(whole):
+            h = _rotl(h ^ _mixed(body[:, i]), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    if length % 4:
+        tail = np.zeros((n, 4), dtype=np.uint8)
+        tail[:, :length % 4] = data[:, 4 * whole:]
+        h ^= _mixed(tail.view("<u4")[:, 0])
+    h ^= np.uint32(length)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+    return h ^ (h >> np.uint32(16))
 
 
 @F.arrow_udf(T.LongType())
 def murmur3_unsigned(terms: pa.Array) -> pa.Array:
-    """B12 helper: unsigned murmur3_32 (seed 0) of each UTF-8 term."""
-    out = [None if t is None else murmur3_32(t.encode("utf-8"))
-           for t in terms.to_pylist()]
-    return pa.array(out, type=pa.int64())
+    """B12 helper: unsigned murmur3_32 (seed 0) of each UTF-8 term; terms of
+    the same length are hashed together."""
+    if isinstance(terms, pa.ChunkedArray):
+        terms = terms.combine_chunks()
+    raw = terms.cast(pa.large_binary())
+    lengths = pc.binary_length(raw).fill_null(-1).to_numpy(zero_copy_only=False)
+    out = np.zeros(len(terms), dtype=np.int64)
+    for length in np.unique(lengths[lengths >= 0]):
+        at = np.flatnonzero(lengths == length)
+        data = b"".join(raw.take(pa.array(at)).to_pylist())
+        out[at] = murmur3_32(np.frombuffer(data, dtype=np.uint8).reshape(len(at), int(length)))
+    return pa.array(out, mask=lengths < 0)
 
 
-def _valid_java_regex(pattern: str) -> bool:
-    import re
+_NAMED = re.compile(r"\(\?P(?:<(\w+)>|=(\w+)\))")  # (?P<name> and (?P=name)
+
+
+def java_pattern(pattern: str) -> str | None:
+    """The answer pattern in Java's syntax; None where it does not compile.
+
+    Patterns are checked in the dialect they come in (``regex``: Unicode
+    classes, named groups as ``(?P<n>..)`` and ``(?P=n)``).
+    """
+    import regex
     try:
-        re.compile(pattern)
-    except re.error:
-        return False
-    return True
+        regex.compile(pattern, regex.IGNORECASE | regex.UNICODE | regex.MULTILINE)
+    except regex.error:
+        return None
+    names: dict[str, str] = {}
 
+    def renamed(m: re.Match) -> str:  # Java names hold letters and digits only
+        name = names.setdefault(m[1] or m[2], f"g{len(names)}")
+        return f"(?<{name}>" if m[1] else rf"\k<{name}>"
 
-@F.arrow_udf(T.BooleanType())
-def regex_is_valid(patterns: pa.Array) -> pa.Array:
-    """G2 helper: does the pattern compile?  Applied to distinct patterns."""
-    return pa.array([None if p is None else _valid_java_regex(p)
-                     for p in patterns.to_pylist()], type=pa.bool_())
+    return _NAMED.sub(renamed, pattern)
+
+
+@F.arrow_udf(T.StringType())
+def regex_for_java(patterns: pa.Array) -> pa.Array:
+    """G2 helper: ``java_pattern`` of every pattern; apply it to distinct ones."""
+    return pa.array([None if p is None else java_pattern(p) for p in patterns.to_pylist()], type=pa.string())

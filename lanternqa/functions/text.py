@@ -106,12 +106,12 @@ def ngrams(ws: Column | str, n: int = 1,
 def unigram_terms(text: Column | str) -> Column:
     """B8+B10 for n=1, mode 'any', straight from the text.
 
-    Punctuation tokens are skipped by the pattern itself and the text is
-    lower-cased once before scanning (case mapping keeps letters, marks and
-    numbers in their classes, so the token boundaries do not move).
+    Punctuation tokens are skipped by the pattern itself.  Each token is
+    lower-cased by itself, as lower case can depend on what follows (a
+    final sigma) and the next token must not count.
     """
-    found = F.regexp_extract_all(F.lower(_col(text)), F.lit(KEPT_TOKEN_PATTERN), 0)
-    return F.filter(found, lambda w: ~w.isin(*STOPWORDS))
+    found = F.regexp_extract_all(_col(text), F.lit(KEPT_TOKEN_PATTERN), 0)
+    return F.filter(F.transform(found, F.lower), lambda w: ~w.isin(*STOPWORDS))
 
 
 def parse_terms(text: Column | str, n: int = 1, mode: str = "any") -> Column:
@@ -146,7 +146,7 @@ def term_frequencies(df, terms_col: str = "terms", keep: tuple[str, ...] = ("doc
     projection so the lambdas read materialised arrays, not expressions.
     """
     keep_cols = [F.col(c) for c in keep]
-    s = df.select(*keep_cols, F.array_sort(terms_col).alias("_s"))
+    s = df.select(*keep_cols, F.sort_array(terms_col).alias("_s"))
     s = s.select(*keep, "_s", F.size("_s").alias("_n"))
     starts = s.select(*keep, "_s", "_n", F.filter(
         F.sequence(F.lit(1), F.greatest(F.col("_n"), F.lit(1))),

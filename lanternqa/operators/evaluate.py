@@ -1,7 +1,9 @@
 """Answer containment, retrieval accuracy, Hits@k and MRR.
 
 All metrics are joins plus partial/final aggregations; nothing is
-collected.  Document texts are fetched once per distinct retrieved id.
+collected.  Totals count the question or list table, so questions without
+documents, answers or predictions stay in them; a row that refers to
+something missing raises.
 """
 
 from __future__ import annotations
@@ -12,22 +14,20 @@ from pyspark.sql import functions as F
 from ..functions import arrow
 from ..functions.text import contains_token_run, normalize_answer, tokenize, words
 from .index import normalized_text
-from .joins import fits_broadcast
+from .joins import attach_text
 
 MATCH_MODES = ("string", "regex")
 NEVER = "(?!)"
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if fits_broadcast(df) else df
+REGEX_FLAGS = "(?iUmd)"  # case, Unicode, line ends; only \\n ends a line
 
 
 def retrieved_texts(retrieved: DataFrame, docs: DataFrame, n_docs: int) -> DataFrame:
-    """G4 + A3: the first ``n_docs`` of each list with the document text."""
+    """G4 + A3: the first ``n_docs`` of each list with the document text.
+
+    A retrieved id without a document is an error, not a dropped row.
+    """
     top = retrieved.where(F.col("rank") <= n_docs).select("query_id", "rank", "doc_id")
-    ids = top.select("doc_id").distinct()
-    texts = docs.join(_small(ids), "doc_id", "left_semi").select("doc_id", "text")
-    return top.join(texts, "doc_id")
+    return attach_text(top, docs)
 
 
 def answer_hits(retrieved: DataFrame, docs: DataFrame, answers: DataFrame, n_docs: int = 5,
@@ -37,7 +37,8 @@ def answer_hits(retrieved: DataFrame, docs: DataFrame, answers: DataFrame, n_doc
     ``string``: any answer's uncased token run occurs in the uncased tokens
     of the (NFD) text.  ``regex``: ``answer[0]`` is searched case-
     insensitively, Unicode-aware and multi-line; a pattern that does not
-    compile is a miss (checked once per distinct pattern).
+    compile is a miss (checked once per distinct pattern).  A question
+    without answers has no hit.
     """
     if match not in MATCH_MODES:
         raise ValueError(f"unknown match mode: {match}")
@@ -50,24 +51,31 @@ def answer_hits(retrieved: DataFrame, docs: DataFrame, answers: DataFrame, n_doc
             .where(F.col("a").isNotNull())
         ans = ans.select("query_id", words(tokenize(normalized_text(F.col("a"), unicode_form)),
                                            uncased=True).alias("aw"))
-        hits = doc_words.join(ans, "query_id").select(
-            "query_id", "rank", "doc_id", contains_token_run(F.col("dw"), F.col("aw")).alias("hit"))
+        hits = doc_words.join(ans, "query_id", "left").select(
+            "query_id", "rank", "doc_id",
+            F.coalesce(contains_token_run(F.col("dw"), F.col("aw")), F.lit(False)).alias("hit"))
         return hits.groupBy("query_id", "rank", "doc_id").agg(F.max("hit").alias("hit"))
     first = answers.select("query_id", F.get(F.col("answer"), 0).alias("pattern"))
     first = first.withColumn("pattern", normalized_text(F.col("pattern"), unicode_form))
     checked = first.select("pattern").distinct().where(F.col("pattern").isNotNull())
-    checked = checked.select("pattern", arrow.regex_is_valid(F.col("pattern")).alias("ok"))
+    checked = checked.select("pattern", arrow.regex_for_java(F.col("pattern")).alias("java"))
     safe = first.join(checked, "pattern", "left").select(
-        "query_id", F.when(F.col("ok"), F.col("pattern")).otherwise(F.lit(NEVER)).alias("pattern"))
+        "query_id", F.coalesce("java", F.lit(NEVER)).alias("pattern"))
     text = normalized_text(F.col("text"), unicode_form)
-    return pairs.join(safe, "query_id").select(
+    return pairs.join(safe, "query_id", "left").select(
         "query_id", "rank", "doc_id",
-        F.regexp_like(text, F.concat(F.lit("(?iUm)"), F.col("pattern"))).alias("hit"))
+        F.coalesce(F.regexp_like(text, F.concat(F.lit(REGEX_FLAGS), F.coalesce("pattern", F.lit(NEVER)))),
+                   F.lit(False)).alias("hit"))
 
 
-def retrieval_hits(hits: DataFrame) -> DataFrame:
-    """``(query_id, hit)`` = 1 when any of the first n documents hit."""
-    return hits.groupBy("query_id").agg(F.max(F.col("hit").cast("int")).cast("long").alias("hit"))
+def retrieval_hits(hits: DataFrame, questions: DataFrame) -> DataFrame:
+    """``(query_id, hit)`` for every question, 1 when any of the first n documents hit.
+
+    Questions without retrieved documents or without answers count as misses.
+    """
+    per = hits.groupBy("query_id").agg(F.max(F.col("hit").cast("int")).cast("long").alias("hit"))
+    return questions.select("query_id").join(per, "query_id", "left") \
+        .select("query_id", F.coalesce("hit", F.lit(0)).cast("long").alias("hit"))
 
 
 def retrieval_accuracy(per_query: DataFrame) -> DataFrame:
@@ -78,44 +86,59 @@ def retrieval_accuracy(per_query: DataFrame) -> DataFrame:
                       F.round(F.try_divide(F.col("matches") * 100.0, F.col("total")), 6).alias("accuracy"))
 
 
+def _answered(lists: DataFrame, gold: DataFrame) -> DataFrame:
+    """The prediction lists' questions, once each; one without a gold row is an error."""
+    known = gold.select("query_id").distinct().withColumn("_known", F.lit(True))
+    checked = lists.select("query_id").distinct().join(known, "query_id", "left")
+    missing = F.raise_error(F.concat(F.lit("no answer for question "), F.col("query_id").cast("string")))
+    return checked.select(F.when(F.col("_known"), F.col("query_id")).otherwise(missing.cast("long")).alias("query_id"))
+
+
 def hits_at_k(predictions: DataFrame, gold: DataFrame, k: int, item: str = "item",
-              normalize: bool = False) -> DataFrame:
-    """``(total, hits, hits_at_k)`` over the queries with predictions.
+              normalize: bool = False, lists: DataFrame | None = None) -> DataFrame:
+    """``(total, hits, hits_at_k)`` over the prediction lists.
 
-    ``predictions(query_id, rank, item)``; ``gold(query_id, item)``.  With
-    ``normalize`` both sides go through NFD and answer normalisation.
+    ``predictions(query_id, rank, item)``; ``gold(query_id, item)``;
+    ``lists(query_id)`` names every list, empty ones included (default: the
+    questions that have predictions).  With ``normalize`` both sides go
+    through NFD and answer normalisation.
     """
     preds = predictions.where(F.col("rank") <= k).select("query_id", F.col(item).alias("v"))
     gold_v = gold.select("query_id", F.col(item).alias("v"))
     if normalize:
         preds = preds.select("query_id", normalize_answer(arrow.nfd(F.col("v"))).alias("v"))
         gold_v = gold_v.select("query_id", normalize_answer(arrow.nfd(F.col("v"))).alias("v"))
-    queries = predictions.select("query_id").distinct()
+    queries = _answered(predictions if lists is None else lists, gold)
     hit = preds.join(gold_v, ["query_id", "v"], "left_semi").select("query_id").distinct() \
         .withColumn("h", F.lit(1))
     agg = queries.join(hit, "query_id", "left").agg(
-        F.count(F.lit(1)).alias("total"), F.coalesce(F.sum("h"), F.lit(0)).cast("long").alias("hits"))
+        F.count("query_id").alias("total"), F.coalesce(F.sum("h"), F.lit(0)).cast("long").alias("hits"))
     return agg.select("total", "hits",
                       F.round(F.try_divide(F.col("hits") * 100.0, F.col("total")), 6).alias("hits_at_k"))
 
 
-def mean_reciprocal_rank(predictions: DataFrame, gold: DataFrame, item: str = "item") -> DataFrame:
-    """Mean over queries of ``max over golds of 1 / first rank`` (0 if absent)."""
+def mean_reciprocal_rank(predictions: DataFrame, gold: DataFrame, item: str = "item",
+                         lists: DataFrame | None = None) -> DataFrame:
+    """Mean over the lists of ``max over golds of 1 / first rank`` (0 if absent)."""
     per_gold = predictions.join(gold.select("query_id", item), ["query_id", item]) \
         .groupBy("query_id").agg(F.min("rank").alias("best"))
-    queries = predictions.select("query_id").distinct()
+    queries = _answered(predictions if lists is None else lists, gold)
     rr = queries.join(per_gold, "query_id", "left").select(
         "query_id", F.coalesce(1.0 / F.col("best"), F.lit(0.0)).alias("rr"))
-    return rr.agg(F.count(F.lit(1)).alias("total"), F.round(F.avg("rr"), 6).alias("mrr"))
+    return rr.agg(F.count("query_id").alias("total"), F.round(F.avg("rr"), 6).alias("mrr"))
 
 
 def remap_predictions(predictions: DataFrame, ent_map: DataFrame | None,
                       item: str = "item") -> DataFrame:
-    """With a map, drop blanks, map ids, close up ranks; without, unchanged."""
+    """With a map, drop blanks, map ids, close up ranks; without, unchanged.
+
+    An id that the map lacks is an error.
+    """
     if ent_map is None:
         return predictions
     kept = predictions.where(F.col(item).isNotNull() & (F.col(item) != ""))
-    mapped = kept.join(ent_map.select(F.col("key").alias(item), "value"), item)
+    mapped = kept.join(ent_map.select(F.col("key").alias(item), "value"), item, "left")
+    missing = F.raise_error(F.concat(F.lit("not in the entity map: "), F.col(item)))
     w = Window.partitionBy("query_id").orderBy("rank")
     return mapped.select("query_id", F.row_number().over(w).cast("long").alias("rank"),
-                         F.col("value").alias(item))
+                         F.coalesce("value", missing.cast("string")).alias(item))

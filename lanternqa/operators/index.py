@@ -5,12 +5,14 @@ Layout (all long form, one row per fact):
 * ``postings(doc_id, term, tf, dl)`` - produced in the document's own row:
   the document is parsed, its terms are counted in-row and exploded, so
   building postings needs no shuffle at all.
-* ``docs(doc_id, dl)`` - kept n-grams per document (empty documents: 0).
-* ``stats(n_docs, avgdl)`` - one row, used through scalar subqueries.
-* document frequencies are a partial + final aggregation of postings.
-
-Weights are computed from those tables on demand; retrieval only needs
-document frequencies for the query terms (see ``operators.retrieve``).
+* ``docs(doc_id, dl)`` - kept n-grams per document (empty documents: 0),
+  from the parsed row as well.
+* ``terms(term, df)`` - partial + final aggregation of the postings.
+* ``meta`` - one row: ``n_docs``, ``total_terms``, and the parameters.
+
+A stored index keeps the postings bucketed by ``doc_id`` and sorted by
+``term``: sums per (query, document) need no exchange, row-group statistics
+prune terms, and joins with the stored ``terms`` can be split by AQE.
 """
 
 from __future__ import annotations
@@ -50,66 +52,64 @@ def document_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 class TermIndex:
     """The index as DataFrames plus the parameters that produced it.
 
-    ``postings`` carries each document's length ``dl``; ``doc_ids`` lists
-    every document (also the empty ones, which have no postings).
+    ``postings`` carries each document's length ``dl``; ``docs`` lists every
+    document (also the empty ones, which have no postings).  A stored index
+    has ``stored_terms``, ``n`` and ``total``; else they are computed.
+    ``hash_size``: terms are bucket numbers (C8).
     """
 
     postings: DataFrame
-    doc_ids: DataFrame
+    docs: DataFrame
     ngram: int = 1
     mode: str = "any"
     unicode_form: str | None = "NFD"
     k1: float = BM25_K1
     b: float = BM25_B
+    hash_size: int | None = None
+    stored_terms: DataFrame | None = None
+    n: int | None = None
+    total: int | None = None
+
+    @property
+    def doc_ids(self) -> DataFrame:
+        return self.docs.select("doc_id")
 
     @property
-    def docs(self) -> DataFrame:
-        """``(doc_id, dl)`` for every document, 0 for empty ones."""
-        lengths = self.postings.groupBy("doc_id").agg(F.first("dl").alias("dl"))
-        return (self.doc_ids.join(lengths, "doc_id", "left")
-                .select("doc_id", F.coalesce("dl", F.lit(0)).cast("long").alias("dl")))
+    def terms(self) -> DataFrame:
+        """``(term, df)``.  Postings of a hot term are counted per task first."""
+        if self.stored_terms is not None:
+            return self.stored_terms
+        return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
     @property
     def stats(self) -> DataFrame:
         """C4: ``(n_docs, avgdl)``, one row."""
-        n = self.doc_ids.agg(F.count(F.lit(1)).alias("n_docs"))
-        return n.select("n_docs", (self.total_terms() / F.col("n_docs")).alias("avgdl"))
+        return self.docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
     def n_docs(self) -> Column:
-        """Scalar subquery: number of documents (a count of the id column)."""
-        return self.doc_ids.agg(F.count(F.lit(1))).scalar()
+        """Number of documents: stored, or a scalar subquery."""
+        return F.lit(self.n) if self.n is not None else self.docs.agg(F.count(F.lit(1))).scalar()
 
     def total_terms(self) -> Column:
-        """Scalar subquery: kept n-grams in the corpus (= sum of all tf)."""
-        return self.postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("double")).scalar()
+        """Kept n-grams in the corpus (= sum of all dl): stored, or a scalar subquery."""
+        if self.total is not None:
+            return F.lit(float(self.total))
+        return self.docs.agg(F.coalesce(F.sum("dl"), F.lit(0)).cast("double")).scalar()
 
     def avgdl(self) -> Column:
-        """Scalar subquery: mean document length, empty documents included."""
+        """Mean document length, empty documents included."""
         return self.total_terms() / self.n_docs()
 
-    def materialize(self, path: str) -> TermIndex:
-        """A10: write postings and ids as Parquet under ``path``, read them back.
-
-        One pass over the corpus builds the postings; everything after reads
-        the written columns only, and the lineage to the raw text is cut.
-        """
-        spark = self.postings.sparkSession
-        self.postings.write.mode("error").parquet(f"{path}/postings")
-        self.doc_ids.write.mode("error").parquet(f"{path}/doc_ids")
-        return replace(self, postings=spark.read.parquet(f"{path}/postings"),
-                       doc_ids=spark.read.parquet(f"{path}/doc_ids"))
-
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ngram: int = 1, mode: str = "any", unicode_form: str | None = "NFD",
                 k1: float = BM25_K1, b: float = BM25_B) -> TermIndex:
-    """Parse every document once and derive postings and lengths from it."""
+    """Parse every document and derive postings and lengths from its row."""
     parsed = document_terms(docs, id_col, text_col, ngram, mode, unicode_form)
     parsed = parsed.select("doc_id", "terms", F.size("terms").cast("long").alias("dl"))
     postings = term_frequencies(parsed, "terms", keep=("doc_id", "dl")) \
         .select("doc_id", "term", "tf", "dl")
-    ids = docs.select(F.col(id_col).alias("doc_id"))
-    return TermIndex(postings, ids, ngram, mode, unicode_form, k1, b)
+    return TermIndex(postings, parsed.select("doc_id", "dl"), ngram, mode, unicode_form, k1, b)
 
 
 def term_counts(index: TermIndex) -> DataFrame:
@@ -118,15 +118,9 @@ def term_counts(index: TermIndex) -> DataFrame:
 
 
 def doc_freqs(index: TermIndex, terms: DataFrame | None = None) -> DataFrame:
-    """``(term, df)``; restricted to ``terms`` (a one-column table) if given.
-
-    A hot term's postings are counted per partition first (partial
-    aggregate), so skew never reaches the shuffle.
-    """
-    postings = index.postings
-    if terms is not None:
-        postings = postings.join(terms.select("term"), "term", "left_semi")
-    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """``(term, df)``; restricted to ``terms`` (a one-column table) if given."""
+    found = index.terms
+    return found if terms is None else found.join(terms.select("term"), "term", "left_semi")
 
 
 def doc_lengths(index: TermIndex) -> DataFrame:
@@ -167,15 +161,14 @@ def bm25_weights(index: TermIndex) -> DataFrame:
             .select("term", "doc_id", (F.col("idf") * part).alias("weight")))
 
 
-def hash_terms(df: DataFrame, num_buckets: int, term_col: str = "term") -> DataFrame:
-    """Add ``bucket = murmur3_32(term, seed 0) mod num_buckets``.
+def bucket_of(term: Column, num_buckets: int) -> Column:
+    """``murmur3_32(term, seed 0) mod num_buckets``."""
+    return arrow.murmur3_unsigned(term) % num_buckets
 
-    The Python hash runs once per distinct term and is joined back.
-    """
-    distinct = df.select(term_col).distinct()
-    buckets = distinct.select(
-        term_col, (arrow.murmur3_unsigned(F.col(term_col)) % num_buckets).alias("bucket"))
-    return df.join(buckets, term_col)
+
+def hash_terms(df: DataFrame, num_buckets: int, term_col: str = "term") -> DataFrame:
+    """Add ``bucket``; each batch of terms is hashed at once, no join."""
+    return df.withColumn("bucket", bucket_of(F.col(term_col), num_buckets))
 
 
 def hashed_index(index: TermIndex, num_buckets: int) -> TermIndex:
@@ -184,4 +177,4 @@ def hashed_index(index: TermIndex, num_buckets: int) -> TermIndex:
                 .groupBy("doc_id", "bucket")
                 .agg(F.sum("tf").cast("long").alias("tf"), F.first("dl").alias("dl"))
                 .select("doc_id", F.col("bucket").cast("string").alias("term"), "tf", "dl"))
-    return replace(index, postings=postings)
+    return replace(index, postings=postings, hash_size=num_buckets, stored_terms=None)

@@ -1,26 +1,29 @@
 """F1-F8: spans -> mentions -> ranked entity candidates -> fused entities.
 
-Dense retrieval (F5) is exact inner-product top-k.  The mention vectors
-are bounded by a row check and shipped to every task as one matrix; each
-catalogue partition computes ``mentions x block`` with numpy and keeps
-only its local top-k per mention, so the shuffle carries at most
-``partitions x mentions x k`` rows.  Above the bound the mentions are cut
-into bounded chunks, each handled the same way.
+Dense retrieval (F5) is exact inner-product top-k.  Catalogue rows are
+dealt into as many tiles as there are shuffle partitions; the mentions
+(the stated query set) go to every tile.  A task reads its tile's vectors
+first and then streams the mentions past them in blocks: a score matrix is
+never larger than ``MENTION_BLOCK x ENTITY_BLOCK``, and each mention keeps
+a running top-k over the tile, so the shuffle after it carries at most
+``tiles x k`` rows for a mention.  Nothing passes through the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.constants import ENTITY_CANDIDATES
+from ..functions.constants import EMPTY_PASSAGE, ENTITY_CANDIDATES
 from ..functions.text import strip_whitespace
 from .tokens import with_token_spans
 
-MENTION_BLOCK_ROWS = 200_000
+MENTION_BLOCK = 1024
+ENTITY_BLOCK = 8192
 SCORE_DIGITS = 6
 
 
@@ -40,20 +43,32 @@ def mention_spans(occ: DataFrame, questions: DataFrame, docs: DataFrame) -> Data
     """token positions of the pair encoding -> character span in the document.
 
     A passage token at sequence index ``t`` is document token
-    ``t - len(question tokens) - 2``; its offsets come from B3.
+    ``t - len(question tokens) - 2``; its offsets come from B3.  Each
+    document that is mentioned is tokenised once; of its tokens only the
+    wanted ones meet the mentions, and the text joins last.  The placeholder
+    passage is its own document; any other unknown key raises.
     """
-    ids = occ.select(F.col("doc_key")).distinct()
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_key"), "text") \
-        .join(ids, "doc_key", "left_semi")
+        .unionByName(questions.sparkSession.createDataFrame([(EMPTY_PASSAGE, EMPTY_PASSAGE)], "doc_key string, text string")) \
+        .join(occ.select("doc_key").distinct(), "doc_key", "left_semi")
     spans = with_token_spans(texts)
     qlen = questions.select("query_id", F.size(F.regexp_extract_all(
         "question", F.lit(r"[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]"), 0)).alias("qlen"))
-    j = occ.join(qlen, "query_id").join(spans, "doc_key")
-    s = (F.col("start_idx") - F.col("qlen") - 2).cast("int")
-    e = (F.col("end_idx") - F.col("qlen") - 2).cast("int")
-    return j.select("query_id", "mention_idx", "pred_rank", "span", "doc_key", "text",
-                    F.try_element_at("toks", s + 1)["start"].cast("long").alias("char_start"),
-                    F.try_element_at("toks", e + 1)["end"].cast("long").alias("char_end"))
+    at = occ.join(qlen, "query_id").select(
+        "query_id", "mention_idx", "pred_rank", "span", "doc_key",
+        (F.col("start_idx") - F.col("qlen") - 2).cast("int").alias("s"),
+        (F.col("end_idx") - F.col("qlen") - 2).cast("int").alias("e"))
+    wanted = at.groupBy("doc_key").agg(F.collect_set(F.struct("s", "e")).alias("w"))
+    found = wanted.join(spans, "doc_key").select("doc_key", F.inline(F.transform("w", lambda p: F.struct(
+        p["s"].alias("s"), p["e"].alias("e"),
+        F.try_element_at("toks", p["s"] + 1)["start"].cast("long").alias("char_start"),
+        F.try_element_at("toks", p["e"] + 1)["end"].cast("long").alias("char_end")))))
+    missing = F.raise_error(F.concat(F.lit("no such document: "), F.col("doc_key")))
+    return at.join(found, ["doc_key", "s", "e"], "left") \
+        .join(texts.withColumn("_found", F.lit(True)), "doc_key", "left") \
+        .select("query_id", "mention_idx", "pred_rank", "span", "doc_key",
+                F.when(F.col("_found"), F.col("text")).otherwise(missing.cast("string")).alias("text"),
+                "char_start", "char_end")
 
 
 def mention_context(ms: DataFrame) -> DataFrame:
@@ -74,61 +89,91 @@ def mention_mismatch(mentions: DataFrame) -> DataFrame:
         .select("query_id", "mention_idx", "span", "mention")
 
 
-def _local_topk(mention_ids: np.ndarray, mention_mat: np.ndarray, k: int, exclude_self: bool):
-    out_schema = pa.schema([("mention_id", pa.int64()), ("entity_id", pa.int64()),
-                            ("score", pa.float64())])
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ent_ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            emb = batch.column("embedding")
-            flat = emb.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            block = flat.reshape(batch.num_rows, -1)
-            scores = mention_mat @ block.T
-            if exclude_self:
-                scores[mention_ids[:, None] == ent_ids[None, :]] = -np.inf
-            kk = min(k, block.shape[0])
-            part = np.argpartition(-scores, kk - 1, axis=1)[:, :kk]
-            rows = np.repeat(np.arange(len(mention_ids)), kk)
-            cols = part.reshape(-1)
-            vals = scores[rows, cols]
-            keep = np.isfinite(vals)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(mention_ids[rows][keep]), pa.array(ent_ids[cols][keep]),
-                 pa.array(vals[keep])], schema=out_schema)
-    return run
+_FOUND = pa.schema([("mention_id", pa.int64()), ("entity_id", pa.int64()), ("score", pa.float64())])
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, column)`` of each row's first k by rounded score, ties by id."""
+    rounded = np.round(scores, SCORE_DIGITS)
+    k = min(k, scores.shape[1])
+    least = np.partition(rounded, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    rows, cols = np.nonzero((rounded >= least[:, None]) & np.isfinite(scores))
+    order = np.lexsort((ids[rows, cols] if ids.ndim == 2 else ids[cols], -rounded[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[nth < k], cols[nth < k]
+
+
+def _tile_topk(mention_ids: np.ndarray, mentions: np.ndarray, entity_ids: np.ndarray, entities: np.ndarray,
+               k: int, exclude_self: bool) -> pa.RecordBatch:
+    """The mentions' top-k of a tile, by a running top-k over blocks of its vectors."""
+    n = len(mention_ids)
+    held_ids, held = np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), -np.inf)
+    for at in range(0, len(entity_ids), ENTITY_BLOCK):
+        ids = entity_ids[at:at + ENTITY_BLOCK]
+        scores = mentions @ entities[at:at + ENTITY_BLOCK].T
+        if exclude_self:
+            scores[mention_ids[:, None] == ids[None, :]] = -np.inf
+        rows, cols = _best(scores, ids, k)
+        nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        new_ids, new = np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), -np.inf)
+        new_ids[rows, nth], new[rows, nth] = ids[cols], scores[rows, cols]
+        all_ids, all_scores = np.concatenate((held_ids, new_ids), axis=1), np.concatenate((held, new), axis=1)
+        rows, cols = _best(all_scores, all_ids, k)
+        nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        held_ids, held = np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), -np.inf)
+        held_ids[rows, nth], held[rows, nth] = all_ids[rows, cols], all_scores[rows, cols]
+    rows, cols = np.nonzero(np.isfinite(held))
+    return pa.RecordBatch.from_arrays([pa.array(mention_ids[rows]), pa.array(held_ids[rows, cols]),
+                                       pa.array(held[rows, cols])], schema=_FOUND)
+
+
+def _vectors(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
 
 
 def dense_topk(mentions: DataFrame, catalogue: DataFrame, k: int = ENTITY_CANDIDATES,
-               exclude_self: bool = False, block_rows: int = MENTION_BLOCK_ROWS) -> DataFrame:
+               exclude_self: bool = False, tiles: int | None = None) -> DataFrame:
     """``(mention_id, rank, entity_id, score)`` by exact inner product.
 
     ``mentions(mention_id, embedding)``, ``catalogue(vec_id, embedding)``.
     Scores are rounded to 6 digits before ranking; ties go to the lower id.
+    ``tiles`` (default: the shuffle partitions) share the catalogue.
     """
-    spark = mentions.sparkSession
-    n = mentions.count()
-    parts = []
-    chunks = max(1, -(-n // block_rows))
-    for c in range(chunks):
-        # hash split: the chunks partition the mentions, each is bounded
-        chunk = mentions if chunks == 1 else mentions.where(
-            F.pmod(F.xxhash64("mention_id"), F.lit(chunks)) == c)
-        rows = chunk.select("mention_id", "embedding").collect()  # bounded by block_rows
-        if not rows:
-            continue
-        ids = np.array([r[0] for r in rows], dtype=np.int64)
-        mat = np.array([r[1] for r in rows], dtype=np.float64)
-        fn = _local_topk(ids, mat, k, exclude_self)
-        parts.append(catalogue.select("vec_id", "embedding").mapInArrow(
-            fn, "mention_id long, entity_id long, score double"))
-    if not parts:
-        return spark.createDataFrame([], "mention_id long, rank long, entity_id long, score double")
-    local = parts[0]
-    for p in parts[1:]:
-        local = local.unionByName(p)
+    tiles = tiles or int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = catalogue.select(F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int").alias("tile"), F.lit(0).alias("kind"),
+                            F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = mentions.select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), F.lit(1).alias("kind"),
+                            F.col("mention_id").cast("long").alias("id"),
+                            F.col("embedding").cast("array<double>").alias("embedding"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by tile, its vectors before the mentions."""
+        tile, ids, parts, entity_ids, entities = None, [], [], None, None
+        for batch in batches:
+            tile_of, kind_of = batch.column("tile").to_numpy(), batch.column("kind").to_numpy()
+            cuts = np.flatnonzero((np.diff(tile_of) != 0) | (np.diff(kind_of) != 0)) + 1
+            for low, high in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if low == high:
+                    continue
+                if tile_of[low] != tile:
+                    tile, ids, parts, entities = tile_of[low], [], [], None
+                run = batch.slice(low, high - low)
+                if kind_of[low] == 0:
+                    ids.append(run.column("id").to_numpy())
+                    parts.append(_vectors(run))
+                    continue
+                if entities is None:
+                    if not ids:
+                        continue  # no vector fell into this tile
+                    entity_ids, entities = np.concatenate(ids), np.concatenate(parts)
+                    ids, parts = [], []
+                for at in range(0, run.num_rows, MENTION_BLOCK):
+                    block = run.slice(at, MENTION_BLOCK)
+                    yield _tile_topk(block.column("id").to_numpy(), _vectors(block), entity_ids, entities, k, exclude_self)
+
+    local = rows.unionByName(asked).repartition(tiles, "tile").sortWithinPartitions("tile", "kind") \
+        .mapInArrow(search, "mention_id long, entity_id long, score double")
     rounded = F.round("score", SCORE_DIGITS)
     w = Window.partitionBy("mention_id").orderBy(rounded.desc(), F.col("entity_id"))
     return local.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k) \
@@ -145,13 +190,11 @@ def fuse_candidates(cands: DataFrame) -> DataFrame:
 
 
 def map_entities(fused: DataFrame, index_map: DataFrame) -> DataFrame:
-    """``index_map(key, value)`` applied to ``str(entity_id)``; a missing key fails."""
+    """``index_map(key, value)`` applied to ``str(entity_id)``; a missing key raises."""
     keyed = fused.withColumn("key", F.col("entity_id").cast("string"))
-    missing = keyed.join(index_map.select("key"), "key", "left_anti").select("key").limit(1).collect()
-    if missing:
-        raise KeyError(missing[0][0])
-    return keyed.join(index_map.select("key", F.col("value").alias("entity")), "key") \
-        .select("query_id", "fused_rank", "entity")
+    missing = F.raise_error(F.concat(F.lit("not in the index map: "), F.col("key")))
+    return keyed.join(index_map.select("key", "value"), "key", "left") \
+        .select("query_id", "fused_rank", F.coalesce("value", missing.cast("string")).alias("entity"))
 
 
 def dedupe_entities(mapped: DataFrame) -> DataFrame:
@@ -160,5 +203,3 @@ def dedupe_entities(mapped: DataFrame) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy("first")
     return first.select("query_id", F.row_number().over(w).cast("long").alias("rank"), "entity")
 
-
-ENTITY_SCHEMA = T.StructType([T.StructField("entities", T.ArrayType(T.StringType()))])

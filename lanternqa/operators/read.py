@@ -19,10 +19,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.constants import CLS, EMITTED_SPANS, EMPTY_PASSAGE, MAX_ANSWER_TOKENS, N_BEST, SEP
 from ..functions.text import tokenize, words
 from ..session import checkpoint_dir
+from .joins import attach_text
 
 AGGREGATIONS = ("sum", "none")
 LOGIT_DIGITS = 6
@@ -33,15 +35,13 @@ def reader_pairs(retrieved: DataFrame, questions: DataFrame, docs: DataFrame) ->
 
     Duplicate ids are dropped (first rank kept) and passages are numbered
     by retrieval rank.  A question without documents gets one passage
-    whose id and text are ``'pass'``.
+    whose id and text are ``'pass'``; a retrieved id without document raises.
     """
     firsts = retrieved.groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"))
     w = Window.partitionBy("query_id").orderBy("rank", "doc_id")
     numbered = firsts.select("query_id", "doc_id",
                              (F.row_number().over(w) - 1).cast("long").alias("passage_idx"))
-    ids = numbered.select("doc_id").distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
-    found = numbered.join(texts, "doc_id").join(questions.select("query_id", "question"), "query_id")
+    found = attach_text(numbered, docs).join(questions.select("query_id", "question"), "query_id")
     found = found.select("query_id", "passage_idx", F.col("doc_id").cast("string").alias("doc_key"),
                          "question", "text")
     empty = questions.join(numbered.select("query_id").distinct(), "query_id", "left_anti").select(
@@ -53,11 +53,16 @@ def reader_pairs(retrieved: DataFrame, questions: DataFrame, docs: DataFrame) ->
 def pair_encoding(pairs: DataFrame, max_length: int | None = None) -> DataFrame:
     """``[CLS] question [SEP] passage [SEP]`` as uncased word tokens.
 
+    The pairs are dealt out by (query_id, passage_idx) first: encoding is
+    bound by CPU, and the join before it leaves as few tasks as its bytes need.
+
     Adds ``seq``, ``sep1`` (index of the first separator) and ``sep2`` (the
     last).  ``max_length`` truncates only the passage, as a model window
     would; the default keeps whole passages.
     """
-    q = pairs.select("*", words(tokenize("question"), uncased=True).alias("_q"),
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = pairs.repartition(tasks, "query_id", "passage_idx")
+    q = spread.select("*", words(tokenize("question"), uncased=True).alias("_q"),
                      words(tokenize("text"), uncased=True).alias("_p"))
     passage = F.col("_p")
     if max_length is not None:
@@ -68,17 +73,13 @@ def pair_encoding(pairs: DataFrame, max_length: int | None = None) -> DataFrame:
     return enc.withColumn("sep2", F.size("seq") - 1)
 
 
-Scorer = Callable[[Column, Column], tuple[Column, Column]]
-
-
 def score_passages(enc: DataFrame, token_logits: Callable[[Column, Column], Column],
                    end_logits: Callable[[Column, Column], Column],
                    relevance: Callable[[Column], Column], doc_col: str = "doc_num") -> DataFrame:
     """Attach ``start_logits``, ``end_logits`` (arrays over ``seq``) and ``rel``.
 
     The scorer is given as Column functions of (document number, token
-    position); a model served with ``mapInArrow`` can fill the same three
-    columns instead.
+    position); ``score_passages_with`` takes a model over the tokens.
     """
     doc = F.col(doc_col)
     n = F.size("seq")
@@ -89,6 +90,35 @@ def score_passages(enc: DataFrame, token_logits: Callable[[Column, Column], Colu
                       relevance(doc).alias("rel"))
 
 
+def score_passages_with(enc: DataFrame, scorer: Callable[[], Callable[[list[list[str]]], list[tuple]]],
+                        batch_size: int = 32) -> DataFrame:
+    """E4 with a batch model: adds ``start_logits``, ``end_logits`` and ``rel``.
+
+    ``scorer()`` runs once in every task and gives the model: a function of
+    up to ``batch_size`` token sequences that returns, for each, its start
+    logits, its end logits (as long as the sequence) and its relevance.
+    """
+    names, columns = enc.columns, [F.col(f"`{c}`") for c in enc.columns]
+    out = T.StructType([*enc.schema.fields, T.StructField("start_logits", T.ArrayType(T.DoubleType())),
+                        T.StructField("end_logits", T.ArrayType(T.DoubleType())), T.StructField("rel", T.DoubleType())])
+
+    def run(batches):
+        model = scorer()
+        for b in batches:
+            for at in range(0, b.num_rows, batch_size):
+                part = b.slice(at, batch_size)
+                seqs = part.column(names.index("seq")).to_pylist()
+                scores = model(seqs)
+                for s, (start, end, _) in zip(seqs, scores, strict=True):
+                    if not len(s) == len(start) == len(end):
+                        raise ValueError("a logit for every token is needed")
+                new = [pa.array([list(map(float, s[i])) for s in scores], pa.list_(pa.float64())) for i in (0, 1)]
+                new.append(pa.array([float(s[2]) for s in scores], pa.float64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*names, "start_logits", "end_logits", "rel"])
+
+    return enc.select(*columns).mapInArrow(run, out)
+
+
 def materialize_passages(scored: DataFrame) -> DataFrame:
     """Reliable checkpoint of the scored passages (shared checkpoint folder).
 
@@ -163,8 +193,8 @@ def passage_spans(scored: DataFrame, max_answer_len: int = MAX_ANSWER_TOKENS,
                   n_best: int = N_BEST) -> DataFrame:
     """E5 + E6 + E8: each passage's best valid spans, one row per span.
 
-    Output ``(query_id, passage_idx, doc_key, start_idx, end_idx, logit, span)``
-    with ``logit`` rounded to 6 digits (ranking and ties use it).  Span
+    Output ``(query_id, passage_idx, doc_key, start_idx, end_idx, logit, raw_logit,
+    span)``, ``logit`` being rounded to 6 digits (ranking and ties use it).  Span
     scoring is tensor arithmetic on the model output, so it runs as one
     vectorised numpy step per passage inside the task (``mapInArrow``);
     the per-question ranking after it is Spark's.
@@ -179,20 +209,29 @@ def passage_spans(scored: DataFrame, max_answer_len: int = MAX_ANSWER_TOKENS,
                            "query_id long, passage_idx long, doc_key string, start_idx long, end_idx long, "
                            "raw_logit double, span string")
     return spans.select("query_id", "passage_idx", "doc_key", "start_idx", "end_idx",
-                        F.round("raw_logit", LOGIT_DIGITS).alias("logit"), "span")
+                        F.round("raw_logit", LOGIT_DIGITS).alias("logit"), "raw_logit", "span")
 
 
 def nbest(spans: DataFrame, n_best: int = N_BEST) -> DataFrame:
-    """First ``n_best`` spans per question; ``prob = exp(logit)``."""
+    """First ``n_best`` spans per question by rounded logit; ``prob = exp(raw logit)``."""
     w = Window.partitionBy("query_id").orderBy(F.col("logit").desc(), "passage_idx", "start_idx", "end_idx")
     ranked = spans.withColumn("nbest_rank", F.row_number().over(w).cast("long")) \
         .where(F.col("nbest_rank") <= n_best)
-    prob = F.exp("logit")
+    prob = F.exp("raw_logit")
     return ranked.select("*", F.when(F.isnan(prob) | (prob == float("inf")),
                                      F.raise_error(F.lit("span logit overflows exp()")))
                          .otherwise(prob).alias("prob"))
 
 
+def require_spans(best: DataFrame, questions: DataFrame) -> DataFrame:
+    """``best`` unchanged; a question whose n-best is empty raises."""
+    any_span = best.select("query_id").distinct().withColumn("_any", F.lit(True))
+    missing = F.raise_error(F.concat(F.lit("no valid span for question "), F.col("query_id").cast("string")))
+    checked = questions.select("query_id").join(any_span, "query_id", "left") \
+        .select(F.when(F.col("_any"), F.col("query_id")).otherwise(missing.cast("long")).alias("query_id"))
+    return best.join(checked, "query_id", "left_semi")
+
+
 def aggregate_spans(best: DataFrame, aggregation: str = "sum", top: int = EMITTED_SPANS) -> DataFrame:
     """``(query_id, rank, span, score, docs, start_idx, end_idx)``.
 
@@ -226,5 +265,5 @@ def read(retrieved: DataFrame, questions: DataFrame, docs: DataFrame,
     enc = pair_encoding(reader_pairs(retrieved, questions, docs), max_length)
     enc = enc.withColumn("doc_num", F.coalesce(F.col("doc_key").try_cast("long"), F.lit(0)))
     scored = materialize_passages(score_passages(enc, token_logits, end_logits, relevance))
-    spans = passage_spans(scored, max_answer_len, n_best)
-    return aggregate_spans(nbest(spans, n_best), aggregation, top)
+    best = nbest(passage_spans(scored, max_answer_len, n_best), n_best)
+    return aggregate_spans(require_spans(best, questions), aggregation, top)

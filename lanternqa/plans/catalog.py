@@ -16,6 +16,7 @@ from ..operators import index as ix
 from ..operators import retrieve as rt
 from ..operators.joins import fits_broadcast
 from ..session import scratch_path
+from ..sources import index_store
 from . import fixtures as fx
 from . import oracle_sql as osql
 from . import qa_queries, source_queries, text_queries
@@ -24,16 +25,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def corpus_index(spark: SparkSession, sf_dir: str, unicode_form: str | None = "NFD",
-                 ngram: int = 1, mode: str = "any", materialize: bool = True) -> ix.TermIndex:
-    """The corpus index; written once to the shared checkpoint folder.
+                 ngram: int = 1, mode: str = "any", stored: bool = True) -> ix.TermIndex:
+    """The corpus index; stored once under the shared checkpoint folder.
 
-    Retrieval reads the postings several times (idf of the question
-    terms, scoring, corpus length), so they are built in one pass over
-    the text and read back from Parquet instead of re-parsing the text.
+    One pass over the text builds the postings; retrieval and the weights
+    read the stored tables.
     """
     index = ix.build_index(fx.documents(spark, sf_dir), ngram=ngram, mode=mode,
                            unicode_form=unicode_form)
-    return index.materialize(scratch_path(spark, "index")) if materialize else index
+    return index_store.save_index(index, scratch_path(spark, "index")) if stored else index
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,11 @@ def batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 # these use no Unicode normalisation; NFD is checked by ``nfd_normalize``.
 
 def _raw_index(spark: SparkSession, sf_dir: str) -> ix.TermIndex:
-    return corpus_index(spark, sf_dir, unicode_form=None, materialize=False)
+    return corpus_index(spark, sf_dir, unicode_form=None, stored=False)
+
+
+def _stored_index(spark: SparkSession, sf_dir: str) -> ix.TermIndex:
+    return corpus_index(spark, sf_dir, unicode_form=None)
 
 
 def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,42 +87,61 @@ def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = ix.tfidf_weights(_raw_index(spark, sf_dir))
+    w = ix.tfidf_weights(_stored_index(spark, sf_dir))
     return w.select("term", "doc_id", F.round("weight", 6).alias("weight"))
 
 
 def bm25_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = ix.bm25_weights(_raw_index(spark, sf_dir))
+    w = ix.bm25_weights(_stored_index(spark, sf_dir))
     return w.select("term", "doc_id", F.round("weight", 6).alias("weight"))
 
 
+HASH_SIZE = 1 << 20  # buckets of the registered hashed queries
+WIDE_HASH = 1 << 32  # one bucket for each hash value
+
+
+def hash_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct term with its bucket."""
+    terms = ix.doc_freqs(_raw_index(spark, sf_dir)).select("term")
+    return ix.hash_terms(terms, HASH_SIZE)
+
+
 def hashed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C8 with 2**20 buckets: ``(bucket, doc_id, tf)``."""
-    h = ix.hashed_index(_raw_index(spark, sf_dir), 1 << 20)
+    h = ix.hashed_index(_raw_index(spark, sf_dir), HASH_SIZE)
     return h.postings.select(F.col("term").cast("long").alias("bucket"), "doc_id", "tf")
 
 
+def hashed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D6 over the hashed index: documents and questions are hashed alike."""
+    hashed = ix.hashed_index(corpus_index(spark, sf_dir, stored=False), WIDE_HASH)
+    index = index_store.save_index(hashed, scratch_path(spark, "hashed-index"))
+    return rt.retrieve(index, fx.questions(spark, sf_dir), k=EVAL_CUTOFF, ranker="bm25")
+
+
 # --- D: retrieval pieces ---
 
-def _raw_questions(spark: SparkSession, sf_dir: str):
-    index = _raw_index(spark, sf_dir)
+def _stored_questions(spark: SparkSession, sf_dir: str):
+    index = _stored_index(spark, sf_dir)
     return index, rt.question_terms(fx.questions(spark, sf_dir), index)
 
 
 def query_vec_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, qterms = _raw_questions(spark, sf_dir)
+    qterms = rt.question_terms(fx.questions(spark, sf_dir), _raw_index(spark, sf_dir))
     return qterms.select("query_id", "term", F.col("qtf").cast("double").alias("weight"))
 
 
 def query_vec_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, qterms = _raw_questions(spark, sf_dir)
+    index, qterms = _stored_questions(spark, sf_dir)
     vec = rt.query_vectors(qterms, index, "tfidf")
     return vec.select("query_id", "term", F.round("qweight", 6).alias("weight"))
 
 
 def empty_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, qterms = _raw_questions(spark, sf_dir)
-    return rt.empty_queries(fx.questions(spark, sf_dir), qterms).select("query_id")
+    """D3's report: the questions and, for each, one that holds its punctuation only."""
+    questions = fx.questions_and_blanks(spark, sf_dir)
+    qterms = rt.question_terms(questions, _raw_index(spark, sf_dir))
+    return rt.empty_queries(questions, qterms).select("query_id")
 
 
 def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +153,7 @@ def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rt.doc_index(fx.documents(spark, sf_dir))
+    return rt.doc_index(fx.documents(spark, sf_dir, parsed=False))
 
 
 QUERIES: dict[str, Query] = {
@@ -144,7 +167,9 @@ QUERIES: dict[str, Query] = {
     "idf": idf,
     "tfidf_weights": tfidf_weights,
     "bm25_weights": bm25_weights,
+    "hash_terms": hash_terms,
     "hashed_index": hashed_index,
+    "hashed_topk": hashed_topk,
     "query_vec_bm25": query_vec_bm25,
     "query_vec_tfidf": query_vec_tfidf,
     "empty_queries": empty_queries,
@@ -174,8 +199,15 @@ ORACLE: dict[str, str] = {
     "query_vec_bm25": _IXQ + " SELECT query_id, term, CAST(qtf AS DOUBLE) AS weight FROM qterms",
     "query_vec_tfidf": _IXQ + "," + osql.scores_cte("tfidf")
         + " SELECT query_id, term, round(qweight, 6) AS weight FROM qvec",
-    "empty_queries": _IXQ + """ SELECT query_id FROM questions
-        WHERE query_id NOT IN (SELECT query_id FROM qterms)""",
+    "hash_terms": _IX + f""" SELECT term, {osql.murmur3('term')} % {HASH_SIZE} AS bucket
+        FROM (SELECT DISTINCT term FROM postings)""",
+    "hashed_index": _IX + f""", h AS (SELECT term, {osql.murmur3('term')} % {HASH_SIZE} AS bucket
+        FROM (SELECT DISTINCT term FROM postings))
+        SELECT h.bucket, p.doc_id, CAST(sum(p.tf) AS BIGINT) AS tf FROM postings p JOIN h ON h.term = p.term
+        GROUP BY h.bucket, p.doc_id""",
+    "hashed_topk": osql.retrieval_sql("bm25", EVAL_CUTOFF),
+    "empty_queries": f"""WITH q AS ({osql.QUESTIONS_AND_BLANKS})
+        SELECT query_id FROM q WHERE len({osql.terms('question')}) = 0""",
     "score_pairs": osql.retrieval_sql("bm25", 0).split("SELECT query_id, rank")[0]
         + " SELECT query_id, doc_id, round(score, 6) AS score FROM scores",
     "doc_index": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_index FROM documents",

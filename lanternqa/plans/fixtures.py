@@ -21,8 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_documents(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+#: Session setting: deal the corpus out over so many partitions before it is
+#: parsed.  Unset (as on a cluster, where the corpus has many splits), the
+#: text isn't moved.
+DOCUMENT_PARTITIONS = "spark.lanternqa.documents.partitions"
+
+
+def documents(spark: SparkSession, sf_dir: str, parsed: bool = True) -> DataFrame:
+    """The corpus; ``parsed=False`` for queries that don't work on the text."""
+    wanted = spark.conf.get(DOCUMENT_PARTITIONS, None) if parsed else None
+    return read_documents(spark, f"{sf_dir.rstrip('/')}/documents.parquet",
+                          partitions=int(wanted) if wanted else None)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +42,17 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.col("text")).alias("answer"))
 
 
+#: Added to an item's id for the question of its punctuation.
+BLANK_ID = 1_000_000
+
+
+def questions_and_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions, and for each a blank one: its text without letters, marks and numbers."""
+    q = questions(spark, sf_dir)
+    return q.unionByName(q.select((F.col("query_id") + BLANK_ID).alias("query_id"), F.regexp_replace(
+        "question", r"[\p{L}\p{M}\p{N}]+", "").alias("question"), "answer"))
+
+
 # --- fixed values: the arithmetic stand-in for the span model ---
 def fixture_start_logit(doc: Column, tok: Column) -> Column:
     return ((tok * 37 + doc * 13) % 101) / 20.0 - 4.0

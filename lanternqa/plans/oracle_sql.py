@@ -34,6 +34,41 @@ def terms(text: str) -> str:
     return f"list_filter({uncased(tokens(text))}, lambda w: NOT {filtered_word('w')})"
 
 
+QUESTIONS_AND_BLANKS = r"""SELECT item_id AS query_id, text AS question FROM benchmark UNION ALL
+    SELECT item_id + 1000000, regexp_replace(text, '[\p{L}\p{M}\p{N}]+', '', 'g') FROM benchmark"""
+
+_U32 = "4294967295::HUGEINT"
+
+
+def _rotl(x: str, r: int) -> str:
+    return f"((({x} << {r}) | ({x} >> {32 - r})) & {_U32})"
+
+
+def _times(x: str, factor: int) -> str:
+    return f"(({x} * {factor}::HUGEINT) & {_U32})"
+
+
+def _block(hex_digits: str) -> str:
+    """Up to four bytes, given as hex digits, read little-endian."""
+    byte = lambda i: f"coalesce(try_cast('0x' || nullif(substr({hex_digits}, {2 * i + 1}, 2), '') AS BIGINT), 0)"
+    return "(" + " + ".join(f"{byte(i)} * {1 << (8 * i)}" for i in range(4)) + ")::HUGEINT"
+
+
+def murmur3(text: str) -> str:
+    """MurmurHash3 x86 32-bit with seed 0 (public algorithm) of the UTF-8 bytes."""
+    mixed = lambda k: _times(_rotl(_times(k, 0xCC9E2D51), 15), 0x1B873593)
+    digits = f"hex(encode({text}))"
+    n = f"(octet_length(encode({text})))"
+    body = (f"list_reduce(list_prepend(0::HUGEINT, list_transform(range(0, {n} // 4), "
+            f"lambda i: {_block(f'substr({digits}, 8 * i + 1, 8)')})), "
+            f"lambda h, k: (({_times(_rotl('xor(h, ' + mixed('k') + ')', 13), 5)} + 3864292196) & {_U32}))")
+    tail = mixed(_block(f"substr({digits}, 8 * ({n} // 4) + 1, 6)"))
+    out = f"xor(xor({body}, CASE WHEN {n} % 4 > 0 THEN {tail} ELSE 0::HUGEINT END), {n}::HUGEINT)"
+    last = ("list_reduce([{0}, 2246822507::HUGEINT, 3266489909::HUGEINT], lambda h, f, i: "
+            "((xor(h, h >> (CASE WHEN f = 2246822507 THEN 16 ELSE 13 END)) * f) & 4294967295::HUGEINT))").format(out)
+    return f"list_reduce([{last}, 16::HUGEINT], lambda h, s: xor(h, h >> s::INTEGER))::BIGINT"
+
+
 def index_ctes(doc_source: str = "documents") -> str:
     """CTEs ``doc_terms``, ``docs``, ``stats``, ``postings``."""
     return f"""

@@ -9,7 +9,7 @@ into questions of five consecutive vector ids.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import (DOCS_PER_QUESTION, EMITTED_SPANS, ENTITY_CANDIDATES,
@@ -18,29 +18,31 @@ from ..operators import evaluate as ev
 from ..operators import link as lk
 from ..operators import read as rd
 from ..operators import retrieve as rt
+from ..session import materialized
 from . import fixtures as fx
-from .oracle_sql import retrieval_sql, terms, tokens, uncased
+from .oracle_sql import QUESTIONS_AND_BLANKS, retrieval_sql, tokens, uncased
 from .text_queries import NORMALIZE_SQL
 
 MENTIONS_PER_QUESTION = 5
 HITS_K = 5
 
 
-def _retrieved(spark, sf_dir, k):
+def _retrieved(spark, sf_dir, k, questions=None):
+    """Top-k documents of every question, retrieved once: the small result table is stored."""
     from .catalog import corpus_index
-    return rt.retrieve(corpus_index(spark, sf_dir), fx.questions(spark, sf_dir), k=k, ranker="bm25")
+    questions = fx.questions(spark, sf_dir) if questions is None else questions
+    return materialized(rt.retrieve(corpus_index(spark, sf_dir), questions, k=k, ranker="bm25"), "retrieved")
 
 
 # ------------------------------------------------------------------ G1-G5
 
 def _hits(spark, sf_dir, match="string"):
     answers = fx.questions(spark, sf_dir)
-    if match == "regex":
+    if match == "regex":  # the whole text's words, any white space or marks between them
         words_only = F.regexp_extract_all("question", F.lit(r"[\p{L}\p{N}\p{M}]+"), 0)
-        answers = answers.select("query_id", F.array(F.array_join(F.slice(words_only, 1, 2), r"\s+")).alias("answer"))
-    hits = ev.answer_hits(_retrieved(spark, sf_dir, EVAL_CUTOFF), fx.documents(spark, sf_dir),
+        answers = answers.select("query_id", F.array(F.array_join(words_only, r"[^\p{L}\p{N}\p{M}]+")).alias("answer"))
+    return ev.answer_hits(_retrieved(spark, sf_dir, EVAL_CUTOFF), fx.documents(spark, sf_dir),
                           answers, EVAL_CUTOFF, match)
-    return hits.select("query_id", "rank", "doc_id", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
 def contains_tokens(spark, sf_dir):
@@ -52,11 +54,11 @@ def contains_regex(spark, sf_dir):
 
 
 def retrieval_hit(spark, sf_dir):
-    return ev.retrieval_hits(_hits(spark, sf_dir))
+    return ev.retrieval_hits(_hits(spark, sf_dir), fx.questions(spark, sf_dir))
 
 
 def retrieval_accuracy(spark, sf_dir):
-    return ev.retrieval_accuracy(ev.retrieval_hits(_hits(spark, sf_dir)))
+    return ev.retrieval_accuracy(retrieval_hit(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ E1-E11
@@ -82,7 +84,11 @@ def reader_pairs(spark, sf_dir):
 
 
 def reader_placeholder(spark, sf_dir):
-    return _pairs(spark, sf_dir).where(F.col("doc_key") == "pass").select("query_id", "passage_idx", "text")
+    """Of the questions and their blank forms, those without any document."""
+    questions = fx.questions_and_blanks(spark, sf_dir)
+    found = _retrieved(spark, sf_dir, DOCS_PER_QUESTION, questions)
+    pairs = rd.reader_pairs(found, questions, fx.documents(spark, sf_dir))
+    return pairs.where(F.col("doc_key") == "pass").select("query_id", "passage_idx", "text")
 
 
 def pair_encoding(spark, sf_dir):
@@ -99,8 +105,17 @@ def score_passages(spark, sf_dir):
                      total("start_logits").alias("start_sum"), total("end_logits").alias("end_sum"))
 
 
+def span_scores(spark, sf_dir):
+    """E5 + E6: each passage's best valid spans, cut to its n-best."""
+    scored = rd.materialize_passages(_scored(spark, sf_dir))
+    spans = rd.passage_spans(scored, MAX_ANSWER_TOKENS, N_BEST)
+    w = Window.partitionBy("query_id", "passage_idx").orderBy(F.desc("logit"), "start_idx", "end_idx")
+    return spans.withColumn("n", F.row_number().over(w)).where(F.col("n") <= N_BEST) \
+        .select("query_id", "passage_idx", "start_idx", "end_idx", "logit", "span")
+
+
 def span_nbest(spark, sf_dir):
-    b = _nbest(spark, sf_dir)
+    b = rd.require_spans(_nbest(spark, sf_dir), fx.questions(spark, sf_dir))
     return b.select("query_id", "nbest_rank", "passage_idx", "start_idx", "end_idx", "logit", "span")
 
 
@@ -127,38 +142,42 @@ def reader_output(spark, sf_dir):
 def reader_hits(spark, sf_dir):
     preds = rd.aggregate_spans(_nbest(spark, sf_dir), "sum", EMITTED_SPANS)
     gold = fx.questions(spark, sf_dir).select("query_id", F.explode("answer").alias("span"))
-    return ev.hits_at_k(preds, gold, HITS_K, item="span", normalize=True)
+    return ev.hits_at_k(preds, gold, HITS_K, item="span", normalize=True, lists=fx.questions(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ F1-F4
 
-def _mentions(spark, sf_dir):
+def _occurrences(spark, sf_dir):
+    """F1 of the reader's output, stored: mentions read it more than once."""
     preds = rd.aggregate_spans(_nbest(spark, sf_dir), "sum", EMITTED_SPANS)
-    occ = lk.occurrences(preds)
-    return lk.mention_spans(occ, fx.questions(spark, sf_dir), fx.documents(spark, sf_dir)), occ
+    return materialized(lk.occurrences(preds), "occurrences")
+
+
+def _mentions(spark, sf_dir, occ=None):
+    occ = _occurrences(spark, sf_dir) if occ is None else occ
+    return lk.mention_spans(occ, fx.questions(spark, sf_dir), fx.documents(spark, sf_dir))
 
 
 def occurrences(spark, sf_dir):
-    _, occ = _mentions(spark, sf_dir)
-    return occ.select("query_id", "mention_idx", "pred_rank", F.col("occ").cast("long").alias("occ"),
+    return _occurrences(spark, sf_dir).select("query_id", "mention_idx", "pred_rank", F.col("occ").cast("long").alias("occ"),
                       "doc_key", F.col("start_idx").cast("long").alias("start_idx"),
                       F.col("end_idx").cast("long").alias("end_idx"))
 
 
 def mention_spans(spark, sf_dir):
-    ms, _ = _mentions(spark, sf_dir)
-    return ms.select("query_id", "mention_idx", "doc_key", "char_start", "char_end")
+    return _mentions(spark, sf_dir).select("query_id", "mention_idx", "doc_key", "char_start", "char_end")
 
 
 def mention_context(spark, sf_dir):
-    ms, _ = _mentions(spark, sf_dir)
-    return lk.mention_context(ms).select("query_id", "mention_idx", "id", "label", "label_id",
+    return lk.mention_context(_mentions(spark, sf_dir)).select("query_id", "mention_idx", "id", "label", "label_id",
                                          "context_left", "mention", "context_right")
 
 
 def mention_mismatch(spark, sf_dir):
-    ms, _ = _mentions(spark, sf_dir)
-    return lk.mention_mismatch(lk.mention_context(ms))
+    """F4 on mentions of which every second starts one token late: those are reported."""
+    occ = _occurrences(spark, sf_dir)
+    late = occ.withColumn("start_idx", F.col("start_idx") + F.col("mention_idx") % 2)
+    return lk.mention_mismatch(lk.mention_context(_mentions(spark, sf_dir, late)))
 
 
 # ------------------------------------------------------------------ F5-F8, G7-G9
@@ -205,11 +224,13 @@ def dedupe_entities(spark, sf_dir):
 
 
 def entity_hits(spark, sf_dir):
-    return ev.hits_at_k(dedupe_entities(spark, sf_dir), _gold(spark, sf_dir), HITS_K, item="entity")
+    return ev.hits_at_k(dedupe_entities(spark, sf_dir), _gold(spark, sf_dir), HITS_K, item="entity",
+                        lists=_gold(spark, sf_dir))
 
 
 def entity_mrr(spark, sf_dir):
-    return ev.mean_reciprocal_rank(dedupe_entities(spark, sf_dir), _gold(spark, sf_dir), item="entity")
+    return ev.mean_reciprocal_rank(dedupe_entities(spark, sf_dir), _gold(spark, sf_dir), item="entity",
+                                   lists=_gold(spark, sf_dir))
 
 
 def remap_predictions(spark, sf_dir):
@@ -224,7 +245,7 @@ QUERIES = {
     "retrieval_hit": retrieval_hit, "retrieval_accuracy": retrieval_accuracy,
     "reader_pairs": reader_pairs, "reader_placeholder": reader_placeholder,
     "pair_encoding": pair_encoding, "score_passages": score_passages,
-    "span_nbest": span_nbest, "span_sum": span_sum, "span_none": span_none,
+    "span_scores": span_scores, "span_nbest": span_nbest, "span_sum": span_sum, "span_none": span_none,
     "reader_output": reader_output, "reader_hits": reader_hits,
     "occurrences": occurrences, "mention_spans": mention_spans,
     "mention_context": mention_context, "mention_mismatch": mention_mismatch,
@@ -249,8 +270,8 @@ hits AS (SELECT query_id, rank, doc_id, (len(aw) = 0 OR contains({_SEP1} || arra
          {_SEP1} || array_to_string(aw, {_SEP1}) || {_SEP1})) AS hit FROM pairs)"""
 
 REGEX_SQL = f"""WITH {_top(EVAL_CUTOFF)},
-pat AS (SELECT item_id AS query_id, array_to_string(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}\\p{{M}}]+')[1:2], '\\s+') AS p
-        FROM benchmark)
+pat AS (SELECT item_id AS query_id, array_to_string(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}\\p{{M}}]+'),
+        '[^\\p{{L}}\\p{{N}}\\p{{M}}]+') AS p FROM benchmark)
 SELECT t.query_id, t.rank, t.doc_id, coalesce(regexp_matches(d.text, '(?im)' || p.p), false) AS hit
 FROM top t JOIN documents d ON d.doc_id = t.doc_id JOIN pat p ON p.query_id = t.query_id"""
 
@@ -265,25 +286,27 @@ pass AS (SELECT t.query_id, t.rank - 1 AS passage_idx, CAST(t.doc_id AS VARCHAR)
 enc AS (SELECT *, flatten([['[CLS]'], qw, ['[SEP]'], pw, ['[SEP]']]) AS seq, len(qw) + 1 AS sep1,
         len(qw) + len(pw) + 2 AS sep2
         FROM (SELECT *, {uncased(tokens('question'))} AS qw, {uncased(tokens('text'))} AS pw FROM pass)),
-st AS (SELECT query_id, passage_idx, doc_key, doc_num, seq, sep1, sep2, unnest(range(sep1 + 1, sep2)) AS i FROM enc),
+st AS (SELECT query_id, passage_idx, doc_key, doc_num, sep2, unnest(range(sep1 + 1, sep2)) AS i FROM enc),
 sp AS (SELECT *, unnest(range(i, least(i + {max_len}, sep2))) AS j FROM st),
-sc AS (SELECT query_id, passage_idx, doc_key, i AS start_idx, j AS end_idx,
-       round(((i * 37 + doc_num * 13) % 101) / 20.0::DOUBLE - 4.0::DOUBLE
+lg AS (SELECT query_id, passage_idx, doc_key, i AS start_idx, j AS end_idx,
+       ((i * 37 + doc_num * 13) % 101) / 20.0::DOUBLE - 4.0::DOUBLE
              + (((j * 53 + doc_num * 7) % 97) / 20.0::DOUBLE - 4.0::DOUBLE)
-             + (doc_num % 11) / 10.0::DOUBLE, 6) AS logit,
-       array_to_string(seq[i + 1:j + 1], ' ') AS span FROM sp),
-nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
-       ORDER BY logit DESC, passage_idx, start_idx, end_idx) AS nbest_rank FROM sc) WHERE nbest_rank <= {N_BEST})"""
+             + (doc_num % 11) / 10.0::DOUBLE AS raw_logit FROM sp),
+sc AS (SELECT *, round(raw_logit, 6) AS logit FROM lg),
+nr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+       ORDER BY logit DESC, passage_idx, start_idx, end_idx) AS nbest_rank FROM sc) WHERE nbest_rank <= {N_BEST}),
+nb AS (SELECT nr.*, array_to_string(enc.seq[nr.start_idx + 1:nr.end_idx + 1], ' ') AS span
+       FROM nr JOIN enc ON enc.query_id = nr.query_id AND enc.passage_idx = nr.passage_idx)"""
 
 
 def _agg_sql(mode: str, max_len: int = L) -> str:
     if mode == "sum":
-        grouped = """SELECT query_id, span, sum(exp(logit)) AS score, min(nbest_rank) AS first,
+        grouped = """SELECT query_id, span, sum(exp(raw_logit)) AS score, min(nbest_rank) AS first,
             string_agg(doc_key, ' ' ORDER BY nbest_rank) AS docs,
             string_agg(CAST(start_idx AS VARCHAR), ' ' ORDER BY nbest_rank) AS starts,
             string_agg(CAST(end_idx AS VARCHAR), ' ' ORDER BY nbest_rank) AS ends FROM nb GROUP BY query_id, span"""
     else:
-        grouped = """SELECT query_id, span, exp(logit) AS score, nbest_rank AS first, doc_key AS docs,
+        grouped = """SELECT query_id, span, exp(raw_logit) AS score, nbest_rank AS first, doc_key AS docs,
             CAST(start_idx AS VARCHAR) AS starts, CAST(end_idx AS VARCHAR) AS ends FROM nb"""
     return f"""WITH {_reader_ctes(max_len)}, agg AS ({grouped}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, first) AS rank FROM agg)
@@ -318,13 +341,21 @@ gold AS (SELECT vec_id // 5 AS query_id, 'E' || CAST(label AS VARCHAR) AS entity
 ORACLE = {
     "contains_tokens": HITS_SQL + " SELECT query_id, rank, doc_id, hit FROM hits",
     "contains_regex": REGEX_SQL,
-    "retrieval_hit": HITS_SQL + " SELECT query_id, max(CAST(hit AS INTEGER))::BIGINT AS hit FROM hits GROUP BY query_id",
-    "retrieval_accuracy": HITS_SQL + """, per AS (SELECT query_id, max(CAST(hit AS INTEGER)) AS hit FROM hits GROUP BY query_id)
+    "retrieval_hit": HITS_SQL + """ SELECT b.item_id AS query_id, coalesce(max(CAST(hit AS INTEGER)), 0)::BIGINT AS hit
+        FROM benchmark b LEFT JOIN hits h ON h.query_id = b.item_id GROUP BY b.item_id""",
+    "retrieval_accuracy": HITS_SQL + """, per AS (SELECT b.item_id, coalesce(max(CAST(hit AS INTEGER)), 0) AS hit
+        FROM benchmark b LEFT JOIN hits h ON h.query_id = b.item_id GROUP BY b.item_id)
         SELECT count(*) AS total, CAST(coalesce(sum(hit), 0) AS BIGINT) AS matches,
         round(CASE WHEN count(*) = 0 THEN NULL ELSE coalesce(sum(hit), 0) * 100.0 / count(*) END, 6) AS accuracy FROM per""",
     "reader_pairs": f"WITH {_reader_ctes()} SELECT query_id, passage_idx, doc_key FROM pass",
-    "reader_placeholder": f"""WITH {_top(DOCS_PER_QUESTION)} SELECT item_id AS query_id, CAST(0 AS BIGINT) AS passage_idx,
-        'pass' AS text FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM top)""",
+    "reader_placeholder": f"""WITH {_top(DOCS_PER_QUESTION)}, q AS ({QUESTIONS_AND_BLANKS})
+        SELECT query_id, CAST(0 AS BIGINT) AS passage_idx, 'pass' AS text FROM q
+        WHERE query_id NOT IN (SELECT query_id FROM top)""",
+    "span_scores": f"""WITH {_reader_ctes()}, pn AS (SELECT * FROM (SELECT *, row_number() OVER (
+        PARTITION BY query_id, passage_idx ORDER BY logit DESC, start_idx, end_idx) AS n FROM sc) WHERE n <= {N_BEST})
+        SELECT pn.query_id, pn.passage_idx, start_idx, end_idx, logit,
+        array_to_string(enc.seq[start_idx + 1:end_idx + 1], ' ') AS span
+        FROM pn JOIN enc ON enc.query_id = pn.query_id AND enc.passage_idx = pn.passage_idx""",
     "pair_encoding": f"""WITH {_reader_ctes()} SELECT query_id, passage_idx, len(seq) AS n_seq, sep1, sep2,
         array_to_string(seq, ' ') AS seq FROM enc""",
     "score_passages": f"""WITH {_reader_ctes()} SELECT query_id, passage_idx, round((doc_num % 11) / 10.0::DOUBLE, 6) AS rel,
@@ -339,7 +370,7 @@ ORACLE = {
         p AS (SELECT query_id, ({_norm('span')}) AS v FROM ranked WHERE rank <= {HITS_K}),
         g AS (SELECT item_id AS query_id, ({_norm('text')}) AS v FROM benchmark)
         SELECT total, hits, round(hits * 100.0 / total, 6) AS hits_at_k FROM (
-          SELECT (SELECT count(DISTINCT query_id) FROM ranked) AS total,
+          SELECT (SELECT count(*) FROM benchmark) AS total,
           (SELECT count(DISTINCT p.query_id) FROM p JOIN g ON p.query_id = g.query_id AND p.v = g.v) AS hits)""",
     "dense_topk": VEC_SQL + " SELECT mention_id, rank, entity_id, score FROM cand",
     "fuse_candidates": VEC_SQL + " SELECT query_id, mention_idx, rank, entity_id, fused_rank FROM fused",
@@ -348,11 +379,11 @@ ORACLE = {
     "entity_hits": VEC_SQL + f""", h AS (SELECT DISTINCT d.query_id FROM dedup d JOIN gold g
           ON d.query_id = g.query_id AND d.entity = g.entity WHERE d.rank <= {HITS_K})
         SELECT total, hits, round(hits * 100.0 / total, 6) AS hits_at_k FROM (
-          SELECT (SELECT count(DISTINCT query_id) FROM dedup) AS total, (SELECT count(*) FROM h) AS hits)""",
+          SELECT (SELECT count(*) FROM gold) AS total, (SELECT count(*) FROM h) AS hits)""",
     "entity_mrr": VEC_SQL + """, best AS (SELECT d.query_id, min(d.rank) AS r FROM dedup d JOIN gold g
           ON d.query_id = g.query_id AND d.entity = g.entity GROUP BY d.query_id)
         SELECT count(*) AS total, round(avg(coalesce(1.0 / b.r, 0.0)), 6) AS mrr
-        FROM (SELECT DISTINCT query_id FROM dedup) q LEFT JOIN best b ON b.query_id = q.query_id""",
+        FROM gold q LEFT JOIN best b ON b.query_id = q.query_id""",
     "remap_predictions": VEC_SQL + """ SELECT f.query_id, row_number() OVER (PARTITION BY f.query_id ORDER BY f.fused_rank) AS rank,
         i.value AS entity FROM fused f JOIN imap i ON i.key = CAST(f.entity_id AS VARCHAR)""",
 }
@@ -366,14 +397,30 @@ occ AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pred_
         pred_rank, occ, doc_key, start_idx, end_idx FROM occ0)"""
 
 
-def _mention_spans_sql() -> str:
+def _mention_ctes(start: str = "o.start_idx") -> str:
+    """CTE ``ment``: the mentions with their character spans and document texts."""
     from .text_queries import TOKS_CTE
     return _OCC_SQL + "," + TOKS_CTE + f""",
-ms AS (SELECT o.*, len({tokens('b.text')}) AS qlen FROM occ o JOIN benchmark b ON b.item_id = o.query_id)
-SELECT ms.query_id, ms.mention_idx, ms.doc_key, a.start AS char_start, z."end" AS char_end FROM ms
+ms AS (SELECT o.* EXCLUDE (start_idx), {start} AS start_idx, len({tokens('b.text')}) AS qlen
+       FROM occ o JOIN benchmark b ON b.item_id = o.query_id),
+ment AS (SELECT ms.query_id, ms.mention_idx, ms.doc_key, r.span, a.start AS char_start, z."end" AS char_end, d.text FROM ms
+JOIN ranked r ON r.query_id = ms.query_id AND r.rank = ms.pred_rank
+JOIN documents d ON d.doc_id = CAST(ms.doc_key AS BIGINT)
 LEFT JOIN toks a ON a.doc_id = CAST(ms.doc_key AS BIGINT) AND a.pos = ms.start_idx - ms.qlen - 2
-LEFT JOIN toks z ON z.doc_id = CAST(ms.doc_key AS BIGINT) AND z.pos = ms.end_idx - ms.qlen - 2"""
+LEFT JOIN toks z ON z.doc_id = CAST(ms.doc_key AS BIGINT) AND z.pos = ms.end_idx - ms.qlen - 2),
+ctx AS (SELECT query_id, mention_idx, span, lower(substring(text, 1, char_start)) AS context_left,
+        lower(substring(text, char_start + 1, greatest(char_end - char_start, 0))) AS mention,
+        lower(substring(text, char_end + 1)) AS context_right FROM ment)"""
+
+
+def _stripped(expr: str) -> str:
+    from .text_queries import PY_SPACE_RE2
+    return f"regexp_replace({expr}, '{PY_SPACE_RE2}+', '', 'g')"
 
 
 ORACLE["occurrences"] = _OCC_SQL + " SELECT * FROM occ"
-ORACLE["mention_spans"] = _mention_spans_sql()
+ORACLE["mention_spans"] = _mention_ctes() + " SELECT query_id, mention_idx, doc_key, char_start, char_end FROM ment"
+ORACLE["mention_context"] = _mention_ctes() + """ SELECT query_id, mention_idx, 0::BIGINT AS id, 'unknown' AS label,
+    (-1)::BIGINT AS label_id, context_left, mention, context_right FROM ctx"""
+ORACLE["mention_mismatch"] = _mention_ctes("o.start_idx + o.mention_idx % 2") + f""" SELECT query_id, mention_idx, span, mention
+    FROM ctx WHERE {_stripped('span')} <> {_stripped('mention')}"""

@@ -14,7 +14,7 @@ from ..functions import text as tx
 from ..functions.constants import SEGMENT_PATTERN
 from ..operators import tokens as tk
 from . import fixtures as fx
-from .oracle_sql import STOP_LIST, filtered_word, lit, tokens, uncased
+from .oracle_sql import filtered_word, lit, terms, tokens, uncased
 
 SEP = "\u0001"
 SLICE = (3, 12)          # token slice used by the untokenise check
@@ -57,7 +57,8 @@ def token_slice(spark, sf_dir):
 def untokenize(spark, sf_dir):
     spans = tk.with_token_spans(_docs(spark, sf_dir))
     return spans.select("doc_id", tk.untokenize(F.col("text"), F.col("toks"), F.lit(SLICE[0]),
-                                                F.lit(SLICE[1])).alias("span"))
+                                                F.lit(SLICE[1])).alias("span"),
+                        tk.untokenize(F.col("text"), F.col("toks"), F.lit(0), F.size("toks")).alias("whole"))
 
 
 def token_count(spark, sf_dir):
@@ -92,6 +93,12 @@ def parse_terms(spark, sf_dir):
     return d.select("doc_id", F.array_join("g", SEP).alias("terms"))
 
 
+def parse_unigrams(spark, sf_dir):
+    """B11 with n=1, the path that the index takes."""
+    d = _docs(spark, sf_dir).select("doc_id", tx.parse_terms("text", 1, "any").alias("g"))
+    return d.select("doc_id", F.array_join("g", SEP).alias("terms"))
+
+
 def normalize_answer(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tx.normalize_answer("text").alias("normalized"))
 
@@ -124,6 +131,7 @@ QUERIES = {
     "filter_ngram_all": _filter_ngram("all"),
     "filter_ngram_ends": _filter_ngram("ends"),
     "parse_terms": parse_terms,
+    "parse_unigrams": parse_unigrams,
     "normalize_answer": normalize_answer,
     "strip_whitespace": strip_whitespace,
     "annotation_arrays": annotation_arrays,
@@ -199,8 +207,11 @@ ORACLE = {
     "untokenize": f"""WITH {TOKS_CTE},
         n AS (SELECT doc_id, count(*) AS n, max("end") AS last_end FROM toks GROUP BY doc_id)
         SELECT d.doc_id, CASE WHEN a.start IS NULL THEN '' ELSE
-          {_py_strip('substring(d.text, a.start + 1, coalesce(b.start, n.last_end) - a.start)')} END AS span
+          {_py_strip('substring(d.text, a.start + 1, coalesce(b.start, n.last_end) - a.start)')} END AS span,
+          CASE WHEN f.start IS NULL THEN '' ELSE
+          {_py_strip('substring(d.text, f.start + 1, n.last_end - f.start)')} END AS whole
         FROM documents d LEFT JOIN n USING (doc_id)
+        LEFT JOIN toks f ON f.doc_id = d.doc_id AND f.pos = 0
         LEFT JOIN toks a ON a.doc_id = d.doc_id AND a.pos = {SLICE[0]}
         LEFT JOIN toks b ON b.doc_id = d.doc_id AND b.pos = {SLICE[1]}""",
     "token_count": f"SELECT doc_id, len({tokens('text')}) AS n_tokens FROM documents",
@@ -215,6 +226,7 @@ ORACLE = {
     "parse_terms": f"""SELECT doc_id, array_to_string(list_transform(list_filter(
         {_ngram_sql('w', NGRAM_N)}, lambda g: NOT {_gram_filter('any')}), lambda g: array_to_string(g, ' ')),
         chr(1)) AS terms FROM (SELECT doc_id, {_WORDS} AS w FROM documents)""",
+    "parse_unigrams": f"SELECT doc_id, array_to_string({terms('text')}, chr(1)) AS terms FROM documents",
     "normalize_answer": NORMALIZE_SQL,
     "strip_whitespace": f"SELECT doc_id, regexp_replace(text, '{PY_SPACE_RE2}+', '', 'g') AS stripped FROM documents",
     "annotation_arrays": f"""WITH {TOKS_CTE} SELECT d.doc_id, coalesce(string_agg({NER_SQL_TAG}, ' ' ORDER BY pos)

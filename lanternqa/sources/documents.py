@@ -8,27 +8,17 @@ from pyspark.sql import functions as F
 from ..operators.index import normalized_text
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a scan that has fewer splits than the cluster has cores.
-
-    A large corpus arrives as many file splits and is left alone (no
-    shuffle of the text).  A scan of one big row group would otherwise put
-    all parsing in one task; hashing by ``key`` also tells the planner that
-    the rows are clustered by ``key``, so per-key aggregations that follow
-    need no further exchange.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df
-
-
 def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
-    """``(doc_id, text)`` from Parquet, only the two columns are read."""
+                   text_col: str = "text", partitions: int | None = None) -> DataFrame:
+    """``(doc_id, text)`` from Parquet, only the two columns are read.
+
+    The scan's splits (``spark.sql.files.maxPartitionBytes``) are the tasks.
+    ``partitions`` deals the rows out by ``doc_id`` instead: for a corpus of
+    few row groups whose parsing costs more than moving the text once.
+    """
     df = spark.read.parquet(path).select(F.col(id_col).alias("doc_id"),
                                          F.col(text_col).alias("text"))
-    return spread(df, "doc_id")
+    return df if partitions is None else df.repartition(partitions, "doc_id")
 
 
 def doc_ids(docs: DataFrame) -> DataFrame:

@@ -1,28 +1,54 @@
 """A10: persist and load a term index as Parquet folders.
 
-``postings/`` and ``doc_ids/`` hold the data; ``meta/`` is a one-row
-table pinning the parameters the index was built with.
+``postings/`` (bucketed by ``doc_id``, sorted by ``term``), ``docs/``,
+``terms/`` (with document frequencies) and ``meta/``, a one-row table with
+the corpus statistics and the parameters the index was built with.
 """
 
 from __future__ import annotations
 
-from dataclasses import replace
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.index import TermIndex
 
+META = ("ngram int, mode string, unicode_form string, tokenizer string, k1 double, b double, hash_size long, "
+        "n_docs long, total_terms long, buckets int")
 
-def save_index(index: TermIndex, path: str) -> TermIndex:
+
+def _postings(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """The stored postings as a bucketed table (a name in this session's catalog; no data moves)."""
+    name = f"postings_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{path}/postings").schema)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (doc_id) SORTED BY (term) "
+              f"INTO {buckets} BUCKETS LOCATION '{path}/postings'")
+    return spark.table(name)
+
+
+def save_index(index: TermIndex, path: str, buckets: int | None = None) -> TermIndex:
+    """Write the index and return the stored one; the text is parsed once."""
     spark = index.postings.sparkSession
-    stored = index.materialize(path)
-    meta = [(index.ngram, index.mode, index.unicode_form or "", "simple", index.k1, index.b)]
-    spark.createDataFrame(meta, "ngram int, mode string, unicode_form string, tokenizer string, "
-                                "k1 double, b double").write.mode("error").parquet(f"{path}/meta")
-    return stored
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # dealt out by document as the buckets are: one file for each bucket
+    index.postings.repartition(buckets, "doc_id").write.bucketBy(buckets, "doc_id").sortBy("term") \
+        .option("path", f"{path}/postings").saveAsTable(f"postings_{uuid.uuid4().hex}")
+    stored = _postings(spark, path, buckets)
+    lengths = stored.groupBy("doc_id").agg(F.max("dl").alias("dl"))  # bucketed by doc_id: no exchange
+    index.docs.select("doc_id").join(lengths, "doc_id", "left") \
+        .select("doc_id", F.coalesce("dl", F.lit(0)).cast("long").alias("dl")).write.parquet(f"{path}/docs")
+    stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{path}/terms")
+    totals = spark.read.parquet(f"{path}/docs").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).first()
+    meta = [(index.ngram, index.mode, index.unicode_form or "", "simple", index.k1, index.b, index.hash_size,
+             totals["n"], totals["total"], buckets)]
+    spark.createDataFrame(meta, META).coalesce(1).write.parquet(f"{path}/meta")
+    return load_index(spark, path)
 
 
 def load_index(spark: SparkSession, path: str) -> TermIndex:
     m = spark.read.parquet(f"{path}/meta").collect()[0]  # one row of parameters
-    base = TermIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_ids"))
-    return replace(base, ngram=m.ngram, mode=m.mode, unicode_form=m.unicode_form or None, k1=m.k1, b=m.b)
+    return TermIndex(_postings(spark, path, m.buckets), spark.read.parquet(f"{path}/docs"), m.ngram, m.mode,
+                     m.unicode_form or None, m.k1, m.b, m.hash_size, spark.read.parquet(f"{path}/terms"),
+                     m.n_docs, m.total_terms)

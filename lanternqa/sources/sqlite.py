@@ -1,16 +1,21 @@
 """A2: the SQLite document store as a Python data source (``sqlite_docs``).
 
-Each partition reads one rowid range with its own read-only connection,
-so a store file on shared storage is scanned in parallel.
+Each partition reads one rowid range with its own read-only connection and
+yields Arrow batches.  The file must lie under the same path on the driver
+and on every executor (a shared mount); a reader that does not find it fails.
 """
 
 from __future__ import annotations
 
 import sqlite3
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
+BATCH_ROWS = 1024
+
+
 class _Range(InputPartition):
     def __init__(self, lo: int, hi: int):
         self.lo, self.hi = lo, hi
@@ -38,8 +43,10 @@ class SqliteDocsReader(DataSourceReader):
         try:
             cur = con.execute(f"SELECT id, text FROM {self.table} WHERE rowid BETWEEN ? AND ?",
                               (partition.lo, partition.hi))
-            for row in cur:
-                yield (str(row[0]), row[1])
+            while rows := cur.fetchmany(BATCH_ROWS):
+                ids, texts = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(map(str, ids), pa.string()), pa.array(texts, pa.string())],
+                                                 names=["id", "text"])
         finally:
             con.close()
 

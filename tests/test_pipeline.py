@@ -1,16 +1,20 @@
 """Retrieval, reading, linking and evaluation on small fixtures and sf0.001."""
 
+import inspect
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from lanternqa.functions import arrow
 from lanternqa.operators import evaluate as ev
 from lanternqa.operators import index as ix
 from lanternqa.operators import link as lk
 from lanternqa.operators import read as rd
 from lanternqa.operators import retrieve as rt
 from lanternqa.plans import catalog
+from lanternqa.sources import index_store
 
 from .conftest import SF001
 
@@ -19,9 +23,11 @@ def docs_df(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
-def test_bm25_weight_literal():
-    tf, dl, avgdl = 2.0, 10.0, 10.0
-    assert math.isclose(tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)), 1.375)
+def test_bm25_weight_literal(spark):
+    """tf 2 in a document of average length: idf * 2 * 2.2 / 3.2."""
+    index = ix.build_index(docs_df(spark, ["alpha alpha beta", "gamma delta epsilon", "zeta eta theta"]), unicode_form=None)
+    w = {(r.term, r.doc_id): r.weight for r in ix.bm25_weights(index).collect()}
+    assert math.isclose(w["alpha", 0], math.log(2.5 / 1.5) * 1.375)
 
 
 def test_idf_clip(spark):
@@ -65,12 +71,22 @@ def test_topk_prefix_property(spark):
     assert sa == sb and len(sa) > 0
 
 
-def test_hashed_index_with_huge_buckets_equals_exact(spark):
-    docs = docs_df(spark, ["alpha beta beta", "beta gamma"])
+def test_hashed_index_with_huge_buckets_equals_exact(spark, tmp_path):
+    docs = docs_df(spark, ["alpha beta beta", "beta gamma", "delta", "1 2 3 17 beta"])
     index = ix.build_index(docs, unicode_form=None)
-    exact = sorted((r.doc_id, r.tf) for r in index.postings.collect())
-    hashed = sorted((r.doc_id, r.tf) for r in ix.hashed_index(index, 1 << 30).postings.collect())
-    assert exact == hashed
+    exact = sorted((r.doc_id, ix_bucket(r.term), r.tf) for r in index.postings.collect())
+    hashed = ix.hashed_index(index, 1 << 32)
+    assert sorted((r.doc_id, int(r.term), r.tf) for r in hashed.postings.collect()) == exact
+    questions = spark.createDataFrame([(1, "beta delta?"), (2, "nothing 17")], "query_id long, question string")
+    stored = index_store.save_index(hashed, f"{tmp_path}/hashed")
+    assert stored.hash_size == 1 << 32
+    want = sorted(tuple(r) for r in rt.retrieve(index, questions, 3).collect())
+    assert sorted(tuple(r) for r in rt.retrieve(stored, questions, 3).collect()) == want and want
+
+
+def ix_bucket(term):
+    raw = np.frombuffer(term.encode(), dtype=np.uint8)
+    return int(arrow.murmur3_32(raw.reshape(1, len(raw)))[0])
 
 
 def test_span_sum_literal(spark):
@@ -159,6 +175,149 @@ def test_entry_smoke(spark):
     assert df.count() > 0
 
 
-def test_topk_plan_has_window_group_limit(spark):
-    plan = catalog.bm25_topk(spark, SF001)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan or "AdaptiveSparkPlan" in plan
+def final_plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def stored_index(spark, tmp_path, texts, **kw):
+    return index_store.save_index(ix.build_index(docs_df(spark, texts), unicode_form=None, **kw), f"{tmp_path}/index")
+
+
+def test_retrieval_plan_over_a_stored_index(spark, tmp_path):
+    """One scan of the postings, no exchange by (query, document), top-k cut before its exchange."""
+    index = stored_index(spark, tmp_path, [f"alpha beta{i} beta{i % 7} gamma{i % 3}" for i in range(200)])
+    questions = spark.createDataFrame([(1, "beta3 gamma1"), (2, "beta5")], "query_id long, question string")
+    plan = final_plan(rt.retrieve(index, questions, 3)).split("Initial Plan")[0]
+    assert plan.count("FileScan parquet spark_catalog.default.postings_") == 1
+    assert "WindowGroupLimit" in plan and "Python" not in plan and "Arrow" not in plan
+    exchanges = [line for line in plan.splitlines() if " Exchange hashpartitioning" in line]
+    assert len(exchanges) == 1 and "doc_id" not in exchanges[0]
+
+
+def test_stored_index_reads_back(spark, tmp_path):
+    texts = ["alpha alpha beta", "", "the of", "beta gamma"]
+    index = stored_index(spark, tmp_path, texts)
+    again = index_store.load_index(spark, f"{tmp_path}/index")
+    fresh = ix.build_index(docs_df(spark, texts), unicode_form=None)
+    for part in ("postings", "docs", "terms"):
+        want = sorted(tuple(r) for r in getattr(fresh, part).collect())
+        assert sorted(tuple(r) for r in getattr(index, part).collect()) == want
+        assert sorted(tuple(r) for r in getattr(again, part).collect()) == want
+    assert (again.n, again.total) == (4, 5)
+    assert again.stats.first().asDict() == {"n_docs": 4, "avgdl": 1.25}
+
+
+def test_hot_term_is_split(spark, tmp_path):
+    """Postings joined with the stored terms: AQE splits the partition of a term of 95 % of the postings."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold",
+                                           "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+                                           "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes")}
+    postings = spark.range(200_000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 20 > 0, "hot").otherwise(F.concat(F.lit("t"), "id")).alias("term"),
+        F.lit(1).cast("long").alias("tf"), F.lit(1).cast("long").alias("dl")).repartition(8)
+    docs = spark.range(400_000).select(F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("dl"))
+    index = index_store.save_index(ix.TermIndex(postings, docs, unicode_form=None), f"{tmp_path}/index")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+        spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "64k")
+        weights = ix.bm25_weights(index)
+        assert weights.count() == 200_000
+        assert "skew=true" in final_plan(weights)
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def error_of(df):
+    with pytest.raises(Exception) as e:
+        df.collect()
+    return str(e.value)
+
+
+def test_questions_without_documents_or_answers_stay_in_the_total(spark):
+    questions = spark.createDataFrame([(1, "q", ["red"]), (2, "q", ["red"]), (3, "q", []), (4, "q", None)],
+                                      "query_id long, question string, answer array<string>")
+    retrieved = spark.createDataFrame([(1, 1, 0), (3, 1, 0), (4, 1, 0)], "query_id long, rank long, doc_id long")
+    docs = docs_df(spark, ["a red hat"])
+    for match in ev.MATCH_MODES:
+        hits = ev.answer_hits(retrieved, docs, questions, match=match)
+        assert {(r.query_id, r.hit) for r in hits.collect()} == {(1, True), (3, False), (4, False)}
+        per = ev.retrieval_hits(hits, questions)
+        assert ev.retrieval_accuracy(per).first().asDict() == {"total": 4, "matches": 1, "accuracy": 25.0}
+
+
+def test_missing_things_raise(spark):
+    retrieved = spark.createDataFrame([(1, 1, 9)], "query_id long, rank long, doc_id long")
+    questions = spark.createDataFrame([(1, "q", ["x"])], "query_id long, question string, answer array<string>")
+    docs = docs_df(spark, ["a red hat"])
+    assert "no such document: 9" in error_of(ev.answer_hits(retrieved, docs, questions))
+    assert "no such document: 9" in error_of(rd.reader_pairs(retrieved, questions, docs))
+    preds = spark.createDataFrame([(1, 1, "a"), (1, 2, ""), (1, 3, "b")], "query_id long, rank long, item string")
+    ids = spark.createDataFrame([("b", "B")], "key string, value string")
+    assert "not in the entity map: a" in error_of(ev.remap_predictions(preds, ids))
+    fused = spark.createDataFrame([(1, 1, 7)], "query_id long, fused_rank long, entity_id long")
+    assert "not in the index map: 7" in error_of(lk.map_entities(fused, ids))
+    gold = spark.createDataFrame([(2, "a")], "query_id long, item string")
+    assert "no answer for question 1" in error_of(ev.hits_at_k(preds, gold, 5))
+    assert "no answer for question 1" in error_of(ev.mean_reciprocal_rank(preds, gold))
+    spans = spark.createDataFrame([(2, "x")], "query_id long, span string")
+    assert "no valid span for question 1" in error_of(rd.require_spans(spans, questions))
+    occ = spark.createDataFrame([(1, 0, 1, "s", "77", 3, 3)], "query_id long, mention_idx long, pred_rank long, span string, "
+                                "doc_key string, start_idx long, end_idx long")
+    assert "no such document: 77" in error_of(lk.mention_spans(occ, questions, docs))
+
+
+def test_empty_lists_count_in_the_totals(spark):
+    preds = spark.createDataFrame([(1, 1, "a")], "query_id long, rank long, item string")
+    gold = spark.createDataFrame([(1, "a"), (2, "b")], "query_id long, item string")
+    lists = spark.createDataFrame([(1,), (2,)], "query_id long")
+    assert ev.hits_at_k(preds, gold, 5, lists=lists).first().asDict() == {"total": 2, "hits": 1, "hits_at_k": 50.0}
+    assert ev.mean_reciprocal_rank(preds, gold, lists=lists).first().asDict() == {"total": 2, "mrr": 0.5}
+
+
+def test_regex_answers_in_their_dialect(spark):
+    questions = spark.createDataFrame([(i, "q", [p]) for i, p in enumerate(
+        [r"\p{L}+ hat", r"(?P<c_1>red) hat", "(", r"^RED hat$", "red.hat"])], "query_id long, question string, answer array<string>")
+    retrieved = questions.selectExpr("query_id", "1L as rank", "0L as doc_id")
+    hits = ev.answer_hits(retrieved, docs_df(spark, ["a\u2028b\nred hat\nc"]), questions, match="regex")
+    assert [r.hit for r in hits.orderBy("query_id").collect()] == [True, True, False, True, True]
+
+
+def test_dense_topk_ties_blocks_and_empty_tiles(spark, monkeypatch):
+    monkeypatch.setattr(lk, "ENTITY_BLOCK", 7)
+    monkeypatch.setattr(lk, "MENTION_BLOCK", 5)
+    rng = np.random.default_rng(2)
+    x = rng.integers(-2, 3, (60, 3)).astype(float)  # many equal scores
+    cat = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    m = cat.select(F.col("vec_id").alias("mention_id"), "embedding")
+    for tiles in (1, 3, 100):
+        got = lk.dense_topk(m, cat, 6, exclude_self=True, tiles=tiles)
+        rows = {(r.mention_id, r.rank): r.entity_id for r in got.collect()}
+        s = x @ x.T
+        for i in range(60):
+            order = [j for j in np.lexsort((np.arange(60), -s[i])) if j != i][:6]
+            assert [rows[i, r] for r in range(1, 7)] == order
+    assert "collect" not in inspect.getsource(lk.dense_topk) and ".count()" not in inspect.getsource(lk.dense_topk)
+
+
+def test_batch_model_scores_the_tokens(spark):
+    def scorer():
+        return lambda seqs: [([float(len(t)) for t in s], [1.0] * len(s), 0.5) for s in seqs]
+    questions = spark.createDataFrame([(1, "who")], "query_id long, question string")
+    pairs = rd.reader_pairs(spark.createDataFrame([(1, 1, 0)], "query_id long, rank long, doc_id long"), questions,
+                            docs_df(spark, ["a longest word"]))
+    scored = rd.score_passages_with(rd.pair_encoding(pairs), scorer)
+    best = rd.nbest(rd.passage_spans(scored, 1)).orderBy("nbest_rank").first()
+    assert best.span == "longest" and math.isclose(best.prob, math.exp(8.5))
+
+
+def test_scratch_is_cleaned(spark):
+    from lanternqa import session
+    path = session.scratch_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert session.clean_scratch(spark) >= 1
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()

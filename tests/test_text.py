@@ -3,6 +3,7 @@
 import unicodedata
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from lanternqa.functions import arrow
@@ -91,7 +92,28 @@ def test_strip_whitespace(spark):
 
 
 def test_murmur3_seed0():
-    assert arrow.murmur3_32(b"foo") == 4138058784
+    rows = np.frombuffer(b"foobar", dtype=np.uint8).reshape(2, 3)
+    assert arrow.murmur3_32(rows).tolist()[0] == 4138058784
+
+
+def test_murmur3_of_a_column(spark):
+    got = spark.createDataFrame([("foo",), ("",), (None,), ("hello world!!",), ("abcdefgé",)], "s string") \
+        .select("s", arrow.murmur3_unsigned("s").alias("h")).collect()
+    assert {r["s"]: r["h"] for r in got} == {"foo": 4138058784, "": 0, None: None, "hello world!!": 3804944959,
+                                             "abcdefgé": 881327236}
+
+
+def test_unigrams_lower_each_token_by_itself(spark):
+    # the sigma ends its token, whatever follows the dot
+    got = one(spark, tx.parse_terms("s"), "ΟΔΟΣ.ΑΒΓ")
+    want = one(spark, tx.words(tx.tokenize("s"), uncased=True), "ΟΔΟΣ.ΑΒΓ")
+    assert got == [w for w in want if w != "."] and got[0].endswith("ς")
+
+
+def test_regex_dialect():
+    assert arrow.java_pattern("(") is None
+    assert arrow.java_pattern(r"\p{L}+") == r"\p{L}+"
+    assert arrow.java_pattern(r"(?P<a_b>red)-(?P=a_b)") == r"(?<g0>red)-\k<g0>"
 
 
 def test_contains_token_run(spark):
