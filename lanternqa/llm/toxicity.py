@@ -107,7 +107,7 @@ class BlockMaxIndex:
         blocks = -(-self.n // BLOCK)
         padded = np.zeros((blocks * BLOCK, vectors.shape[1]))
         padded[:self.n] = vectors
-        self.largest = padded.reshape(blocks, BLOCK, -1).max(axis=1).T  # term x block
+        self.largest = padded.reshape(blocks, BLOCK, vectors.shape[1]).max(axis=1).T  # term x block
         self.examples, self.weights, self.start = [], [], []
         for t in range(vectors.shape[1]):
             held = np.flatnonzero(vectors[:, t])
