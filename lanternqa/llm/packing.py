@@ -20,6 +20,7 @@ table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -34,8 +35,11 @@ SEQUENCE = 2048
 END_ID = 0
 OPEN_BINS = 1 << 14
 GROUP_PIECES = 1 << 15
-CACHED_WORDS = 1 << 18  # of one task
-CACHED_BYTES = 96  # longer words aren't kept
+CACHED_WORDS = 1 << 19  # of one task
+CACHED_LETTERS = 64  # longer words aren't kept
+MARKS = string.punctuation  # of ASCII
+UNLIKE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")  # what keeps a Latin-1 text off the quick path
+PART_CHARS = 1 << 21  # texts tokenised together
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -44,37 +48,98 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return str(public_tokenizers.path(name))
 
 
+def words_of(text: str) -> tuple[list[str], bool]:
+    """The text's words, parted at ASCII white space, and whether all is Latin-1.
+
+    Latin-1 words come lower-cased, as the vocabulary does it letter by
+    letter after composing them: in Latin-1 nothing composes and case has no
+    context.  Texts with the strings of special tokens or with white space
+    beyond ASCII keep their case.
+    """
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()], False
+    if any(c in text for c in UNLIKE):
+        return [w.decode("utf-8") for w in text.encode("utf-8").split()], True
+    return text.lower().split(), True
+
+
 class WordTokenizer:
-    """Token ids of a text, word by word, as little-endian unsigned 32-bit numbers.
+    """Token ids of texts, word by word, as little-endian unsigned 32-bit numbers.
 
     The vocabulary drops white space and never joins what it parts, so a
-    text's ids are its words' ids one after the other; words come again and
-    again, so the ids of up to ``CACHED_WORDS`` of them are kept.
+    text's ids are its words' ids one after the other.  Words come again
+    and again, so the ids of up to ``CACHED_WORDS`` are kept.  A word of
+    Latin-1 letters is one run that ends in one token marked so: such words
+    are encoded many at a time and parted after those tokens.  ASCII marks
+    after the letters are a run of their own.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in words],
-                                                 add_special_tokens=False)
-        return {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(words, found, strict=True)}
-
-    def ids(self, text: str) -> bytes:
-        words = text.encode("utf-8", "surrogatepass").split()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) != len(words):  # letters that the vocabulary parts otherwise
+            return self._encode(words)
+        raw = ids.tobytes()
+        return [raw[s:e] for s, e in zip([0, *cuts], cuts, strict=False)]
+
+    def _learn(self, words: set[str], latin: bool) -> None:
+        known = self.known
+        # in Latin-1 letters stay letters when they are composed and lower-cased
+        plain = words if latin else {w for w in words if w.isascii() or max(w) <= "\xff"}
+        letters = set(filter(str.isalpha, plain))
+        marked = [(w, head, w[len(head):]) for w in plain - letters if (head := w.rstrip(MARKS)).isalpha()]
+        new = [w for w in letters.union([head for _, head, _ in marked]) if w not in known]
+        if new:
+            known.update(zip(new, self._encode_letters(new), strict=True))
+        tails = [t for t in {tail for *_, tail in marked} if t not in known]
+        known.update(zip(tails, self._encode(tails), strict=True))
+        known.update([(w, known[head] + known[tail]) for w, head, tail in marked])
+        other = [w for w in words if w not in known]
+        known.update(zip(other, self._encode(other), strict=True))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        split, latin = zip(*map(words_of, texts), strict=True)
+        words = set().union(*split)
         known = self.known
         new = {w for w in words if w not in known}
-        if not new:
-            return b"".join([known[w] for w in words])
-        learnt = self._learn(list(new))
-        if len(known) + len(learnt) > CACHED_WORDS:
+        if len(known) + len(new) > CACHED_WORDS:
             known.clear()
-            learnt |= self._learn(list({w for w in words if w not in learnt}))
-        known.update((w, i) for w, i in learnt.items() if len(w) <= CACHED_BYTES)
-        return b"".join([learnt[w] if w in learnt else known[w] for w in words])
+            new = words
+        self._learn(new, all(latin))
+        found = [b"".join(map(known.__getitem__, own)) for own in split]
+        for w in new:
+            if len(w) > CACHED_LETTERS:
+                del known[w]
+        return found
+
+
+def _in_parts(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """The ids and texts of a batch, ``PART_CHARS`` or one text at a time."""
+    ids, texts, chars = [], [], 0
+    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        ids.append(doc_id)
+        texts.append(text.as_py() or "")
+        chars += len(texts[-1])
+        if chars >= PART_CHARS:
+            yield ids, texts
+            ids, texts, chars = [], [], 0
+    if ids:
+        yield ids, texts
 
 
 def pieces(docs: DataFrame, sequence: int = SEQUENCE, tokenizer_path: str | None = None,
@@ -89,15 +154,16 @@ def pieces(docs: DataFrame, sequence: int = SEQUENCE, tokenizer_path: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokenizer(path)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = tokens.ids(text.as_py() or "") + end
-                for n, at in enumerate(range(0, len(ids), 4 * sequence)):
-                    part = ids[at:at + 4 * sequence]
-                    rows.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part), part)[:len(fields)])
-            columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)],
-                                             schema=schema)
+            for doc_ids, texts in _in_parts(batch):
+                rows = []
+                for doc_id, ids in zip(doc_ids, tokens.ids(texts), strict=True):
+                    ids += end
+                    for n, at in enumerate(range(0, len(ids), 4 * sequence)):
+                        part = ids[at:at + 4 * sequence]
+                        rows.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part), part)[:len(fields)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)],
+                    schema=schema)
 
     return id_and_text(docs, id_col, text_col).mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
