@@ -45,7 +45,10 @@ LEVELS = (1, 2, 4)
 PREFIXES = range(4, 9)
 NEIGHBOURS = 15
 BLOCK = 64
+STEP = 8  # posting blocks looked at together
+DOUBT = 0.5  # weight on the clean side of every vote; a neighbour at cosine 1 has 1
 THRESHOLD = 0.7
+KNOWN = 10_000  # scores of sets of terms that a task remembers
 SEED = 11
 
 # letters and bytes beyond ASCII make words
@@ -97,44 +100,48 @@ class Vocabulary:
 
 
 class BlockMaxIndex:
-    """Posting lists of unit vectors with a largest weight per block of ``BLOCK`` examples."""
+    """Posting lists of unit vectors in blocks of ``BLOCK`` examples, each with its largest weight.
+
+    A term's posting block is a row of ``BLOCK`` weights; only blocks that
+    hold a weight are kept, ``slot[term, block]`` names the row (0: none).
+    """
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, labels: np.ndarray):
         # like examples lie side by side, so that a block's largest weights say much
         order = np.lexsort((ids, *np.sign(vectors).T[::-1])) if len(ids) else np.empty(0, dtype=int)
         vectors, self.ids, self.labels = vectors[order], ids[order], labels[order]
-        self.n = len(self.ids)
+        self.n, terms = len(self.ids), vectors.shape[1]
         blocks = -(-self.n // BLOCK)
-        padded = np.zeros((blocks * BLOCK, vectors.shape[1]))
+        padded = np.zeros((blocks * BLOCK, terms))
         padded[:self.n] = vectors
-        self.largest = padded.reshape(blocks, BLOCK, vectors.shape[1]).max(axis=1).T  # term x block
-        self.examples, self.weights, self.start = [], [], []
-        for t in range(vectors.shape[1]):
-            held = np.flatnonzero(vectors[:, t])
-            self.examples.append(held)
-            self.weights.append(vectors[held, t])
-            self.start.append(np.searchsorted(held, np.arange(blocks + 1) * BLOCK))
+        postings = padded.T.reshape(terms, blocks, BLOCK)
+        self.largest = postings.max(axis=2)  # term x block
+        held = self.largest > 0
+        self.slot = np.zeros((terms, blocks), dtype=np.int64)
+        self.slot[held] = np.arange(1, held.sum() + 1)
+        self.rows = np.concatenate((np.zeros((1, BLOCK)), postings[held]))
 
     def nearest(self, terms: list[int], weights: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """``(example positions, cosines)`` of the ``k`` nearest with a common term; ``leave`` is passed over."""
         bounds = weights @ self.largest[terms]
-        best = np.empty(0, dtype=int), np.empty(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(best[1]) == k and bounds[b] < best[1][-1] - 1e-12):
+        order = np.argsort(-bounds, kind="stable")
+        slots = self.slot[terms]
+        at, score = np.empty(0, dtype=np.int64), np.empty(0)
+        for i in range(0, len(order), STEP):
+            least = score[-1] - 1e-12 if len(score) == k else 0.0
+            if bounds[order[i]] <= 0 or bounds[order[i]] < least:
                 break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                s, e = self.start[t][b], self.start[t][b + 1]
-                if s < e:
-                    score[self.examples[t][s:e] - b * BLOCK] += w * self.weights[t][s:e]
-            hit = np.flatnonzero(score > 0)
-            at = hit + b * BLOCK
-            if leave >= 0:
-                hit, at = hit[at != leave], at[at != leave]
-            at, score = np.concatenate((best[0], at)), np.round(np.concatenate((best[1], score[hit])), 12)
-            order = np.lexsort((self.ids[at], -score))[:k]
-            best = at[order], score[order]
-        return best
+            blocks = order[i:i + STEP]
+            found = np.round(np.tensordot(weights, self.rows[slots[:, blocks]], axes=1), 12)
+            if found.size > k:
+                least = max(least, np.partition(found.ravel(), found.size - k - 1)[found.size - k - 1] - 1e-12)
+            b, j = np.nonzero((found > 0) & (found >= least))
+            new = blocks[b] * BLOCK + j
+            keep = new != leave
+            at, score = np.concatenate((at, new[keep])), np.concatenate((score, found[b, j][keep]))
+            best = np.lexsort((self.ids[at], -score))[:k]
+            at, score = at[best], score[best]
+        return at, score
 
 
 @dataclass
@@ -159,7 +166,8 @@ class ToxicityModel:
         if not len(at):
             return None, at, cosine
         weight = cosine ** 2 * np.where(self.index.labels[at] == 1, self.class_weight[1], self.class_weight[0])
-        return float((weight * self.index.labels[at]).sum() / weight.sum()), at, cosine
+        # DOUBT stands for unseen clean neighbours: far ones alone can't carry a vote
+        return float((weight * self.index.labels[at]).sum() / (weight.sum() + DOUBT)), at, cosine
 
     def score(self, terms: list[int]) -> tuple[float, list[dict]]:
         """Calibrated score and its evidence ``[{doc_id, cosine, toxic}]``, nearest first."""
@@ -253,7 +261,11 @@ def fit(docs: DataFrame, labels: DataFrame, bounds: dict[int, int] = EXAMPLES) -
     n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic + n_other:
         return None
-    terms = kept_terms(texts, n_toxic, n_other) if n_toxic and n_other else []
+    terms: list[str] = []
+    if n_toxic and n_other:
+        single = texts.dropDuplicates(["text", "toxic"])  # copies of a text are one witness
+        n = {r["toxic"]: r["n"] for r in single.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+        terms = kept_terms(single, n[1], n[0])
     frequency, n_docs = corpus_frequencies(docs, terms)
     idf = np.log(1 + n_docs / np.maximum(frequency, 1))
 
@@ -304,10 +316,18 @@ def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id",
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", _EVIDENCE)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[int, ...], tuple[float, list[dict]]] = {}  # documents of the same terms score alike
         for batch in batches:
             scores, evidence = [], []
             for text in batch.column(1):
-                s, e = model.score(model.vocabulary.found(text.as_py() or "")) if model else (0.0, [])
+                s, e = 0.0, []
+                if model:
+                    terms = model.vocabulary.found(text.as_py() or "")
+                    if tuple(terms) not in known:
+                        if len(known) >= KNOWN:
+                            known.clear()
+                        known[tuple(terms)] = model.score(terms)
+                    s, e = known[tuple(terms)]
                 scores.append(s)
                 evidence.append(e)
             yield pa.RecordBatch.from_arrays(
