@@ -70,15 +70,42 @@ def annotations(toks: Column, tagger) -> Column:
     return F.transform(toks, lambda t: tagger(t["token"]))
 
 
-def entity_groups(df: DataFrame, tagger, key_cols: tuple[str, ...] = ("doc_id",),
-                  text_col: str = "text", non_ent: str = "O") -> DataFrame:
+ANNOTATIONS = ("pos", "lemma", "ner")
+
+
+def stored_annotations(df: DataFrame, text_col: str = "text", kinds: tuple[str, ...] = ANNOTATIONS) -> DataFrame:
+    """B15 from stored columns: ``df`` plus ``pos_tags``, ``lemma_tags``, ``ner_tags``.
+
+    ``df`` may hold an array column per kind (``pos``, ``lemma``, ``ner``),
+    one value per token of the text.  A kind without a column gives NULL; an
+    array that is not as long as the tokens raises.
+    """
+    n = F.size(F.filter(F.regexp_extract_all(text_col, F.lit(SEGMENT_PATTERN), 0),
+                        lambda s: ~s.rlike(r"^[\p{Z}\p{C}]")))
+
+    def tags(kind: str) -> Column:
+        if kind not in df.columns:
+            return F.lit(None).cast("array<string>")
+        wrong = F.raise_error(F.concat(F.lit(f"{kind}: not one value per token: "), F.size(kind).cast("string")))
+        return F.when(F.col(kind).isNull() | (F.size(kind) == n), F.col(kind)).otherwise(wrong.cast("array<string>"))
+
+    return df.select("*", *[tags(k).alias(f"{k}_tags") for k in kinds])
+
+
+def entity_groups(df: DataFrame, tagger=None, key_cols: tuple[str, ...] = ("doc_id",),
+                  text_col: str = "text", non_ent: str = "O", tags_col: str | None = None) -> DataFrame:
     """Runs of equal tags other than ``non_ent`` -> ``(keys, group_idx, text, tag)``.
 
-    Run boundaries are found in-row (a tag differs from its predecessor);
-    each run spans up to the next boundary.  The text is untokenised.
+    Tags come from ``tagger`` or from the stored array ``tags_col`` (a
+    document without tags has no groups).  Run boundaries are found in-row
+    (a tag differs from its predecessor); each run spans up to the next
+    boundary.  The text is untokenised.
     """
-    spans = with_token_spans(df.select(*key_cols, text_col), text_col)
-    tagged = spans.select(*key_cols, text_col, "toks", annotations(F.col("toks"), tagger).alias("_tags"))
+    held = [tags_col] if tags_col else []
+    spans = with_token_spans(df.select(*key_cols, text_col, *held), text_col)
+    tags = F.coalesce(F.col(tags_col), F.array().cast("array<string>")) if tags_col \
+        else annotations(F.col("toks"), tagger)
+    tagged = spans.select(*key_cols, text_col, "toks", tags.alias("_tags"))
     tagged = tagged.select("*", F.size("_tags").alias("_n"))
     bounds = tagged.select("*", F.filter(
         F.sequence(F.lit(1), F.greatest(F.col("_n"), F.lit(1))),

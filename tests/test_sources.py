@@ -4,7 +4,7 @@ import json
 import sqlite3
 import tempfile
 
-from lanternqa.sources import jsonl, sqlite
+from lanternqa.sources import documents, jsonl, sqlite
 
 from .conftest import SF001
 
@@ -92,3 +92,12 @@ def test_empty_lists_survive_writing(spark, tmp_path):
     entities = spark.createDataFrame([(7, 1, "Q")], "query_id long, rank long, entity string")
     jsonl.write_entities(entities, f"{tmp_path}/e", questions)
     assert [r.entities for r in jsonl.read_entities_lists(spark, f"{tmp_path}/e").orderBy("query_id").collect()] == [[], ["Q"], []]
+
+
+def test_texts_by_decomposed_ids(spark):
+    """Ids are looked up in decomposed form; unknown ids keep a NULL text and are reported."""
+    docs = spark.createDataFrame([("e\u0301a", "found"), ("b", "plain")], "doc_id string, text string")
+    ids = spark.createDataFrame([("\u00e9a",), ("b",), ("x",)], "doc_id string")
+    got = {r.doc_id: r.text for r in documents.fetch_text(ids, docs, normalize_ids=True).collect()}
+    assert got == {"\u00e9a": "found", "b": "plain", "x": None}
+    assert [r.doc_id for r in documents.missing_ids(ids.where("doc_id <> '\u00e9a'"), docs).collect()] == ["x"]

@@ -123,6 +123,17 @@ def test_contains_token_run(spark):
         [False, True, True]
 
 
+def test_stored_annotations(spark):
+    df = spark.createDataFrame([(1, "New York is big.", ["ENT", "ENT", "O", "O", "O"]), (2, "No tags", None)],
+                               "doc_id long, text string, ner array<string>")
+    got = {r.doc_id: r for r in tk.stored_annotations(df).collect()}
+    assert got[1].ner_tags == ["ENT", "ENT", "O", "O", "O"] and got[1].pos_tags is None and got[2].ner_tags is None
+    groups = [(r.doc_id, r.text, r.tag) for r in tk.entity_groups(df, tags_col="ner").collect()]
+    assert groups == [(1, "New York", "ENT")]
+    with pytest.raises(Exception, match="not one value per token"):
+        tk.stored_annotations(df.withColumn("ner", F.array(F.lit("O")))).collect()
+
+
 def test_entity_groups(spark):
     df = spark.createDataFrame([(1, "New York is in the United States.")], "doc_id long, text string")
     from lanternqa.plans.fixtures import fixture_ner_tag
