@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,18 +16,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a narrow table that go into one file where their number is known beforehand.
+ROWS_PER_FILE = 1 << 19
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     Cuts the lineage (a lost executor re-reads the files) and gives joins a
     plain scan below their exchange, so AQE may split a skewed partition.
+    ``rows``, where a bound is known, keeps a small table from being
+    scattered over a file for each shuffle partition.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def compacted(df: DataFrame, name: str) -> DataFrame:
+    """``stored`` for a narrow table of unknown size, in as many files as its rows need.
+
+    The rows are counted first and held by the executors meanwhile; what a
+    lost executor held is computed again.
+    """
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return stored(held, name, held.count())
+    finally:
+        held.unpersist()
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id long, text string)`` and nothing else: extra columns of the
     input, whatever their names, never meet the operator's own columns."""

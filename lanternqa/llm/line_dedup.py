@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, stored
+from .common import compacted, id_and_text, stored
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -177,10 +177,10 @@ def lost_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     """``(doc_id, lost array<binary>)``: the key hashes whose lines a document loses."""
     found = stored(suspects(docs, min_chars, twice_bits), "line-suspects")
     # one row per key and document, then per key: hot keys shrink in every task first
-    confirmed = found.groupBy("key", "doc_id").agg(F.first("h").alias("h")) \
-        .groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"), F.first("h").alias("h")) \
+    confirmed = found.select("key", "h", "doc_id").distinct() \
+        .groupBy("key", "h").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")) \
         .where(F.col("n") >= min_docs).select("h", "keeper")
-    confirmed = stored(confirmed, "line-confirmed")
+    confirmed = compacted(confirmed, "line-confirmed")
     lost = found.select("doc_id", "h").join(confirmed, "h") \
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("doc_id").agg(F.collect_set("h").alias("lost"))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_texts, stored
+from .common import compacted, id_and_text, map_texts, stored
 from .components import connected_components
 
 SHINGLE = 3
@@ -167,15 +167,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     """``(doc_id, fingerprint, component_id)``: 16 hex digits, smallest doc_id reachable."""
     prints = stored(fingerprints(docs, shingle, id_col, text_col), "simhash-prints")
     # hot fingerprints are reduced within each task before they are shuffled
-    nodes = stored(prints.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("first_id")),
-                   "simhash-nodes")
+    nodes = compacted(prints.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("first_id")),
+                      "simhash-nodes")
     groups = connected_components(similar_links(nodes.select("fp"), max_bits))
-    linked = nodes.join(groups, nodes["fp"] == groups["node"], "left") \
-        .select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    linked = stored(linked, "simhash-linked")
-    smallest = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = stored(linked.join(stored(smallest, "simhash-smallest"), "component").select("fp", "component_id"),
-                   "simhash-named")
+    linked = compacted(groups.join(nodes, groups["node"] == nodes["fp"]).select("fp", "first_id", "component"),
+                       "simhash-linked")
+    smallest = compacted(linked.groupBy("component").agg(F.min("first_id").alias("component_id")), "simhash-smallest")
+    moved = linked.join(smallest, "component").select(F.col("fp").alias("moved"), "component_id")
+    named = compacted(nodes.join(moved, nodes["fp"] == moved["moved"], "left")
+                      .select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "simhash-named")
     joined = prints.join(named, "fp", "left")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                          F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
