@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +39,9 @@ GROUP_PIECES = 1 << 15
 CACHED_WORDS = 1 << 19  # of one task
 CACHED_LETTERS = 64  # longer words aren't kept
 MARKS = string.punctuation  # of ASCII
-UNLIKE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")  # what keeps a Latin-1 text off the quick path
-PART_CHARS = 1 << 21  # texts tokenised together
+#: What keeps a text from being lower-cased beforehand.
+UNLIKE = r"[^\x00-\x{ff}]|<\||[\x1c-\x1f\x{85}\x{a0}]"
+PART_BYTES = 1 << 23  # of texts tokenised together
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -48,32 +50,22 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return str(public_tokenizers.path(name))
 
 
-def words_of(text: str) -> tuple[list[str], bool]:
-    """The text's words, parted at ASCII white space, and whether all is Latin-1.
-
-    Latin-1 words come lower-cased, as the vocabulary does it letter by
-    letter after composing them: in Latin-1 nothing composes and case has no
-    context.  Texts with the strings of special tokens or with white space
-    beyond ASCII keep their case.
-    """
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()], False
-    if any(c in text for c in UNLIKE):
-        return [w.decode("utf-8") for w in text.encode("utf-8").split()], True
-    return text.lower().split(), True
-
-
 class WordTokenizer:
-    """Token ids of texts, word by word, as little-endian unsigned 32-bit numbers.
+    """Token ids of texts, word by word.
 
     The vocabulary drops white space and never joins what it parts, so a
-    text's ids are its words' ids one after the other.  Words come again
-    and again, so the ids of up to ``CACHED_WORDS`` are kept.  A word of
-    Latin-1 letters is one run that ends in one token marked so: such words
-    are encoded many at a time and parted after those tokens.  ASCII marks
-    after the letters are a run of their own.
+    text's ids are its words' ids one after the other.  Arrow parts the
+    texts at ASCII white space and numbers the distinct words; each is
+    tokenised once, the ids of up to ``CACHED_WORDS`` are kept for the next
+    texts, and the texts' ids are gathered by word number.
+
+    Latin-1 texts are lower-cased first, as the vocabulary does it letter by
+    letter after composing them: in Latin-1 nothing composes and case has no
+    context.  Texts beyond it, or with the strings of special tokens or
+    other white space (``UNLIKE``), keep their case.  A word of Latin-1
+    letters is one run that ends in one token marked so: such words are
+    encoded many at a time and parted after those tokens.  ASCII marks after
+    the letters are a run of their own.
     """
 
     def __init__(self, path: str):
@@ -83,7 +75,7 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     def _encode(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -97,49 +89,56 @@ class WordTokenizer:
         raw = ids.tobytes()
         return [raw[s:e] for s, e in zip([0, *cuts], cuts, strict=False)]
 
-    def _learn(self, words: set[str], latin: bool) -> None:
+    def _learn(self, words: list[str]) -> None:
         known = self.known
         # in Latin-1 letters stay letters when they are composed and lower-cased
-        plain = words if latin else {w for w in words if w.isascii() or max(w) <= "\xff"}
-        letters = set(filter(str.isalpha, plain))
-        marked = [(w, head, w[len(head):]) for w in plain - letters if (head := w.rstrip(MARKS)).isalpha()]
-        new = [w for w in letters.union([head for _, head, _ in marked]) if w not in known]
+        plain = [w for w in words if w.isascii() or max(w) <= "\xff"]
+        letters = list(filter(str.isalpha, plain))
+        marked = [(w, head, w[len(head):]) for w in plain if (head := w.rstrip(MARKS)) != w and head.isalpha()]
+        new = list({*letters, *[head for _, head, _ in marked if head not in known]})
         if new:
             known.update(zip(new, self._encode_letters(new), strict=True))
-        tails = [t for t in {tail for *_, tail in marked} if t not in known]
+        tails = list({tail for *_, tail in marked if tail not in known})
         known.update(zip(tails, self._encode(tails), strict=True))
         known.update([(w, known[head] + known[tail]) for w, head, tail in marked])
         other = [w for w in words if w not in known]
         known.update(zip(other, self._encode(other), strict=True))
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        split, latin = zip(*map(words_of, texts), strict=True)
-        words = set().union(*split)
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, offsets)``: text *i* has ``ids[offsets[i]:offsets[i + 1]]``; NULL counts as empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        texts = pc.if_else(pc.match_substring_regex(texts, UNLIKE), texts, pc.utf8_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         known = self.known
-        new = {w for w in words if w not in known}
+        new = [w for w in words if w not in known]
         if len(known) + len(new) > CACHED_WORDS:
             known.clear()
-            new = words
-        self._learn(new, all(latin))
-        found = [b"".join(map(known.__getitem__, own)) for own in split]
+            known[""] = b""
+            new = [w for w in words if w]
+        self._learn(new)
+        parts = list(map(known.__getitem__, words))
         for w in new:
             if len(w) > CACHED_LETTERS:
                 del known[w]
-        return found
+        pool = np.frombuffer(b"".join(parts), dtype="<u4")
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[codes]  # ids of every word of the texts
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = pool[np.repeat(starts[codes] - ends[:-1], n) + np.arange(ends[-1])]
+        return ids, ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
 
 
-def _in_parts(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
-    """The ids and texts of a batch, ``PART_CHARS`` or one text at a time."""
-    ids, texts, chars = [], [], 0
-    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        ids.append(doc_id)
-        texts.append(text.as_py() or "")
-        chars += len(texts[-1])
-        if chars >= PART_CHARS:
-            yield ids, texts
-            ids, texts, chars = [], [], 0
-    if ids:
-        yield ids, texts
+def _in_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of ``PART_BYTES`` of text, or one text, at a time."""
+    sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy()
+    at = np.cumsum(sizes) // PART_BYTES
+    cuts = np.flatnonzero(np.diff(at)) + 1
+    for low, high in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+        if low < high:
+            yield batch.slice(low, high - low)
 
 
 def pieces(docs: DataFrame, sequence: int = SEQUENCE, tokenizer_path: str | None = None,
@@ -154,13 +153,14 @@ def pieces(docs: DataFrame, sequence: int = SEQUENCE, tokenizer_path: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokenizer(path)
         for batch in batches:
-            for doc_ids, texts in _in_parts(batch):
+            for part in _in_parts(batch):
+                ids, offsets = tokens.ids(part.column(1))
                 rows = []
-                for doc_id, ids in zip(doc_ids, tokens.ids(texts), strict=True):
-                    ids += end
-                    for n, at in enumerate(range(0, len(ids), 4 * sequence)):
-                        part = ids[at:at + 4 * sequence]
-                        rows.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part), part)[:len(fields)])
+                for doc_id, low, high in zip(part.column(0).to_pylist(), offsets[:-1], offsets[1:], strict=True):
+                    own = ids[low:high].tobytes() + end
+                    for n, at in enumerate(range(0, len(own), 4 * sequence)):
+                        piece = own[at:at + 4 * sequence]
+                        rows.append((doc_id, n, at // 4, len(piece) // 4, zlib.crc32(piece), piece)[:len(fields)])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)],
                     schema=schema)

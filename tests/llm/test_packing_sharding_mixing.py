@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,15 +34,24 @@ def test_word_ids_are_the_text_ids(tokenizer):
     texts += ["".join(rng.choice(pool) for _ in range(rng.randrange(60))) for _ in range(500)]
     words = pk.WordTokenizer(pk.vocabulary_path())
     want = [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert words.ids(texts) == want
-    assert [words.ids([t])[0] for t in texts] == want  # from the kept words
+    assert ids_of(words, texts) == want
+    assert [ids_of(words, [t])[0] for t in texts] == want  # from the kept words
+    assert ids_of(words, [None, "", "a"])[:2] == [b"", b""]
+    sliced = pa.array(["skipped", *texts[:20]]).slice(1, 5)
+    ids, at = words.ids(sliced)
+    assert [ids[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)] == want[:5]
+
+
+def ids_of(words, texts):
+    ids, at = words.ids(pa.array(texts, pa.string()))
+    return [ids[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)]
 
 
 def test_a_small_cache_changes_nothing(tokenizer, monkeypatch):
     monkeypatch.setattr(pk, "CACHED_WORDS", 5)
     words = pk.WordTokenizer(pk.vocabulary_path())
     for t in HARD * 2:
-        assert words.ids([t])[0] == np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert ids_of(words, [t])[0] == np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 def brute_best_fit(lengths, sequence, open_bins):
