@@ -31,10 +31,11 @@ def save_index(index: TermIndex, path: str, buckets: int | None = None) -> TermI
     """Write the index and return the stored one; the text is parsed once."""
     spark = index.postings.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"postings_{uuid.uuid4().hex}"
     # dealt out by document as the buckets are: one file for each bucket
     index.postings.repartition(buckets, "doc_id").write.bucketBy(buckets, "doc_id").sortBy("term") \
-        .option("path", f"{path}/postings").saveAsTable(f"postings_{uuid.uuid4().hex}")
-    stored = _postings(spark, path, buckets)
+        .option("path", f"{path}/postings").saveAsTable(name)
+    stored = spark.table(name)
     lengths = stored.groupBy("doc_id").agg(F.max("dl").alias("dl"))  # bucketed by doc_id: no exchange
     index.docs.select("doc_id").join(lengths, "doc_id", "left") \
         .select("doc_id", F.coalesce("dl", F.lit(0)).cast("long").alias("dl")).write.parquet(f"{path}/docs")
@@ -44,6 +45,7 @@ def save_index(index: TermIndex, path: str, buckets: int | None = None) -> TermI
     meta = [(index.ngram, index.mode, index.unicode_form or "", "simple", index.k1, index.b, index.hash_size,
              totals["n"], totals["total"], buckets)]
     spark.createDataFrame(meta, META).coalesce(1).write.parquet(f"{path}/meta")
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files lie under the given path
     return load_index(spark, path)
 
 
