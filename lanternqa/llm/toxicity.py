@@ -144,6 +144,9 @@ class BlockMaxIndex:
         return at, score
 
 
+_EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+
+
 @dataclass
 class ToxicityModel:
     vocabulary: Vocabulary
@@ -169,15 +172,22 @@ class ToxicityModel:
         # DOUBT stands for unseen clean neighbours: far ones alone can't carry a vote
         return float((weight * self.index.labels[at]).sum() / (weight.sum() + DOUBT)), at, cosine
 
-    def score(self, terms: list[int]) -> tuple[float, list[dict]]:
-        """Calibrated score and its evidence ``[{doc_id, cosine, toxic}]``, nearest first."""
+    def score(self, terms: list[int]) -> tuple[float, np.ndarray, np.ndarray]:
+        """Calibrated score and its evidence: positions and cosines of the neighbours, nearest first."""
         share, at, cosine = self.vote(terms)
         if share is None:
-            return self.without_terms, []
+            return self.without_terms, at, cosine
         a, b = self.curve
-        evidence = [{"doc_id": int(self.index.ids[i]), "cosine": float(c), "toxic": int(self.index.labels[i])}
-                    for i, c in zip(at, cosine, strict=True)]
-        return float(1 / (1 + np.exp(-(a * share + b)))), evidence
+        return float(1 / (1 + np.exp(-(a * share + b)))), at, cosine
+
+    def evidence(self, at: list[np.ndarray], cosine: list[np.ndarray]) -> pa.ListArray:
+        """``[{doc_id, cosine, toxic}]`` of each document."""
+        where = np.concatenate([np.empty(0, dtype=np.int64), *at])
+        structs = pa.StructArray.from_arrays(
+            [pa.array(self.index.ids[where], pa.int64()), pa.array(np.concatenate([np.empty(0), *cosine]), pa.float64()),
+             pa.array(self.index.labels[where], pa.int32())], fields=list(_EVIDENCE.value_type))
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in at]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs, type=_EVIDENCE)
 
 
 def logistic_curve(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
@@ -305,9 +315,6 @@ def fit(docs: DataFrame, labels: DataFrame, bounds: dict[int, int] = EXAMPLES) -
     return model
 
 
-_EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-
-
 def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, score, evidence array<struct<doc_id, cosine, toxic>>)`` for every document; no shuffle.
 
@@ -316,22 +323,22 @@ def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id",
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", _EVIDENCE)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[int, ...], tuple[float, list[dict]]] = {}  # documents of the same terms score alike
+        known: dict[tuple[int, ...], tuple[float, np.ndarray, np.ndarray]] = {}  # of the same terms: scored alike
         for batch in batches:
-            scores, evidence = [], []
-            for text in batch.column(1):
-                s, e = 0.0, []
-                if model:
-                    terms = model.vocabulary.found(text.as_py() or "")
-                    if tuple(terms) not in known:
+            if model is None:
+                scores, evidence = np.zeros(batch.num_rows), pa.array([[]] * batch.num_rows, _EVIDENCE)
+            else:
+                found = []
+                for text in batch.column(1):
+                    terms = tuple(model.vocabulary.found(text.as_py() or ""))
+                    if terms not in known:
                         if len(known) >= KNOWN:
                             known.clear()
-                        known[tuple(terms)] = model.score(terms)
-                    s, e = known[tuple(terms)]
-                scores.append(s)
-                evidence.append(e)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, _EVIDENCE)], schema=schema)
+                        known[terms] = model.score(list(terms))
+                    found.append(known[terms])
+                scores = np.array([f[0] for f in found])
+                evidence = model.evidence([f[1] for f in found], [f[2] for f in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), evidence], schema=schema)
 
     return id_and_text(docs, id_col, text_col).mapInArrow(
         run, "doc_id long, score double, evidence array<struct<doc_id: bigint, cosine: double, toxic: int>>")
