@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lanternqa.functions import arrow
 from lanternqa.operators import evaluate as ev
 from lanternqa.operators import index as ix
+from lanternqa.operators import joins
 from lanternqa.operators import link as lk
 from lanternqa.operators import read as rd
 from lanternqa.operators import retrieve as rt
@@ -321,3 +322,29 @@ def test_scratch_is_cleaned(spark):
     assert session.clean_scratch(spark) >= 1
     with pytest.raises(Exception):
         spark.read.parquet(path).count()
+
+
+def test_large_question_side_scores_alike(spark, tmp_path):
+    """Beyond the broadcast bound the same scores come from two stored tables."""
+    index = stored_index(spark, tmp_path, [f"alpha beta{i} beta{i % 7} gamma{i % 3}" for i in range(60)])
+    questions = spark.createDataFrame([(1, "beta3 gamma1"), (2, "beta5")], "query_id long, question string")
+    qterms = rt.question_terms(questions, index)
+    scores = [sorted((r.query_id, r.doc_id, round(r.score, 9)) for r in rt.score_pairs(
+        index, rt.query_vectors(qterms, index, "bm25", small), "bm25", small).collect()) for small in (True, False)]
+    assert scores[0] == scores[1] and scores[0]
+
+
+def test_broadcast_bound_counts_bytes(spark):
+    df = spark.createDataFrame([("x" * 1000, 1)] * 10, "s string, n long")
+    assert joins.fits_broadcast(df, 20_000) and not joins.fits_broadcast(df, 10_000)
+    assert joins.fits_broadcast(df.where("false"), 0)
+
+
+def test_no_machine_local_scratch_on_a_cluster(tmp_path):
+    from types import SimpleNamespace
+
+    from lanternqa import session
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    cluster = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d=None: d))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(cluster)
