@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +58,25 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                        F.col(text_col).cast("string").alias("text"))
 
 
+#: Text of the rows that a Python worker has in hand at a time.
+PART_BYTES = 1 << 22
+
+
+def in_parts(batches: Iterable[pa.RecordBatch], text: int = 1, max_bytes: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``max_bytes`` of text (column number ``text``), one row at least.
+
+    What a slice's rows become in Python is given back before the next;
+    at the end of a task Arrow's pool is emptied for the next ones.
+    """
+    for batch in batches:
+        at = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)) // max_bytes
+        cuts = np.flatnonzero(np.diff(at)) + 1
+        for low, high in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            if low < high:
+                yield batch.slice(low, high - low)
+    pa.default_memory_pool().release_unused()
+
+
 def map_texts(docs: DataFrame, fn: Callable[[str], tuple], fields: list[tuple[str, pa.DataType, str]],
               make: Callable[[], Callable[[str], tuple]] | None = None) -> DataFrame:
     """One output row per document: ``doc_id`` and the fields ``fn(text)`` gives.
@@ -68,9 +89,7 @@ def map_texts(docs: DataFrame, fn: Callable[[str], tuple], fields: list[tuple[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make() if make else fn
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in in_parts(batches):
             found = [f(t.as_py() or "") for t in batch.column(1)]
             columns = list(zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays(

@@ -30,13 +30,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import compacted, id_and_text, stored
+from .common import compacted, id_and_text, in_parts, stored
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -44,7 +43,7 @@ MAX_SEGMENTS = 1 << 16
 TWICE_BITS = 1 << 27  # 16 MiB, the whole broadcast
 ONCE_BITS_PER_HASH = 8
 HASHES = 2  # bits set for each hash in either filter
-FLUSH = 1 << 20  # hashes a task holds before it sends them
+FLUSH = 1 << 18  # hashes a task holds before it sends them
 WHITE = b" \t\n\x0b\x0c\r"
 
 
@@ -105,7 +104,7 @@ def hash_blocks(docs: DataFrame, min_chars: int, segments: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[int] = []
-        for batch in batches:
+        for batch in in_parts(batches):
             for text in batch.column(1):
                 found += [xxhash.xxh64_intdigest(k) for k in _long_keys(text.as_py(), min_chars)]
                 if len(found) >= FLUSH:
@@ -154,7 +153,7 @@ def suspects(docs: DataFrame, min_chars: int = MIN_CHARS, twice_bits: int = TWIC
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.frombuffer(shared.value, dtype=np.uint8)
-        for batch in batches:
+        for batch in in_parts(batches):
             ids, keys = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = _long_keys(text.as_py(), min_chars)
@@ -220,7 +219,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             out: list[list] = [[], [], [], []]
             for text, lost in zip(batch.column(1), batch.column(2), strict=True):
                 kept, n, gone = _without(text.as_py() or "", set(lost.as_py() or ()))
@@ -243,10 +242,10 @@ def deduplicated_documents(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs
     """
     src = _with_lost(docs, id_col, text_col, min_chars=min_chars, min_docs=min_docs)
 
-    @F.pandas_udf("string")
-    def cleaned(text: pd.Series, lost: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else _without(t, set(gone))[0]
-                          for t, gone in zip(text, lost, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def cleaned(text: pa.Array, lost: pa.Array) -> pa.Array:
+        return pa.array((None if not t.is_valid else _without(t.as_py(), set(gone.as_py()))[0]
+                         for t, gone in zip(text, lost, strict=True)), type=pa.string())
 
     # only the texts that lose something are handed to Python
     some = F.col("__lost").isNotNull()

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, stored
+from .common import id_and_text, in_parts, stored
 
 SEQUENCE = 2048
 END_ID = 0
@@ -131,16 +131,6 @@ class WordTokenizer:
         return ids, ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
 
 
-def _in_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of ``PART_BYTES`` of text, or one text, at a time."""
-    sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy()
-    at = np.cumsum(sizes) // PART_BYTES
-    cuts = np.flatnonzero(np.diff(at)) + 1
-    for low, high in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-        if low < high:
-            yield batch.slice(low, high - low)
-
-
 def pieces(docs: DataFrame, sequence: int = SEQUENCE, tokenizer_path: str | None = None,
            id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids binary])``, in one pass, no shuffle."""
@@ -152,18 +142,17 @@ def pieces(docs: DataFrame, sequence: int = SEQUENCE, tokenizer_path: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokenizer(path)
-        for batch in batches:
-            for part in _in_parts(batch):
-                ids, offsets = tokens.ids(part.column(1))
-                rows = []
-                for doc_id, low, high in zip(part.column(0).to_pylist(), offsets[:-1], offsets[1:], strict=True):
-                    own = ids[low:high].tobytes() + end
-                    for n, at in enumerate(range(0, len(own), 4 * sequence)):
-                        piece = own[at:at + 4 * sequence]
-                        rows.append((doc_id, n, at // 4, len(piece) // 4, zlib.crc32(piece), piece)[:len(fields)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)],
-                    schema=schema)
+        for part in in_parts(batches, max_bytes=PART_BYTES):
+            ids, offsets = tokens.ids(part.column(1))
+            rows = []
+            for doc_id, low, high in zip(part.column(0).to_pylist(), offsets[:-1], offsets[1:], strict=True):
+                own = ids[low:high].tobytes() + end
+                for n, at in enumerate(range(0, len(own), 4 * sequence)):
+                    piece = own[at:at + 4 * sequence]
+                    rows.append((doc_id, n, at // 4, len(piece) // 4, zlib.crc32(piece), piece)[:len(fields)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)],
+                schema=schema)
 
     return id_and_text(docs, id_col, text_col).mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)

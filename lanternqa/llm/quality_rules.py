@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,9 +121,10 @@ def kept_documents(docs: DataFrame, policy: str, text_col: str = "text") -> Data
 
     The measurements stand beside each row, so ids need not be unique.
     """
-    @F.pandas_udf(", ".join(f"{m} long" for m in MEASURES))
-    def measured(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(t or "") for t in texts], columns=list(MEASURES), dtype="int64")
+    @F.arrow_udf("struct<" + ", ".join(f"{m}: bigint" for m in MEASURES) + ">")
+    def measured(texts: pa.Array) -> pa.Array:
+        found = np.array([measure(t.as_py() or "") for t in texts], dtype=np.int64).reshape(-1, len(MEASURES))
+        return pa.StructArray.from_arrays([pa.array(found[:, i]) for i in range(len(MEASURES))], names=list(MEASURES))
 
     own = [F.col(f"`{c}`") for c in docs.columns]
     beside = docs.select(F.struct(*own).alias("__row"), measured(F.col(text_col).cast("string")).alias("__m"))

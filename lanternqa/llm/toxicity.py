@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, stored
+from .common import id_and_text, in_parts, stored
 
 EXAMPLES = {1: 2048, 0: 6144}
 MAX_TERMS = 256
@@ -249,7 +249,7 @@ def corpus_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, i
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(terms)
         held = np.zeros(len(terms) + 1, dtype=np.int64)  # the last counts documents
-        for batch in batches:
+        for batch in in_parts(batches):
             for text in batch.column(1):
                 held[vocabulary.found(text.as_py() or "")] += 1
             held[-1] += batch.num_rows
@@ -324,7 +324,7 @@ def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[int, ...], tuple[float, np.ndarray, np.ndarray]] = {}  # of the same terms: scored alike
-        for batch in batches:
+        for batch in in_parts(batches):
             if model is None:
                 scores, evidence = np.zeros(batch.num_rows), pa.array([[]] * batch.num_rows, _EVIDENCE)
             else:
