@@ -41,7 +41,6 @@ CACHED_LETTERS = 64  # longer words aren't kept
 MARKS = string.punctuation  # of ASCII
 #: What keeps a text from being lower-cased beforehand.
 UNLIKE = r"[^\x00-\x{ff}]|<\||[\x1c-\x1f\x{85}\x{a0}]"
-PART_BYTES = 1 << 23  # of texts tokenised together
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -124,11 +123,15 @@ class WordTokenizer:
                 del known[w]
         pool = np.frombuffer(b"".join(parts), dtype="<u4")
         sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
-        starts = np.cumsum(sizes) - sizes
-        n = sizes[codes]  # ids of every word of the texts
-        ends = np.concatenate(([0], np.cumsum(n)))
-        ids = pool[np.repeat(starts[codes] - ends[:-1], n) + np.arange(ends[-1])]
-        return ids, ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        total = int(sizes[codes].sum())
+        place = np.int32 if max(total, len(pool)) < 1 << 31 else np.int64  # half the memory but for gigantic texts
+        starts = (np.cumsum(sizes) - sizes).astype(place)
+        n = sizes.astype(place)[codes]  # ids of every word of the texts
+        ends = np.zeros(len(n) + 1, dtype=place)
+        np.cumsum(n, out=ends[1:])
+        at = np.repeat(starts[codes] - ends[:-1], n)
+        at += np.arange(total, dtype=place)
+        return pool[at], ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
 
 
 def pieces(docs: DataFrame, sequence: int = SEQUENCE, tokenizer_path: str | None = None,
@@ -142,7 +145,7 @@ def pieces(docs: DataFrame, sequence: int = SEQUENCE, tokenizer_path: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokenizer(path)
-        for part in in_parts(batches, max_bytes=PART_BYTES):
+        for part in in_parts(batches):
             ids, offsets = tokens.ids(part.column(1))
             rows = []
             for doc_id, low, high in zip(part.column(0).to_pylist(), offsets[:-1], offsets[1:], strict=True):
