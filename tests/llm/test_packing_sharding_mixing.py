@@ -209,6 +209,17 @@ def test_raking_meets_every_margin(spark):
     assert all(abs(got[c] - want[c]) < 1e-4 * want[c] for c in want)
 
 
+def test_few_and_many_cells_get_the_same_odds(spark):
+    rng = random.Random(5)
+    cells = [(s, la, t, rng.randrange(0, 5000)) for s in "abcde" for la in ("", "en", "fr") for t in (-1, 0, 1)
+             if rng.random() < 0.8]
+    df = spark.createDataFrame(cells, "source string, lang string, topic int, tokens long")
+    few, many = (sorted(tuple(r) for r in mx.odds(df, mx.TEMPERATURE, 0.6, n).collect()) for n in (1000, 0))
+    assert [r[:4] for r in few] == [r[:4] for r in many]
+    assert np.allclose([r[4:] for r in few], [r[4:] for r in many], rtol=1e-6)
+    assert abs(sum(r[3] * r[5] for r in few) - 0.6 * sum(r[3] for r in few)) < 1e-3
+
+
 def test_probabilities_meet_the_budget(spark):
     df = spark.createDataFrame([("a", 100, 1.0), ("b", 300, 0.2), ("c", 50, 9.0), ("d", 0, 3.0)],
                                "source string, tokens long, weight double")
