@@ -1,54 +1,55 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings of 4 to 8 letters, each at the levels
-"once", "twice" and "four times or more" of a document.  Of the terms of
-the labelled examples those whose chi-squared statistic against the label
-is significant are kept; their document frequencies are counted over the
-whole corpus.  The examples' unit vectors go into a block-max inverted
-index: a posting list per term, cut into blocks of examples, with the
-largest weight of each block.  A document's blocks are visited by falling
-upper bound and left when no block can reach its K-th best cosine, so the
-nearest examples are exact.  They vote with their squared cosine; a
-logistic curve fitted on the examples' leave-one-out votes calibrates the
-score, and the neighbours are its evidence.
-
-Bounds: ``EXAMPLES`` labelled rows of each class (smallest hash of the id)
-and ``MAX_TERMS`` terms; votes weigh a class by the rows one example
-stands for.  Corpus frequencies and scoring cover every document.
-
-Defined cases: NULL and empty texts, and texts without a kept term, score
-what such examples' labels say (smoothed); a NULL id is not held out;
-repeated label rows count once, toxic if any says so; without labelled
-examples every score is 0; ties in cosine go to the smaller example id;
-an empty table gives an empty result; extra columns are ignored.
+Terms are words and word beginnings of 4 to 8 letters, with their count in
+the text.  Every term of the labelled examples is kept.  A text's vector
+holds, for each, its count times its idf over the whole corpus times
+``1 + sqrt(chi2)``, the term's chi-squared statistic against the label
+among the examples: no term is left out, telling ones weigh more.  The
+examples' vectors go into a block-max inverted index: a posting list per
+term, cut into blocks of examples, with the largest weight of each block;
+only blocks that hold a posting are stored.  A document's blocks are
+visited by falling upper bound and left when no block can reach its K-th
+best cosine, so the nearest examples are exact.  They vote with their
+squared cosine; a logistic curve fitted on the examples' leave-one-out
+votes calibrates the score, and the neighbours are its evidence.
+
+Bounds: ``EXAMPLES`` labelled rows of each class (smallest hash of the id);
+terms and postings are bounded by their texts only.  Votes weigh a class by
+the rows one example stands for.  Corpus frequencies and scoring cover
+every document.
+
+Defined cases: NULL and empty texts, and texts without a term of any
+example, score what such examples' labels say (smoothed); a NULL id is not
+held out; repeated label rows count once, toxic if any says so; without
+labelled examples every score is 0; ties in cosine go to the smaller
+example id; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, in_parts, stored
 
 EXAMPLES = {1: 2048, 0: 6144}
-MAX_TERMS = 256
-MIN_CHI2 = 30.0
-MIN_EXAMPLES = 3  # of a kept term
-LEVELS = (1, 2, 4)
 PREFIXES = range(4, 9)
 NEIGHBOURS = 15
 BLOCK = 64
-STEP = 8  # posting blocks looked at together
+STEP = 8  # posting blocks looked at together, doubled after each look
+ALIKE = 32  # most frequent terms whose presence orders the examples
 DOUBT = 0.5  # weight on the clean side of every vote; a neighbour at cosine 1 has 1
 THRESHOLD = 0.7
-KNOWN = 10_000  # scores of sets of terms that a task remembers
+KNOWN = 10_000  # texts whose score a task remembers
 SEED = 11
 
 # letters and bytes beyond ASCII make words
@@ -64,81 +65,134 @@ def bases_of(word: str) -> list[str]:
     return [word, *[word[:n] + "*" for n in PREFIXES if len(word) > n]]
 
 
-def levelled(counts: Counter) -> list[str]:
-    return [f"{base}#{level}" for base, n in counts.items() for level in LEVELS if n >= level]
-
-
 def all_terms(text: str) -> list[str]:
-    counts: Counter = Counter()
-    for word, n in Counter(words_of(text)).items():
-        for base in bases_of(word.decode("utf-8", "replace")):
-            counts[base] += n
-    return levelled(counts)
+    """The distinct terms of a text."""
+    return list({b for w in set(words_of(text)) for b in bases_of(w.decode("utf-8", "replace"))})
 
 
 class Vocabulary:
-    """The kept terms; finds those of a text without looking at most of its words twice."""
-
-    def __init__(self, terms: list[str]):
-        self.at = {t: i for i, t in enumerate(terms)}
-        self.bases = {t.rsplit("#", 1)[0] for t in terms}
-        self.heads = {b.rstrip("*").encode()[:4] for b in self.bases}
-        self.memo: dict[bytes, list[str]] = {}
-
-    def found(self, text: str) -> list[int]:
-        heads = self.heads
-        counts: Counter = Counter()
-        for word, n in Counter([w for w in words_of(text) if w[:4] in heads]).items():
+    """Numbers of the terms; remembers those of the words it has met."""
+
+    def __init__(self, at: dict[str, int]):
+        self.at = at
+        self.memo: dict[bytes, list[int]] = {}
+
+    def found(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """``(term numbers, counts)`` of the text's known terms, by number."""
+        terms: list[int] = []
+        counts, lengths = [], []
+        for word, n in Counter(words_of(text)).items():
             held = self.memo.get(word)
             if held is None:
                 if len(self.memo) > 100_000:
                     self.memo.clear()
-                held = self.memo[word] = [b for b in bases_of(word.decode("utf-8", "replace")) if b in self.bases]
-            for base in held:
-                counts[base] += n
-        return sorted(self.at[t] for t in levelled(counts) if t in self.at)
+                held = self.memo[word] = [i for b in bases_of(word.decode("utf-8", "replace"))
+                                          if (i := self.at.get(b)) is not None]
+            if held:
+                terms += held
+                counts.append(n)
+                lengths.append(len(held))
+        if not terms:
+            return np.empty(0, dtype=np.int64), np.empty(0)
+        at, where = np.unique(np.array(terms, dtype=np.int64), return_inverse=True)
+        return at, np.bincount(where, np.repeat(counts, lengths))
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers ``starts[i] ... starts[i] + lengths[i] - 1`` of every i, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(lengths.sum())
+
+
+def _least(values: np.ndarray) -> np.ndarray:
+    """Non-negative whole numbers in the smallest type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
 
 
 class BlockMaxIndex:
     """Posting lists of unit vectors in blocks of ``BLOCK`` examples, each with its largest weight.
 
-    A term's posting block is a row of ``BLOCK`` weights; only blocks that
-    hold a weight are kept, ``slot[term, block]`` names the row (0: none).
+    ``vectors`` is a matrix, or ``(row, term, value, number of terms)`` of
+    its non-zero values; a posting weighs its value times the ``scale`` of
+    its example.  Term ``t`` has the blocks ``term_at[t]`` to ``term_at[t + 1]``
+    (those that hold a posting), block ``e`` of a term the postings
+    ``block_at[e]`` to ``block_at[e + 1]``.
     """
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, labels: np.ndarray):
+    def __init__(self, vectors: np.ndarray | tuple, ids: np.ndarray, labels: np.ndarray,
+                 scale: np.ndarray | None = None):
+        if isinstance(vectors, np.ndarray):
+            row, term = np.nonzero(vectors)
+            value, n_terms = vectors[row, term], vectors.shape[1]
+        else:
+            row, term, value, n_terms = vectors
+        self.n = len(ids)
+        scale = np.ones(self.n) if scale is None else scale
         # like examples lie side by side, so that a block's largest weights say much
-        order = np.lexsort((ids, *np.sign(vectors).T[::-1])) if len(ids) else np.empty(0, dtype=int)
-        vectors, self.ids, self.labels = vectors[order], ids[order], labels[order]
-        self.n, terms = len(self.ids), vectors.shape[1]
-        blocks = -(-self.n // BLOCK)
-        padded = np.zeros((blocks * BLOCK, terms))
-        padded[:self.n] = vectors
-        postings = padded.T.reshape(terms, blocks, BLOCK)
-        self.largest = postings.max(axis=2)  # term x block
-        held = self.largest > 0
-        self.slot = np.zeros((terms, blocks), dtype=np.int64)
-        self.slot[held] = np.arange(1, held.sum() + 1)
-        self.rows = np.concatenate((np.zeros((1, BLOCK)), postings[held]))
-
-    def nearest(self, terms: list[int], weights: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        often = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:ALIKE]
+        column = np.full(n_terms, -1)
+        column[often] = np.arange(len(often))
+        alike = np.zeros((len(often), self.n), dtype=bool)
+        shown = column[term] >= 0
+        alike[column[term[shown]], row[shown]] = True
+        order = np.lexsort((ids, *alike[::-1], labels))
+        self.ids, self.labels, self.scale = ids[order], labels[order], scale[order]
+        place = np.empty(self.n, dtype=np.int64)
+        place[order] = np.arange(self.n)
+        at = _least(place[row])
+        by = np.lexsort((at, term))
+        self.at, self.value = at[by], value[by]
+        self.posting_at = np.searchsorted(term[by], np.arange(n_terms + 1)).astype(np.int32)
+        self.cut()
+
+    def cut(self) -> None:
+        """Cut the posting lists into blocks."""
+        self.blocks = -(-self.n // BLOCK)
+        block = _least(self.at // BLOCK)
+        new = np.diff(block, prepend=block[:1]) != 0
+        new[self.posting_at[:-1][np.diff(self.posting_at) > 0]] = True
+        first = np.flatnonzero(new).astype(np.int32)
+        self.term_at = np.searchsorted(first, self.posting_at).astype(np.int32)
+        self.block_at = np.append(first, len(self.at)).astype(np.int32)
+        self.block = block[first]
+        self.largest = np.maximum.reduceat(self.value * self.scale[self.at], first) if len(first) else np.empty(0)
+
+    def lists(self) -> dict:
+        """What ``cut`` starts from."""
+        return {k: vars(self)[k] for k in ("n", "ids", "labels", "scale", "at", "value", "posting_at")}
+
+    def nearest(self, terms: list[int] | np.ndarray, weights: np.ndarray, k: int,
+                leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """``(example positions, cosines)`` of the ``k`` nearest with a common term; ``leave`` is passed over."""
-        bounds = weights @ self.largest[terms]
+        start = self.term_at[terms]
+        held = self.term_at[np.asarray(terms) + 1] - start
+        e, weight = _ranges(start, held), np.repeat(weights, held)
+        block = self.block[e]
+        bounds = np.bincount(block, weight * self.largest[e], minlength=self.blocks)
         order = np.argsort(-bounds, kind="stable")
-        slots = self.slot[terms]
         at, score = np.empty(0, dtype=np.int64), np.empty(0)
-        for i in range(0, len(order), STEP):
+        i, step = 0, STEP
+        while i < len(order):
             least = score[-1] - 1e-12 if len(score) == k else 0.0
-            if bounds[order[i]] <= 0 or bounds[order[i]] < least:
+            blocks = order[i:i + step]
+            blocks = blocks[(bounds[blocks] > 0) & (bounds[blocks] >= least - 1e-9)]
+            if not len(blocks):
                 break
-            blocks = order[i:i + STEP]
-            found = np.round(np.tensordot(weights, self.rows[slots[:, blocks]], axes=1), 12)
+            i, step = i + step, 2 * step
+            chosen = np.zeros(self.blocks, dtype=bool)
+            chosen[blocks] = True
+            here = np.flatnonzero(chosen[block])
+            first = self.block_at[e[here]]
+            number = self.block_at[e[here] + 1] - first
+            p = _ranges(first, number)
+            found = np.round(np.bincount(self.at[p], np.repeat(weight[here], number) * self.value[p], minlength=self.n)
+                             * self.scale, 12)
+            if leave >= 0:
+                found[leave] = 0.0
             if found.size > k:
-                least = max(least, np.partition(found.ravel(), found.size - k - 1)[found.size - k - 1] - 1e-12)
-            b, j = np.nonzero((found > 0) & (found >= least))
-            new = blocks[b] * BLOCK + j
-            keep = new != leave
-            at, score = np.concatenate((at, new[keep])), np.concatenate((score, found[b, j][keep]))
+                least = max(least, np.partition(found, found.size - k)[found.size - k] - 1e-12)
+            new = np.flatnonzero((found > 0) & (found >= least))
+            at, score = np.concatenate((at, new)), np.concatenate((score, found[new]))
             best = np.lexsort((self.ids[at], -score))[:k]
             at, score = at[best], score[best]
         return at, score
@@ -150,31 +204,33 @@ _EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())
 @dataclass
 class ToxicityModel:
     vocabulary: Vocabulary
-    idf: np.ndarray
-    index: BlockMaxIndex
+    weight: np.ndarray  # of each term
+    index: BlockMaxIndex  # of the examples' counts
     class_weight: tuple[float, float]
     curve: tuple[float, float]  # of the calibrated score over the vote
     without_terms: float
     neighbours: int = NEIGHBOURS
+    sent: tuple[Broadcast, Broadcast] | None = None  # the term numbers; the term weights and posting lists
 
-    def vector(self, terms: list[int]) -> np.ndarray:
-        v = self.idf[terms]
-        return v / np.linalg.norm(v)
+    def maker(self) -> Callable[[], ToxicityModel]:
+        return _maker(*self.sent, (self.class_weight, self.curve, self.without_terms, self.neighbours))
 
-    def vote(self, terms: list[int], leave: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
+    def vote(self, terms: np.ndarray, counts: np.ndarray, leave: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
         """Share of the toxic neighbours' weight, and the neighbours; None without any."""
-        if not terms:
+        if not len(terms):
             return None, np.empty(0, dtype=int), np.empty(0)
-        at, cosine = self.index.nearest(terms, self.vector(terms), self.neighbours, leave)
+        v = counts * self.weight[terms]
+        # the index holds counts: the examples' term weights are in the query
+        at, cosine = self.index.nearest(terms, v / np.linalg.norm(v) * self.weight[terms], self.neighbours, leave)
         if not len(at):
             return None, at, cosine
         weight = cosine ** 2 * np.where(self.index.labels[at] == 1, self.class_weight[1], self.class_weight[0])
         # DOUBT stands for unseen clean neighbours: far ones alone can't carry a vote
         return float((weight * self.index.labels[at]).sum() / (weight.sum() + DOUBT)), at, cosine
 
-    def score(self, terms: list[int]) -> tuple[float, np.ndarray, np.ndarray]:
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Calibrated score and its evidence: positions and cosines of the neighbours, nearest first."""
-        share, at, cosine = self.vote(terms)
+        share, at, cosine = self.vote(terms, counts)
         if share is None:
             return self.without_terms, at, cosine
         a, b = self.curve
@@ -220,48 +276,55 @@ def chosen_examples(labels: DataFrame, bounds: dict[int, int] = EXAMPLES) -> tup
     return of(1).unionByName(of(0)), {c: totals.get(c, 0) / max(1, min(totals.get(c, 0), n)) for c, n in bounds.items()}
 
 
-def kept_terms(texts: DataFrame, n_toxic: int, n_other: int) -> list[str]:
-    """The most significant terms of ``texts(doc_id, text, toxic)``, at most ``MAX_TERMS``.
+def term_counts(texts: DataFrame) -> pa.Table:
+    """``(term, a, b)``: toxic and other rows of ``texts(doc_id, text, toxic)`` that hold each term, by term."""
+    @F.arrow_udf("array<string>")
+    def terms(text: pa.Array) -> pa.Array:
+        return pa.array((all_terms(t.as_py() or "") for t in text), type=pa.list_(pa.string()))
 
-    Of terms that the same examples hold only the longest of a beginning is kept.
-    """
-    @F.pandas_udf("array<string>")
-    def terms(text: pd.Series) -> pd.Series:
-        return pd.Series([all_terms(t or "") for t in text], dtype=object)
-
-    counts = texts.select("toxic", F.explode(terms("text")).alias("term")).groupBy("term") \
-        .agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
-    c, d, n = F.lit(float(n_toxic)) - F.col("a"), F.lit(float(n_other)) - F.col("b"), float(n_toxic + n_other)
-    chi2 = F.lit(n) * F.pow(F.col("a") * d - F.col("b") * c, F.lit(2)) \
-        / F.greatest((F.col("a") + F.col("b")) * (c + d) * F.lit(float(n_toxic) * float(n_other)), F.lit(1e-9))
-    head = F.substring("term", 1, 4)
-    level = F.substring_index("term", "#", -1)
-    best = counts.where(F.col("a") + F.col("b") >= MIN_EXAMPLES).withColumn("chi2", F.round(chi2, 9)) \
-        .where(F.col("chi2") >= MIN_CHI2) \
-        .groupBy("a", "b", "chi2", head.alias("head"), level.alias("level")) \
-        .agg(F.max(F.struct(F.length("term").alias("n"), "term"))["term"].alias("term"))
-    rows = best.orderBy(F.desc("chi2"), F.desc(F.length("term")), "term").limit(MAX_TERMS).collect()
-    return [r["term"] for r in rows]
-
-
-def corpus_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
+    return texts.select("toxic", F.explode(terms("text")).alias("term")).groupBy("term") \
+        .agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).toArrow().sort_by("term")
+
+
+def chi_squared(a: np.ndarray, b: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
+    """Of a term in ``a`` of the toxic and ``b`` of the other examples; 0 without both classes."""
+    c, d, n = n_toxic - a, n_other - b, float(n_toxic + n_other)
+    return n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * float(n_toxic) * float(n_other), 1e-9)
+
+
+def corpus_frequencies(docs: DataFrame, at: Broadcast, n_terms: int) -> tuple[np.ndarray, int]:
     """Documents of the corpus that hold each term, and their number."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(terms)
-        held = np.zeros(len(terms) + 1, dtype=np.int64)  # the last counts documents
+        vocabulary = Vocabulary(at.value)
+        held = np.zeros(n_terms + 1, dtype=np.int64)  # the last counts documents
         for batch in in_parts(batches):
             for text in batch.column(1):
-                held[vocabulary.found(text.as_py() or "")] += 1
+                held[vocabulary.found(text.as_py() or "")[0]] += 1
             held[-1] += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(held))), pa.array(held)], names=["term", "n"])
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], names=["term", "n"])
 
-    rows = docs.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    found = np.zeros(len(terms) + 1, dtype=np.int64)
-    for r in rows:
-        found[r["term"]] = r["n"]
+    rows = docs.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = np.zeros(n_terms + 1, dtype=np.int64)
+    found[rows["term"].to_numpy()] = rows["n"].to_numpy()
     return found[:-1], int(found[-1])
 
 
+def _maker(at: Broadcast, lists: Broadcast, rest: tuple) -> Callable[[], ToxicityModel]:
+    """Makes a model in a task; a worker cuts the posting lists once."""
+    def make() -> ToxicityModel:
+        held = lists.value
+        index = BlockMaxIndex.__new__(BlockMaxIndex)
+        index.__dict__.update(held["index"])
+        if "cut" not in held:
+            index.cut()
+            held["index"] = dict(vars(index))
+            held["cut"] = True
+        return ToxicityModel(Vocabulary(at.value), held["weight"], index, *rest)
+
+    return make
+
+
 def fit(docs: DataFrame, labels: DataFrame, bounds: dict[int, int] = EXAMPLES) -> ToxicityModel | None:
     """The model of the labelled rows that aren't held out; None without any."""
     docs = id_and_text(docs)
@@ -271,71 +334,87 @@ def fit(docs: DataFrame, labels: DataFrame, bounds: dict[int, int] = EXAMPLES) -
     n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic + n_other:
         return None
-    terms: list[str] = []
-    if n_toxic and n_other:
-        single = texts.dropDuplicates(["text", "toxic"])  # copies of a text are one witness
-        n = {r["toxic"]: r["n"] for r in single.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-        terms = kept_terms(single, n[1], n[0])
-    frequency, n_docs = corpus_frequencies(docs, terms)
-    idf = np.log(1 + n_docs / np.maximum(frequency, 1))
+    single = texts.dropDuplicates(["text", "toxic"])  # copies of a text are one witness
+    n = {r["toxic"]: r["n"] for r in single.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = term_counts(single)
+    a, b = (counted[c].to_numpy().astype(np.float64) for c in "ab")
+    at = {t: i for i, t in enumerate(counted["term"].to_pylist())}
+    sent = docs.sparkSession.sparkContext.broadcast(at)
+    frequency, n_docs = corpus_frequencies(docs, sent, len(at))
+    term_weight = np.log(1 + n_docs / np.maximum(frequency, 1)) * (1 + np.sqrt(chi_squared(a, b, n.get(1, 0), n.get(0, 0))))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(terms)
+        vocabulary = Vocabulary(sent.value)
         for batch in batches:
             held = [vocabulary.found(t.as_py() or "") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(held, pa.list_(pa.int64()))],
-                                             names=["doc_id", "toxic", "terms"])
-
-    rows = sorted(texts.select("doc_id", "text", "toxic").mapInArrow(found, "doc_id long, toxic int, terms array<long>")
-                  .collect(), key=lambda r: (r["doc_id"], r["terms"]))  # bounded rows of at most MAX_TERMS numbers
-    with_terms = [r for r in rows if r["terms"]]
-    vectors = np.zeros((len(with_terms), len(terms)))
-    for i, r in enumerate(with_terms):
-        vectors[i, r["terms"]] = idf[r["terms"]]
-    if len(vectors):
-        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-    index = BlockMaxIndex(vectors, np.array([r["doc_id"] for r in with_terms], dtype=np.int64),
-                          np.array([r["toxic"] for r in with_terms], dtype=np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array([h[0] for h in held], pa.list_(pa.int32())),
+                 pa.array([h[1].astype(np.int32) for h in held], pa.list_(pa.int32()))],
+                names=["doc_id", "toxic", "terms", "counts"])
+
+    rows = texts.select("doc_id", "text", "toxic") \
+        .mapInArrow(found, "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow()  # the bounds of rows
+    ids, toxic = rows["doc_id"].to_numpy(), rows["toxic"].to_numpy().astype(np.int64)
+    length = pc.list_value_length(rows["terms"]).to_numpy().astype(np.int64)
+    term = pc.list_flatten(rows["terms"]).to_numpy()
+    value = _least(pc.list_flatten(rows["counts"]).to_numpy())
+    del rows
+    held = length > 0
+    row = np.repeat((np.cumsum(held) - 1).astype(np.int32), length)
+    norm = np.sqrt(np.bincount(row, (value * term_weight[term]) ** 2, minlength=held.sum()))
+    index = BlockMaxIndex((row, term, value, len(at)), ids[held], toxic[held], 1 / norm)
     weight = (stands_for[0], stands_for[1])
-    bare = [sum(weight[c] for r in rows if not r["terms"] and r["toxic"] == c) for c in (0, 1)]
+    bare = [weight[c] * int((~held & (toxic == c)).sum()) for c in (0, 1)]
     without = (bare[1] + 0.5 * n_toxic / (n_toxic + n_other)) / (bare[0] + bare[1] + 1)
-    model = ToxicityModel(Vocabulary(terms), idf, index, weight, (0.0, 0.0), without)
-    # leave-one-out votes; alike examples vote alike, so each distinct (terms, label) votes once
-    kinds = Counter((tuple(r["terms"]), r["toxic"]) for r in with_terms)
-    votes, truth, mass = [], [], []
-    places = {int(d): i for i, d in enumerate(index.ids)}
-    for r in {(tuple(r["terms"]), r["toxic"]): r for r in with_terms}.values():
-        share, *_ = model.vote(list(r["terms"]), leave=places[r["doc_id"]])
-        if share is not None:
-            votes.append(share)
-            truth.append(r["toxic"])
-            mass.append(kinds[tuple(r["terms"]), r["toxic"]] * weight[r["toxic"]])
-    if votes:
-        model.curve = logistic_curve(np.array(votes), np.array(truth), np.array(mass))
+    lists = docs.sparkSession.sparkContext.broadcast({"index": index.lists(), "weight": term_weight})
+    model = ToxicityModel(Vocabulary(at), term_weight, index, weight, (0.0, 0.0), without, sent=(sent, lists))
+    make = model.maker()
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = make()
+        places: dict[int, list[int]] = {}
+        for i, d in enumerate(model.index.ids.tolist()):
+            places.setdefault(d, []).append(i)
+        for batch in batches:
+            shares = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                terms, counts = model.vocabulary.found(text or "")
+                shares.append(model.vote(terms, counts, places[doc_id][0])[0] if len(terms) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(shares, pa.float64())],
+                                             names=["doc_id", "toxic", "share"])
+
+    votes = texts.select("doc_id", "text", "toxic").mapInArrow(left_out, "doc_id long, toxic int, share double") \
+        .where(F.col("share").isNotNull()).toArrow().sort_by([("doc_id", "ascending"), ("share", "ascending")])
+    if votes.num_rows:
+        truth = votes["toxic"].to_numpy().astype(np.int64)
+        model.curve = logistic_curve(votes["share"].to_numpy(), truth, np.array(weight)[truth])
     return model
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, score, evidence array<struct<doc_id, cosine, toxic>>)`` for every document; no shuffle.
 
-    The model travels with the task's function: its size is bounded by the examples and terms.
+    The model is broadcast: its size is bounded by the examples' texts.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", _EVIDENCE)])
+    make = model.maker() if model else lambda: None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[int, ...], tuple[float, np.ndarray, np.ndarray]] = {}  # of the same terms: scored alike
+        model = make()
+        known: dict[bytes, tuple[float, np.ndarray, np.ndarray]] = {}  # of the same text: scored alike
         for batch in in_parts(batches):
             if model is None:
                 scores, evidence = np.zeros(batch.num_rows), pa.array([[]] * batch.num_rows, _EVIDENCE)
             else:
                 found = []
                 for text in batch.column(1):
-                    terms = tuple(model.vocabulary.found(text.as_py() or ""))
-                    if terms not in known:
+                    text = text.as_py() or ""
+                    key = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                    if key not in known:
                         if len(known) >= KNOWN:
                             known.clear()
-                        known[terms] = model.score(list(terms))
-                    found.append(known[terms])
+                        known[key] = model.score(*model.vocabulary.found(text))
+                    found.append(known[key])
                 scores = np.array([f[0] for f in found])
                 evidence = model.evidence([f[1] for f in found], [f[2] for f in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), evidence], schema=schema)

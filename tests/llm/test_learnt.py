@@ -68,6 +68,37 @@ def test_odd_rows_and_missing_labels(spark, odd_docs, no_docs):
         assert r["score"] < 0.5 and r["evidence"] == []
 
 
+def test_every_term_of_the_examples_is_searched(spark):
+    # nothing tells the labels apart: no term is significant, and each text has a word of its own
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(12)) + f" zq{chr(97 + i % 26)}{chr(97 + i // 26)}"
+             for i in range(60)]
+    labels = [(i, 1, i % 2) for i in range(60)]
+    known = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    words = {i: texts[i].split() for i in known}
+    probes = [(1000 + i, " ".join([words[i][-1]] * 3)) for i in known]
+    table = spark.createDataFrame(list(enumerate(texts)) + probes, "doc_id long, text string")
+    model = tx.fit(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r["doc_id"]: r["evidence"] for r in tx.score(table, model).collect()}
+    counts = [tx.Counter(b for w in texts[i].split() for b in tx.bases_of(w)) for i in known]
+    assert set(model.vocabulary.at) == {b for c in counts for b in c}
+    x = np.zeros((len(known), len(model.weight)))
+    for k, c in enumerate(counts):
+        for b, n in c.items():
+            x[k, model.vocabulary.at[b]] = n * model.weight[model.vocabulary.at[b]]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k, i in enumerate(known):
+        assert got[1000 + i][0]["doc_id"] == i  # found by a word that one example holds
+        cosines = np.round(x @ x[k], 9)
+        want = sorted((-c, known[j]) for j, c in enumerate(cosines) if c > 0)[:15]
+        assert np.allclose([e["cosine"] for e in got[i]], [-c for c, _ in want], atol=1e-8)
+
+
+def test_counts_of_a_term_are_not_levelled():
+    terms, counts = tx.Vocabulary({"bad": 0, "good": 1}).found("bad " * 7 + "good bad")
+    assert terms.tolist() == [0, 1] and counts.tolist() == [8, 1]
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(4)
     vectors = rng.random((700, 30)) * (rng.random((700, 30)) < 0.15)
