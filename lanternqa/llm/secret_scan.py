@@ -1,10 +1,12 @@
 """Secret scan: fixed patterns, and zstandard novelty in sensitive contexts.
 
 The base patterns (assignments, access keys, long hex runs) give spans
-that always stay.  Beyond them, a long unbroken string shortly after a
-sensitive word is a candidate: its marginal compressed size is what the
+that always stay.  Beyond them, every unbroken string of
+``LEAST`` code points or more with a sensitive word in the ``AROUND`` code
+points on either side, on whatever line, is a candidate: its marginal compressed size is what the
 compressor, primed with a dictionary of common identifiers, needs for the
-text around it with the candidate, minus what it needs without.  Words,
+text around it with the candidate, minus what it needs without.  Other
+occurrences of the candidate are taken out of the text around it first.  Words,
 placeholders and repeated identifiers cost next to nothing; a string that
 costs about as much as its alphabet allows is reported as ``novel``.
 
@@ -17,7 +19,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -46,8 +49,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 SENSITIVE_WORDS = ("passphrase", "pwd", "credential", "bearer", "authorization", "private_key", "private key",
                    "access_key", "access key", "client_secret", "auth_token", "signing_key", "encryption_key",
                    "session_key", "password", "passwd", "secret", "token", "apikey", "api_key")
-SENSITIVE = re.compile("(?:" + "|".join(map(_either, SENSITIVE_WORDS)) + r")[^\n]{0,24}?(?<![A-Za-z0-9+/_=-])"
-                       r"([A-Za-z0-9+/_=-]{16,})")
+SENSITIVE = re.compile("|".join(map(_either, SENSITIVE_WORDS)))
+LEAST = 16  # code points of a candidate
+RUN = re.compile(r"\S{%d,}" % LEAST)
+#: What may part strings of a run; a run that isn't novel as a whole is measured in its parts.
+PARTED = re.compile(r"""[^\s"'`()\[\]{}<>,;:=&?|]{%d,}""" % LEAST)
+JOINT = re.compile(r"""["'`][,:;=]+["'`]?""")  # where one quoted string ends and the next begins
+EDGES = "\"'`()[]{}<>,;:."  # around a string, not of it
 #: What the compressor knows beforehand: plain identifiers and placeholders around secrets.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key client_secret client_id auth authorization "
@@ -63,14 +71,25 @@ NOVELTY = 0.85  # of the bytes a random string of the same alphabet and length n
 
 
 def alphabet_size(s: str) -> int:
-    """Size of the smallest usual alphabet that holds the string."""
+    """Size of the smallest usual alphabet that holds the ASCII string."""
     if re.fullmatch(r"[0-9]+", s):
         return 10
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
         return 16
+    if re.fullmatch(r"[A-Za-z]+", s):
+        return 26 if s.lower() == s or s.upper() == s else 52
+    if not re.fullmatch(r"[A-Za-z0-9+/_=-]+", s):
+        return 94
     return 36 if s.lower() == s or s.upper() == s else 64
 
 
+def random_bits(s: str) -> float:
+    """Bits of a random string of the same alphabet and length; beyond ASCII, all of the bytes."""
+    ascii_only = "".join(c for c in s if c < "\x80")
+    rest = len(s.encode("utf-8", "surrogatepass")) - len(ascii_only)
+    return 8 * rest + (len(ascii_only) * math.log2(alphabet_size(ascii_only)) if ascii_only else 0)
+
+
 def novelty_meter() -> Callable[[str, str], float]:
     """``f(surrounding, candidate)``: marginal compressed bytes over the random string's bytes."""
     primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -82,7 +101,7 @@ def novelty_meter() -> Callable[[str, str], float]:
 
     def novelty(surrounding: str, candidate: str) -> float:
         extra = cost(surrounding + candidate) - cost(surrounding)
-        return extra * 8 / (len(candidate) * math.log2(alphabet_size(candidate)))
+        return extra * 8 / random_bits(candidate)
 
     return novelty
 
@@ -99,6 +118,30 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def strings(text: str, known: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """``(start, end)`` of what the ``known`` spans (in order) leave of the text's unbroken strings, without ``EDGES``."""
+    i = 0
+    for run in RUN.finditer(text):
+        at = run.start()
+        while i < len(known) and known[i][1] <= at:
+            i += 1
+        j, pieces = i, []
+        while j < len(known) and known[j][0] < run.end():
+            pieces.append((at, known[j][0]))
+            at = max(at, known[j][1])
+            j += 1
+        i = max(i, j - 1)
+        pieces.append((at, run.end()))
+        joints = [(s, e, [m.span() for m in JOINT.finditer(text, s, e)]) for s, e in pieces if s < e]
+        for s, e in [p for s, e, cuts in joints for p in zip([s, *[c[1] for c in cuts]], [*[c[0] for c in cuts], e], strict=True)]:
+            while s < e and text[s] in EDGES + "=":
+                s += 1
+            while s < e and text[e - 1] in EDGES:
+                e -= 1
+            if e - s >= LEAST:
+                yield s, e
+
+
 def scanner() -> Callable[[str], tuple]:
     """``f(text)``: its spans as ``[{kind, start, end, novelty}]``."""
     novelty = novelty_meter()
@@ -108,14 +151,28 @@ def scanner() -> Callable[[str], tuple]:
         spans = [(s, e, k, None) for s, e, k in base_spans(text)]
         data = text.encode("utf-8", "surrogatepass").lower()
         if any(w in data for w in words):
-            for m in SENSITIVE.finditer(text):
-                s, e = m.span(1)
-                mixed = any(c.isdigit() for c in m[1]) and any(c.isalpha() for c in m[1])
-                if not mixed or any(s < b[1] and b[0] < e for b in spans):
-                    continue
-                value = novelty(text[max(0, s - AROUND):s] + text[e:e + AROUND], m[1])
-                if value >= NOVELTY:
+            sensitive = [m.span() for m in SENSITIVE.finditer(text)]
+            starts, ends = [s for s, _ in sensitive], [e for _, e in sensitive]
+            # neither sensitive words nor base spans are part of a candidate
+            known = sorted(sensitive + [s[:2] for s in spans])
+
+            def measured(s: int, e: int) -> float | None:
+                """The novelty, where a sensitive word is in the context."""
+                i = bisect_left(ends, s - AROUND)
+                if i == len(starts) or starts[i] > e + AROUND:
+                    return None
+                around = text[max(0, s - AROUND):s] + "\n" + text[e:e + AROUND]
+                return novelty(around.replace(text[s:e], ""), text[s:e])
+
+            for s, e in strings(text, known):
+                value = measured(s, e)
+                if value is not None and value >= NOVELTY:
                     spans.append((s, e, "novel", value))
+                    continue
+                for m in PARTED.finditer(text, s, e):
+                    value = None if m.span() == (s, e) else measured(*m.span())
+                    if value is not None and value >= NOVELTY:
+                        spans.append((*m.span(), "novel", value))
         spans.sort(key=lambda x: (x[0], KINDS.index(x[2])))
         return ([{"kind": k, "start": s, "end": e, "novelty": v} for s, e, k, v in spans],)
 
