@@ -11,7 +11,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph_ann, line_dedup, mixing, packing, quality_rules, secret_scan, sharding, simhash, toxicity, url_filter
+from . import (
+    graph_ann,
+    hard_negatives,
+    line_dedup,
+    mixing,
+    packing,
+    prefix_trie,
+    quality_rules,
+    secret_scan,
+    sharding,
+    simhash,
+    toxicity,
+    url_filter,
+)
 from .common import table
 
 
@@ -69,6 +82,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secret_scan.spelled(F.col("spans")).alias("spans"), count("novel").alias("n_novel"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
@@ -80,6 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
     "op10_secret_scan": op10_secret_scan,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _OP1 = f"""
@@ -139,8 +162,59 @@ SELECT page_id, host, path, CASE {rule} END AS rule,
 """
 
 
+_OP11 = """
+WITH u AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+        list_inner_product(a.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+    FROM u a JOIN u c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, vec_id)::INT AS rank,
+    vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, vec_id) <= 5
+"""
+
+# CRC-32 bit by bit: a byte goes in, then eight steps
+_CRC32 = """xor(list_reduce(flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+    lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda v, e: CASE WHEN e >= 0 THEN xor(v, e) WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END,
+    4294967295::BIGINT), 4294967295::BIGINT)"""
+
+_OP13 = f"""
+WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) AS chars,
+        md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS k
+    FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, k, chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS i FROM t),
+c AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 100 AS base, {_CRC32} % 6 AS h FROM o GROUP BY conv_id),
+l AS (SELECT c.conv_id, c.n, c.base, c.h, least(c.h, coalesce(b.n, 0)) AS lead
+    FROM c LEFT JOIN c b ON b.conv_id = c.base),
+r AS (SELECT l.conv_id, i - h + lead AS i, k, chars FROM o JOIN l USING (conv_id) WHERE i > h
+    UNION ALL SELECT l.conv_id, i, k, chars FROM o JOIN l ON o.conv_id = l.base AND i <= h),
+m AS MATERIALIZED (SELECT conv_id, 0 AS depth, '' AS path, NULL AS parent, 0 AS chars, lead + greatest(n - h, 0) = 0 AS ends FROM l
+    UNION ALL SELECT r.conv_id, i, md5(string_agg(k, '') OVER w), CASE WHEN i = 1 THEN '' ELSE
+        md5(string_agg(k, '') OVER (PARTITION BY r.conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) END,
+        chars, i = lead + greatest(n - h, 0)
+    FROM r JOIN l USING (conv_id) WINDOW w AS (PARTITION BY r.conv_id ORDER BY i)),
+n AS MATERIALIZED (SELECT depth, path, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM m GROUP BY depth, path),
+k AS MATERIALIZED (SELECT depth - 1 AS depth, parent AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+x AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (depth, path)),
+s AS (SELECT m.depth, m.path, count(*) FILTER (x.n_children = 0) AS n_leaves, sum((x.n_convs - 1) * x.chars) AS saved_tokens
+    FROM x JOIN m ON m.conv_id = x.conv_id AND m.depth <= x.depth GROUP BY ALL)
+SELECT x.conv_id, x.depth, q.conv_id AS parent_conv_id, x.n_convs, x.n_children, s.n_leaves,
+    s.saved_tokens::BIGINT AS saved_tokens, x.ends_sha256
+FROM x JOIN s USING (depth, path) LEFT JOIN n q ON q.depth = x.depth - 1 AND q.path = x.parent
+"""
+
 ORACLE: dict[str, str] = {
     "op1_line_dedup": _OP1,
     "op5_quality_rules": _OP5,
     "op6_url_filter": _op6_sql(),
+    "op11_hard_negatives": _OP11,
+    "op13_prefix_trie": _OP13,
 }
