@@ -119,13 +119,14 @@ def survivors(a: Vectors, c: Vectors, wanted: np.ndarray,
     cols = np.flatnonzero(wanted.any(axis=0))
     left, at = wanted[:, cols], 0
     with np.errstate(over="ignore", invalid="ignore"):
+        norms = [np.sqrt(np.square(v.x).sum(axis=1)) for v in (a, c)]
         for n in LEVELS:
             if not len(cols):
                 break
             level, at = slice(at, at + n), at + n
             middle = (a.x.shape[1] // n) * (a.means[:, level] @ c.means[cols, level].T)
             spread = a.deviations[:, level] @ c.deviations[cols, level].T
-            spread += 0.5 + 1e-9 * (np.abs(middle) + spread)
+            spread += 0.5 + 1e-9 * norms[0][:, None] * norms[1][cols]
             left &= open_to(np.clip(middle + spread, -2.0**63, 2.0**63), np.clip(middle - spread, -2.0**63, 2.0**63))
             keep = left.any(axis=0)
             cols, left = cols[keep], left[:, keep]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import (
     graph_ann,
     hard_negatives,
+    language_id,
     line_dedup,
     mixing,
     packing,
@@ -86,6 +87,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_secret_scan": op10_secret_scan,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_language_id": op12_language_id,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
