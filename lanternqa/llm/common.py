@@ -14,7 +14,20 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 
+#: Arrow batches between the JVM and Python are bounded by rows only unless this is set.
+BATCH_BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes as well, where the session leaves that open: 10,000 long texts
+    otherwise lie in the JVM's direct memory and in the Python worker at once."""
+    if BATCH_BYTES_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_BYTES_SETTING, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -31,6 +44,7 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     scattered over a file for each shuffle partition.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = scratch_path(spark, name)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
@@ -54,12 +68,13 @@ def compacted(df: DataFrame, name: str) -> DataFrame:
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id long, text string)`` and nothing else: extra columns of the
     input, whatever their names, never meet the operator's own columns."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).cast("string").alias("text"))
 
 
 #: Text of the rows that a Python worker has in hand at a time.
-PART_BYTES = 1 << 22
+PART_BYTES = 1 << 21
 
 
 def in_parts(batches: Iterable[pa.RecordBatch], text: int = 1, max_bytes: int = PART_BYTES) -> Iterator[pa.RecordBatch]:

@@ -37,6 +37,7 @@ END_ID = 0
 OPEN_BINS = 1 << 14
 GROUP_PIECES = 1 << 15
 CACHED_WORDS = 1 << 19  # of one task
+SLICE_BYTES = 1 << 20  # of text tokenised at a time
 CACHED_LETTERS = 64  # longer words aren't kept
 MARKS = string.punctuation  # of ASCII
 #: What keeps a text from being lower-cased beforehand.
@@ -145,7 +146,7 @@ def pieces(docs: DataFrame, sequence: int = SEQUENCE, tokenizer_path: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokenizer(path)
-        for part in in_parts(batches):
+        for part in in_parts(batches, max_bytes=SLICE_BYTES):
             ids, offsets = tokens.ids(part.column(1))
             rows = []
             for doc_id, low, high in zip(part.column(0).to_pylist(), offsets[:-1], offsets[1:], strict=True):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_texts
+from .common import bounded_batches, id_and_text, map_texts
 
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
@@ -126,6 +126,7 @@ def kept_documents(docs: DataFrame, policy: str, text_col: str = "text") -> Data
         found = np.array([measure(t.as_py() or "") for t in texts], dtype=np.int64).reshape(-1, len(MEASURES))
         return pa.StructArray.from_arrays([pa.array(found[:, i]) for i in range(len(MEASURES))], names=list(MEASURES))
 
+    bounded_batches(docs.sparkSession)
     own = [F.col(f"`{c}`") for c in docs.columns]
     beside = docs.select(F.struct(*own).alias("__row"), measured(F.col(text_col).cast("string")).alias("__m"))
     bits = beside.select("__row", "__m.*").withColumn("failures", failure_bits())
