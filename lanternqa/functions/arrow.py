@@ -6,8 +6,6 @@ callers apply them to distinct values where that shrinks the work.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -86,32 +84,3 @@ def murmur3_unsigned(terms: pa.Array) -> pa.Array:
         data = b"".join(raw.take(pa.array(at)).to_pylist())
         out[at] = murmur3_32(np.frombuffer(data, dtype=np.uint8).reshape(len(at), int(length)))
     return pa.array(out, mask=lengths < 0)
-
-
-_NAMED = re.compile(r"\(\?P(?:<(\w+)>|=(\w+)\))")  # (?P<name> and (?P=name)
-
-
-def java_pattern(pattern: str) -> str | None:
-    """The answer pattern in Java's syntax; None where it does not compile.
-
-    Patterns are checked in the dialect they come in (``regex``: Unicode
-    classes, named groups as ``(?P<n>..)`` and ``(?P=n)``).
-    """
-    import regex
-    try:
-        regex.compile(pattern, regex.IGNORECASE | regex.UNICODE | regex.MULTILINE)
-    except regex.error:
-        return None
-    names: dict[str, str] = {}
-
-    def renamed(m: re.Match) -> str:  # Java names hold letters and digits only
-        name = names.setdefault(m[1] or m[2], f"g{len(names)}")
-        return f"(?<{name}>" if m[1] else rf"\k<{name}>"
-
-    return _NAMED.sub(renamed, pattern)
-
-
-@F.arrow_udf(T.StringType())
-def regex_for_java(patterns: pa.Array) -> pa.Array:
-    """G2 helper: ``java_pattern`` of every pattern; apply it to distinct ones."""
-    return pa.array([None if p is None else java_pattern(p) for p in patterns.to_pylist()], type=pa.string())

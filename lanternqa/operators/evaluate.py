@@ -11,14 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import arrow
+from ..functions import arrow, patterns
 from ..functions.text import contains_token_run, normalize_answer, tokenize, words
 from .index import normalized_text
 from .joins import attach_text
 
 MATCH_MODES = ("string", "regex")
 NEVER = "(?!)"
-REGEX_FLAGS = "(?iUmd)"  # case, Unicode, line ends; only \\n ends a line
 
 
 def retrieved_texts(retrieved: DataFrame, docs: DataFrame, n_docs: int) -> DataFrame:
@@ -58,14 +57,17 @@ def answer_hits(retrieved: DataFrame, docs: DataFrame, answers: DataFrame, n_doc
     first = answers.select("query_id", F.get(F.col("answer"), 0).alias("pattern"))
     first = first.withColumn("pattern", normalized_text(F.col("pattern"), unicode_form))
     checked = first.select("pattern").distinct().where(F.col("pattern").isNotNull())
-    checked = checked.select("pattern", arrow.regex_for_java(F.col("pattern")).alias("java"))
-    safe = first.join(checked, "pattern", "left").select(
-        "query_id", F.coalesce("java", F.lit(NEVER)).alias("pattern"))
-    text = normalized_text(F.col("text"), unicode_form)
-    return pairs.join(safe, "query_id", "left").select(
-        "query_id", "rank", "doc_id",
-        F.coalesce(F.regexp_like(text, F.concat(F.lit(REGEX_FLAGS), F.coalesce("pattern", F.lit(NEVER)))),
-                   F.lit(False)).alias("hit"))
+    checked = checked.select("pattern", patterns.checked_patterns(F.col("pattern")).alias("checked"))
+    known = first.join(checked, "pattern", "left").select("query_id", "pattern", "checked.valid", "checked.java")
+    rows = pairs.withColumn("text", normalized_text(F.col("text"), unicode_form)).join(known, "query_id", "left")
+    # characters that Java's Unicode version lacks could be of any category
+    in_java = F.col("java").isNotNull() & ~F.col("text").rlike(r"\p{Cn}")
+    rest = F.coalesce("valid", F.lit(False)) & ~in_java
+    rows = rows.select("query_id", "rank", "doc_id", F.when(in_java, F.col("text")).alias("java_text"), "java",
+                       F.when(rest, F.col("pattern")).alias("pattern"), F.when(rest, F.col("text")).alias("text"))
+    found = F.coalesce(F.regexp_like("java_text", F.coalesce("java", F.lit(NEVER))),
+                       patterns.regex_found(F.col("pattern"), F.col("text")), F.lit(False))
+    return rows.select("query_id", "rank", "doc_id", found.alias("hit"))
 
 
 def retrieval_hits(hits: DataFrame, questions: DataFrame) -> DataFrame:

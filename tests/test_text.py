@@ -6,7 +6,7 @@ import pytest
 import numpy as np
 from pyspark.sql import functions as F
 
-from lanternqa.functions import arrow
+from lanternqa.functions import arrow, patterns
 from lanternqa.functions import text as tx
 from lanternqa.operators import tokens as tk
 
@@ -111,9 +111,10 @@ def test_unigrams_lower_each_token_by_itself(spark):
 
 
 def test_regex_dialect():
-    assert arrow.java_pattern("(") is None
-    assert arrow.java_pattern(r"\p{L}+") == r"\p{L}+"
-    assert arrow.java_pattern(r"(?P<a_b>red)-(?P=a_b)") == r"(?<g0>red)-\k<g0>"
+    assert patterns.java_pattern("(?=x)") is None
+    assert patterns.java_pattern(r"\p{L}+.") == r"\p{L}+[^\n]"
+    assert patterns.java_pattern("(?P<a_b>1|2)?$") == r"(?:[\x{31}]|[\x{32}])?(?![^\n])"
+    assert patterns.java_pattern(r"(?P<a_b>red)-(?P=a_b)") is None
 
 
 def test_contains_token_run(spark):
