@@ -13,7 +13,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from lanternqa.operators.retrieve import retrieve  # noqa: E402
+from lanternqa.operators.pruned import retrieve_terms  # noqa: E402
 from lanternqa.plans import catalog, fixtures  # noqa: E402
 from lanternqa.session import local_session  # noqa: E402
 
@@ -24,9 +24,9 @@ HEADLINE = ("bm25_topk", "tfidf_topk", "term_counts", "span_sum", "dense_topk",
 def parts(spark, sf_dir: str) -> dict[str, float]:
     """Seconds of building the stored index, and of retrieving over it."""
     t0 = time.perf_counter()
-    index = catalog.corpus_index(spark, sf_dir)
+    index = catalog.corpus_segments(spark, sf_dir)
     t1 = time.perf_counter()
-    retrieve(index, fixtures.questions(spark, sf_dir), k=5).write.format("noop").mode("overwrite").save()
+    retrieve_terms(index, fixtures.questions(spark, sf_dir), k=5).write.format("noop").mode("overwrite").save()
     return {"index_build": round(t1 - t0, 3), "bm25_query": round(time.perf_counter() - t1, 3)}
 
 

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import DOCS_PER_QUESTION, EVAL_CUTOFF
 from ..operators import index as ix
+from ..operators import pruned as pr
 from ..operators import retrieve as rt
-from ..operators.joins import fits_broadcast
 from ..session import scratch_path
-from ..sources import index_store
+from ..sources import index_store, segments
 from . import fixtures as fx
 from . import oracle_sql as osql
 from . import qa_queries, source_queries, text_queries
@@ -36,21 +36,60 @@ def corpus_index(spark: SparkSession, sf_dir: str, unicode_form: str | None = "N
     return index_store.save_index(index, scratch_path(spark, "index")) if stored else index
 
 
+def corpus_segments(spark: SparkSession, sf_dir: str, unicode_form: str | None = "NFD") -> segments.SegmentIndex:
+    """The corpus as a stored index of one segment, by which questions are answered."""
+    return segments.build_segments(fx.documents(spark, sf_dir), scratch_path(spark, "segments"), unicode_form=unicode_form)
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-5 BM25 documents for every benchmark question (flagship)."""
-    index = corpus_index(spark, sf_dir)
-    return rt.retrieve(index, fx.questions(spark, sf_dir), k=EVAL_CUTOFF, ranker="bm25")
+    return pr.retrieve_terms(corpus_segments(spark, sf_dir), fx.questions(spark, sf_dir), EVAL_CUTOFF, "bm25")
 
 
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = corpus_index(spark, sf_dir)
-    return rt.retrieve(index, fx.questions(spark, sf_dir), k=EVAL_CUTOFF, ranker="tfidf")
+    return pr.retrieve_terms(corpus_segments(spark, sf_dir), fx.questions(spark, sf_dir), EVAL_CUTOFF, "tfidf")
 
 
 def batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D6 with the command-line default of 30 documents per question."""
-    index = corpus_index(spark, sf_dir)
-    return rt.retrieve(index, fx.questions(spark, sf_dir), k=DOCS_PER_QUESTION, ranker="bm25")
+    return pr.retrieve_terms(corpus_segments(spark, sf_dir), fx.questions(spark, sf_dir), DOCS_PER_QUESTION, "bm25")
+
+
+def bounded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D5 by bounds on ranges of documents: the same rows as ``bm25_topk``."""
+    return pr.retrieve_bounded(corpus_segments(spark, sf_dir), fx.questions(spark, sf_dir), EVAL_CUTOFF, "bm25")
+
+
+def best_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first document of every question, where the bounds leave most ranges unread."""
+    return pr.retrieve_bounded(corpus_segments(spark, sf_dir), fx.questions(spark, sf_dir), 1, "tfidf")
+
+
+#: Added to a document's id for the copy that ``segment_index`` deletes again.
+STALE_ID = 1_000_000_000
+
+
+def segment_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: the corpus in two segments, with a stale copy of every document that is deleted: all four tables.
+
+    Rows are postings, terms, documents and one of totals, as of an index built at once.
+    """
+    docs = fx.documents(spark, sf_dir)
+    stale = docs.select((F.col("doc_id") + STALE_ID).alias("doc_id"), F.concat("text", F.lit(" stale copy")).alias("text"))
+    short = F.length("text") < 1500
+    path = scratch_path(spark, "segments")
+    built = segments.build_segments(docs.where(short).unionByName(stale.where(short)), path, unicode_form=None)
+    built.append(docs.where(~short).unionByName(stale.where(~short))).delete(stale)
+    index = segments.open_index(spark, path)
+    null = F.lit(None)
+    totals = spark.range(1).select(F.lit(index.n).cast("long").alias("n"), F.lit(index.total).cast("long").alias("dl"))
+    return index.postings.select(F.lit("posting").alias("kind"), "term", "doc_id", F.col("tf").alias("n"), "dl") \
+        .unionByName(index.terms.select(F.lit("term").alias("kind"), "term", null.cast("long").alias("doc_id"),
+                                        F.col("df").alias("n"), null.cast("long").alias("dl"))) \
+        .unionByName(index.docs.select(F.lit("document").alias("kind"), null.cast("string").alias("term"), "doc_id",
+                                       null.cast("long").alias("n"), "dl")) \
+        .unionByName(totals.select(F.lit("totals").alias("kind"), null.cast("string").alias("term"),
+                                   null.cast("long").alias("doc_id"), "n", "dl"))
 
 
 # --- C: index build.  Term strings are shown as stored (NFC corpus), so
@@ -145,10 +184,8 @@ def empty_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = corpus_index(spark, sf_dir)
-    qterms = rt.question_terms(fx.questions(spark, sf_dir), index)
-    small = fits_broadcast(qterms)
-    scores = rt.score_pairs(index, rt.query_vectors(qterms, index, "bm25", small), "bm25", small)
+    index = corpus_segments(spark, sf_dir)
+    scores = pr.score_terms(index, pr.question_vectors(index, fx.questions(spark, sf_dir)))
     return scores.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -160,6 +197,9 @@ QUERIES: dict[str, Query] = {
     "bm25_topk": bm25_topk,
     "tfidf_topk": tfidf_topk,
     "batch_topk": batch_topk,
+    "bounded_topk": bounded_topk,
+    "best_document": best_document,
+    "segment_index": segment_index,
     "term_counts": term_counts,
     "doc_freqs": doc_freqs,
     "doc_lengths": doc_lengths,
@@ -184,6 +224,12 @@ ORACLE: dict[str, str] = {
     "bm25_topk": osql.retrieval_sql("bm25", EVAL_CUTOFF),
     "tfidf_topk": osql.retrieval_sql("tfidf", EVAL_CUTOFF),
     "batch_topk": osql.retrieval_sql("bm25", DOCS_PER_QUESTION),
+    "bounded_topk": osql.retrieval_sql("bm25", EVAL_CUTOFF),
+    "best_document": osql.retrieval_sql("tfidf", 1),
+    "segment_index": _IX + """ SELECT 'posting' AS kind, term, doc_id, tf AS n, dl FROM postings
+        UNION ALL SELECT 'term', term, NULL, count(*), NULL FROM postings GROUP BY term
+        UNION ALL SELECT 'document', NULL, doc_id, NULL, dl FROM docs
+        UNION ALL SELECT 'totals', NULL, NULL, count(*), sum(dl)::BIGINT FROM docs""",
     "term_counts": _IX + " SELECT term, doc_id, tf FROM postings",
     "doc_freqs": _IX + " SELECT term, count(*) AS df FROM postings GROUP BY term",
     "doc_lengths": _IX + " SELECT doc_id, dl FROM docs",

@@ -16,8 +16,8 @@ from ..functions.constants import (DOCS_PER_QUESTION, EMITTED_SPANS, ENTITY_CAND
                                    EVAL_CUTOFF, MAX_ANSWER_TOKENS, N_BEST)
 from ..operators import evaluate as ev
 from ..operators import link as lk
+from ..operators import pruned as pr
 from ..operators import read as rd
-from ..operators import retrieve as rt
 from ..session import materialized
 from . import fixtures as fx
 from .oracle_sql import QUESTIONS_AND_BLANKS, retrieval_sql, tokens, uncased
@@ -29,9 +29,9 @@ HITS_K = 5
 
 def _retrieved(spark, sf_dir, k, questions=None):
     """Top-k documents of every question, retrieved once: the small result table is stored."""
-    from .catalog import corpus_index
+    from .catalog import corpus_segments
     questions = fx.questions(spark, sf_dir) if questions is None else questions
-    return materialized(rt.retrieve(corpus_index(spark, sf_dir), questions, k=k, ranker="bm25"), "retrieved")
+    return materialized(pr.retrieve_terms(corpus_segments(spark, sf_dir), questions, k, "bm25"), "retrieved")
 
 
 # ------------------------------------------------------------------ G1-G5
