@@ -1,12 +1,12 @@
 """F1-F8: spans -> mentions -> ranked entity candidates -> fused entities.
 
-Dense retrieval (F5) is exact inner-product top-k.  Catalogue rows are
-dealt into as many tiles as there are shuffle partitions; the mentions
-(the stated query set) go to every tile.  A task reads its tile's vectors
-first and then streams the mentions past them in blocks: a score matrix is
-never larger than ``MENTION_BLOCK x ENTITY_BLOCK``, and each mention keeps
-a running top-k over the tile, so the shuffle after it carries at most
-``tiles x k`` rows for a mention.  Nothing passes through the driver.
+Dense retrieval (F5) is exact inner-product top-k.  The catalogue is dealt
+into tiles of bounded bytes, the mentions (the stated query set) into blocks
+of bounded rows.  A task holds a block and streams a tile's vectors past it
+in falling norm: a score matrix is never larger than ``MENTION_BLOCK x
+ENTITY_BLOCK``, no task holds a tile, and vectors too short to reach a
+mention's running k-th score are skipped.  The shuffle after it carries at
+most ``tiles x k`` rows for a mention.  Nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .tokens import with_token_spans
 
 MENTION_BLOCK = 1024
 ENTITY_BLOCK = 8192
+TILE_BYTES = 32 << 20
+MAX_TASKS = 10_000
 SCORE_DIGITS = 6
 
 
@@ -90,42 +92,62 @@ def mention_mismatch(mentions: DataFrame) -> DataFrame:
 
 
 _FOUND = pa.schema([("mention_id", pa.int64()), ("entity_id", pa.int64()), ("score", pa.float64())])
+_NO_ID = np.iinfo(np.int64).max
+
+
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    """To ``SCORE_DIGITS`` digits, halves away from zero.  The only rounding: cuts and ranks are by the same values."""
+    unit = 10.0**SCORE_DIGITS
+    return np.sign(scores) * np.floor(np.abs(scores) * unit + 0.5) / unit
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, column)`` of each row's first k by rounded score, ties by id."""
-    rounded = np.round(scores, SCORE_DIGITS)
-    k = min(k, scores.shape[1])
-    least = np.partition(rounded, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-    rows, cols = np.nonzero((rounded >= least[:, None]) & np.isfinite(scores))
-    order = np.lexsort((ids[rows, cols] if ids.ndim == 2 else ids[cols], -rounded[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
+    """Each row's first k ``(scores, ids)``, ties by id, filled up with minus infinity."""
+    n, k_here = len(scores), min(k, scores.shape[1])
+    least = np.partition(scores, scores.shape[1] - k_here, axis=1)[:, scores.shape[1] - k_here]
+    rows, cols = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+    found = ids[rows, cols] if ids.ndim == 2 else ids[cols]
+    order = np.lexsort((found, -scores[rows, cols], rows))
+    rows, cols, found = rows[order], cols[order], found[order]
     nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    return rows[nth < k], cols[nth < k]
-
-
-def _tile_topk(mention_ids: np.ndarray, mentions: np.ndarray, entity_ids: np.ndarray, entities: np.ndarray,
-               k: int, exclude_self: bool) -> pa.RecordBatch:
-    """The mentions' top-k of a tile, by a running top-k over blocks of its vectors."""
-    n = len(mention_ids)
-    held_ids, held = np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), -np.inf)
-    for at in range(0, len(entity_ids), ENTITY_BLOCK):
-        ids = entity_ids[at:at + ENTITY_BLOCK]
-        scores = mentions @ entities[at:at + ENTITY_BLOCK].T
-        if exclude_self:
-            scores[mention_ids[:, None] == ids[None, :]] = -np.inf
-        rows, cols = _best(scores, ids, k)
-        nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        new_ids, new = np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), -np.inf)
-        new_ids[rows, nth], new[rows, nth] = ids[cols], scores[rows, cols]
-        all_ids, all_scores = np.concatenate((held_ids, new_ids), axis=1), np.concatenate((held, new), axis=1)
-        rows, cols = _best(all_scores, all_ids, k)
-        nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        held_ids, held = np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), -np.inf)
-        held_ids[rows, nth], held[rows, nth] = all_ids[rows, cols], all_scores[rows, cols]
-    rows, cols = np.nonzero(np.isfinite(held))
-    return pa.RecordBatch.from_arrays([pa.array(mention_ids[rows]), pa.array(held_ids[rows, cols]),
-                                       pa.array(held[rows, cols])], schema=_FOUND)
+    first = nth < k
+    best, best_ids = np.full((n, k), -np.inf), np.full((n, k), _NO_ID)
+    best[rows[first], nth[first]] = scores[rows[first], cols[first]]
+    best_ids[rows[first], nth[first]] = found[first]
+    return best, best_ids
+
+
+class MentionBlock:
+    """A block of mentions that a tile's vectors pass, with each one's best k so far."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool):
+        self.ids, self.vectors, self.k, self.exclude_self = ids, vectors, k, exclude_self
+        self.norms = np.sqrt(np.square(vectors).sum(axis=1))
+        self.best, self.best_ids = np.full((len(ids), k), -np.inf), np.full((len(ids), k), _NO_ID)
+        self.scored = 0
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Vectors come in falling norm: what the first can't reach by the Cauchy-Schwarz bound, none can."""
+        for at in range(0, len(ids), ENTITY_BLOCK):
+            some, part = ids[at:at + ENTITY_BLOCK], vectors[at:at + ENTITY_BLOCK]
+            largest = np.sqrt(np.square(part).sum(axis=1).max())
+            bound = self.norms * largest * (1 + 1e-9) + 10.0**-SCORE_DIGITS
+            open_rows = np.flatnonzero(bound >= self.best[:, -1])
+            if not len(open_rows):
+                return
+            self.scored += len(open_rows) * len(some)
+            scores = _rounded(self.vectors[open_rows] @ part.T)
+            if self.exclude_self:
+                scores[self.ids[open_rows, None] == some] = -np.inf
+            new, new_ids = _best(scores, some, self.k)
+            self.best[open_rows], self.best_ids[open_rows] = _best(
+                np.concatenate((self.best[open_rows], new), axis=1),
+                np.concatenate((self.best_ids[open_rows], new_ids), axis=1), self.k)
+
+    def found(self) -> pa.RecordBatch:
+        rows, cols = np.nonzero(np.isfinite(self.best))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[rows]), pa.array(self.best_ids[rows, cols]),
+                                           pa.array(self.best[rows, cols])], schema=_FOUND)
 
 
 def _vectors(batch: pa.RecordBatch) -> np.ndarray:
@@ -133,51 +155,60 @@ def _vectors(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def dense_topk(mentions: DataFrame, catalogue: DataFrame, k: int = ENTITY_CANDIDATES,
-               exclude_self: bool = False, tiles: int | None = None) -> DataFrame:
+               exclude_self: bool = False, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """``(mention_id, rank, entity_id, score)`` by exact inner product.
 
     ``mentions(mention_id, embedding)``, ``catalogue(vec_id, embedding)``.
     Scores are rounded to 6 digits before ranking; ties go to the lower id.
-    ``tiles`` (default: the shuffle partitions) share the catalogue.
+    The catalogue is dealt into tiles of about ``tile_bytes``, the mentions
+    into blocks of about ``MENTION_BLOCK``.  A task holds a block of
+    mentions and lets a tile's vectors pass in falling norm; a mention whose
+    k-th score no later vector can reach is left out of the products.
     """
-    tiles = tiles or int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = catalogue.select(F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int").alias("tile"), F.lit(0).alias("kind"),
-                            F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = mentions.select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), F.lit(1).alias("kind"),
-                            F.col("mention_id").cast("long").alias("id"),
-                            F.col("embedding").cast("array<double>").alias("embedding"))
+    size = catalogue.agg(F.coalesce(F.sum(8 * F.size("embedding")), F.lit(0))).first()[0]
+    tiles = max(1, -(-size // tile_bytes))
+    blocks = max(1, -(-mentions.count() // MENTION_BLOCK))
+    vector = F.col("embedding").cast("array<double>")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cell = (F.col("block") * tiles + F.col("tile")).alias("cell")
+    asked = mentions.select(F.pmod(F.xxhash64("mention_id"), F.lit(blocks)).alias("block"), every(tiles).alias("tile"),
+                            F.col("mention_id").cast("long").alias("id"), vector.alias("embedding")) \
+        .select(cell, F.lit(0).alias("kind"), F.lit(0.0).alias("norm"), "id", "embedding")
+    rows = catalogue.select(F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).alias("tile"), every(blocks).alias("block"),
+                            F.col("vec_id").cast("long").alias("id"), vector.alias("embedding")) \
+        .select(cell, F.lit(1).alias("kind"),
+                F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x).alias("norm"), "id", "embedding")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by tile, its vectors before the mentions."""
-        tile, ids, parts, entity_ids, entities = None, [], [], None, None
+        """Rows come by cell, its mentions before the vectors."""
+        now, held, block = None, [], None
         for batch in batches:
-            tile_of, kind_of = batch.column("tile").to_numpy(), batch.column("kind").to_numpy()
-            cuts = np.flatnonzero((np.diff(tile_of) != 0) | (np.diff(kind_of) != 0)) + 1
+            cell_of, kind_of = batch.column("cell").to_numpy(), batch.column("kind").to_numpy()
+            cuts = np.flatnonzero((np.diff(cell_of) != 0) | (np.diff(kind_of) != 0)) + 1
             for low, high in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
                 if low == high:
                     continue
-                if tile_of[low] != tile:
-                    tile, ids, parts, entities = tile_of[low], [], [], None
+                if cell_of[low] != now:
+                    if block:
+                        yield block.found()
+                    now, held, block = cell_of[low], [], None
                 run = batch.slice(low, high - low)
                 if kind_of[low] == 0:
-                    ids.append(run.column("id").to_numpy())
-                    parts.append(_vectors(run))
+                    held.append((run.column("id").to_numpy(), _vectors(run)))
                     continue
-                if entities is None:
-                    if not ids:
-                        continue  # no vector fell into this tile
-                    entity_ids, entities = np.concatenate(ids), np.concatenate(parts)
-                    ids, parts = [], []
-                for at in range(0, run.num_rows, MENTION_BLOCK):
-                    block = run.slice(at, MENTION_BLOCK)
-                    yield _tile_topk(block.column("id").to_numpy(), _vectors(block), entity_ids, entities, k, exclude_self)
-
-    local = rows.unionByName(asked).repartition(tiles, "tile").sortWithinPartitions("tile", "kind") \
-        .mapInArrow(search, "mention_id long, entity_id long, score double")
-    rounded = F.round("score", SCORE_DIGITS)
-    w = Window.partitionBy("mention_id").orderBy(rounded.desc(), F.col("entity_id"))
+                if block is None:
+                    if not held:
+                        continue  # no mention fell into this block
+                    block = MentionBlock(*(np.concatenate(c) for c in zip(*held, strict=True)), k, exclude_self)
+                block.meet(run.column("id").to_numpy(), _vectors(run))
+        if block:
+            yield block.found()
+
+    local = rows.unionByName(asked).repartition(min(MAX_TASKS, tiles * blocks), "cell") \
+        .sortWithinPartitions("cell", "kind", F.desc("norm")).mapInArrow(search, "mention_id long, entity_id long, score double")
+    w = Window.partitionBy("mention_id").orderBy(F.desc("score"), F.col("entity_id"))
     return local.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k) \
-        .select("mention_id", "rank", "entity_id", rounded.alias("score"))
+        .select("mention_id", "rank", "entity_id", "score")
 
 
 def fuse_candidates(cands: DataFrame) -> DataFrame:

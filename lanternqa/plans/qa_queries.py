@@ -405,7 +405,8 @@ occ AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pred_
 def _mention_ctes(start: str = "o.start_idx") -> str:
     """CTE ``ment``: the mentions with their character spans and document texts."""
     from .text_queries import TOKS_CTE
-    return _OCC_SQL + "," + TOKS_CTE + f""",
+    mentioned = TOKS_CTE.replace("FROM documents)", "FROM documents WHERE doc_id IN (SELECT CAST(doc_key AS BIGINT) FROM occ))")
+    return _OCC_SQL.replace("nb AS (", "nb AS MATERIALIZED (").replace("occ AS (", "occ AS MATERIALIZED (") + "," + mentioned + f""",
 ms AS (SELECT o.* EXCLUDE (start_idx), {start} AS start_idx, len({tokens('b.text')}) AS qlen
        FROM occ o JOIN benchmark b ON b.item_id = o.query_id),
 ment AS (SELECT ms.query_id, ms.mention_idx, ms.doc_key, r.span, a.start AS char_start, z."end" AS char_end, d.text FROM ms

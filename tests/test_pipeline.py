@@ -294,14 +294,32 @@ def test_dense_topk_ties_blocks_and_empty_tiles(spark, monkeypatch):
     x = rng.integers(-2, 3, (60, 3)).astype(float)  # many equal scores
     cat = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     m = cat.select(F.col("vec_id").alias("mention_id"), "embedding")
-    for tiles in (1, 3, 100):
-        got = lk.dense_topk(m, cat, 6, exclude_self=True, tiles=tiles)
+    for tile_bytes in (1 << 30, 500, 24):  # one, three and sixty tiles, larger than the blocks and not
+        got = lk.dense_topk(m, cat, 6, exclude_self=True, tile_bytes=tile_bytes)
         rows = {(r.mention_id, r.rank): r.entity_id for r in got.collect()}
         s = x @ x.T
         for i in range(60):
             order = [j for j in np.lexsort((np.arange(60), -s[i])) if j != i][:6]
             assert [rows[i, r] for r in range(1, 7)] == order
-    assert "collect" not in inspect.getsource(lk.dense_topk) and ".count()" not in inspect.getsource(lk.dense_topk)
+    assert "collect" not in inspect.getsource(lk.dense_topk)
+
+
+def test_vectors_that_cannot_reach_are_not_scored(monkeypatch):
+    """Falling norms: most products are left out, the lists are those of all products."""
+    monkeypatch.setattr(lk, "ENTITY_BLOCK", 50)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2000, 16)) * rng.pareto(1.0, 2000)[:, None]
+    x = x[np.argsort(-np.square(x).sum(axis=1))]
+    mentions, ids = rng.normal(size=(40, 16)), np.arange(2000)
+    block = lk.MentionBlock(np.arange(5000, 5040), mentions, 10, exclude_self=True)
+    for at in range(0, 2000, 130):  # a tile larger than a block, in pieces
+        block.meet(ids[at:at + 130], x[at:at + 130])
+    scores = lk._rounded(mentions @ x.T)
+    want = [np.lexsort((ids, -s))[:10] for s in scores]
+    assert (block.best_ids == np.array(want)).all()
+    assert (block.best == np.take_along_axis(scores, np.array(want), axis=1)).all()
+    assert block.scored < 40 * 2000 / 4
+    assert lk._rounded(np.array([0.0000005, -0.0000005, 1.25])).tolist() == [1e-6, -1e-6, 1.25]
 
 
 def test_batch_model_scores_the_tokens(spark):

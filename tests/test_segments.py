@@ -116,7 +116,7 @@ def leaves(plan):
 
 def test_only_the_parts_of_the_questions_are_read(spark, tmp_path):
     index = sg.build_segments(corpus(spark, 400, 6), f"{tmp_path}/index", parts=32, unicode_form=None)
-    vectors = pr.question_vectors(index, spark.createDataFrame([(1, "w1 w2"), (2, "w2 w3")], "query_id long, question string"))
+    vectors = pr.question_vectors(index, spark.createDataFrame([(1, "w19 w23"), (2, "w23 w31")], "query_id long, question string"))
     top = rt.top_k(pr.score_terms(index, vectors), 5)
     assert top.count() and len(top.collect()) == 10
     done = top._jdf.queryExecution().executedPlan()
