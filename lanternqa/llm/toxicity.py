@@ -6,12 +6,14 @@ holds, for each, its count times its idf over the whole corpus times
 ``1 + sqrt(chi2)``, the term's chi-squared statistic against the label
 among the examples: no term is left out, telling ones weigh more.  The
 examples' vectors go into a block-max inverted index: a posting list per
-term, cut into blocks of examples, with the largest weight of each block;
-only blocks that hold a posting are stored.  A document's blocks are
-visited by falling upper bound and left when no block can reach its K-th
-best cosine, so the nearest examples are exact.  They vote with their
-squared cosine; a logistic curve fitted on the examples' leave-one-out
-votes calibrates the score, and the neighbours are its evidence.
+term; the hot lists, which hold most postings, are dense and cut into
+blocks of examples with the largest weight of each.  A document's short
+lists are added up first: its K-th best sum is a cosine that its neighbours
+reach.  Of the hot lists only blocks whose bounds reach it are multiplied
+(for some documents at a time), so the nearest examples are exact.  They
+vote with their squared cosine; a logistic curve fitted on the examples'
+leave-one-out votes calibrates the score, and the neighbours are its
+evidence.
 
 Bounds: ``EXAMPLES`` labelled rows of each class (smallest hash of the id);
 terms and postings are bounded by their texts only.  Votes weigh a class by
@@ -20,17 +22,18 @@ every document.
 
 Defined cases: NULL and empty texts, and texts without a term of any
 example, score what such examples' labels say (smoothed); a NULL id is not
-held out; repeated label rows count once, toxic if any says so; without
-labelled examples every score is 0; ties in cosine go to the smaller
+held out; repeated label rows count once, toxic if any says so; document
+rows that share a labelled id are one example, with their smallest text, and
+are scored as rows of their own; without labelled examples every score is 0; ties in cosine go to the smaller
 example id; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +48,10 @@ EXAMPLES = {1: 2048, 0: 6144}
 PREFIXES = range(4, 9)
 NEIGHBOURS = 15
 BLOCK = 64
-STEP = 8  # posting blocks looked at together, doubled after each look
+HOT_SHARE = 16  # lists that hold one in so many examples are dense,
+HOT = 512  # at most so many of them
+TOGETHER = 32  # texts whose dense lists are multiplied together
+MEMO_WORDS = 200_000
 ALIKE = 32  # most frequent terms whose presence orders the examples
 DOUBT = 0.5  # weight on the clean side of every vote; a neighbour at cosine 1 has 1
 THRESHOLD = 0.7
@@ -70,32 +76,51 @@ def all_terms(text: str) -> list[str]:
     return list({b for w in set(words_of(text)) for b in bases_of(w.decode("utf-8", "replace"))})
 
 
+@dataclass
+class Found:
+    """Known terms of many texts: text ``i`` has ``terms[first[i]:first[i + 1]]``, by number, with their counts."""
+
+    first: np.ndarray
+    terms: np.ndarray
+    counts: np.ndarray
+
+    def of(self, i: int) -> slice:
+        return slice(self.first[i], self.first[i + 1])
+
+
 class Vocabulary:
     """Numbers of the terms; remembers those of the words it has met."""
 
     def __init__(self, at: dict[str, int]):
         self.at = at
-        self.memo: dict[bytes, list[int]] = {}
-
-    def found(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """``(term numbers, counts)`` of the text's known terms, by number."""
-        terms: list[int] = []
-        counts, lengths = [], []
-        for word, n in Counter(words_of(text)).items():
-            held = self.memo.get(word)
-            if held is None:
-                if len(self.memo) > 100_000:
-                    self.memo.clear()
-                held = self.memo[word] = [i for b in bases_of(word.decode("utf-8", "replace"))
-                                          if (i := self.at.get(b)) is not None]
-            if held:
-                terms += held
-                counts.append(n)
-                lengths.append(len(held))
-        if not terms:
-            return np.empty(0, dtype=np.int64), np.empty(0)
-        at, where = np.unique(np.array(terms, dtype=np.int64), return_inverse=True)
-        return at, np.bincount(where, np.repeat(counts, lengths))
+        self.memo: dict[str, list[int]] = {}
+
+    def _numbers(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the words' known terms, one word after the other, and how many each word has."""
+        if len(self.memo) + len(words) > MEMO_WORDS:
+            self.memo.clear()
+        for word in words:
+            if word not in self.memo:
+                self.memo[word] = [i for b in bases_of(word) if (i := self.at.get(b)) is not None]
+        held = [self.memo[word] for word in words]
+        return np.array(list(chain.from_iterable(held)), dtype=np.int64), np.array([len(h) for h in held], dtype=np.int64)
+
+    def found(self, texts: pa.Array) -> Found:
+        """NULL texts have no terms.  Each distinct word of the texts is looked up once."""
+        plain = [b"" if t is None else t.lower().encode("utf-8", "replace").translate(_LETTERS) for t in texts.to_pylist()]
+        split = pc.ascii_split_whitespace(pa.array(plain, pa.binary()).cast(pa.string()))
+        row, coded = pc.list_parent_indices(split).to_numpy(zero_copy_only=False), split.flatten().dictionary_encode()
+        words, word = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        numbers, held = self._numbers(words)
+        at, n = np.unique(row * max(1, len(words)) + word, return_counts=True)
+        row, word = np.divmod(at, max(1, len(words)))
+        spread = held[word]
+        key = np.repeat(row * (len(self.at) + 1), spread) + numbers[_ranges((np.cumsum(held) - held)[word], spread)]
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], np.repeat(n, spread)[order]
+        new = np.flatnonzero(np.diff(key, prepend=-1))
+        row, terms = np.divmod(key[new], len(self.at) + 1)
+        return Found(np.searchsorted(row, np.arange(len(plain) + 1)), terms, np.add.reduceat(n, new) if len(new) else n)
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -146,56 +171,61 @@ class BlockMaxIndex:
         self.cut()
 
     def cut(self) -> None:
-        """Cut the posting lists into blocks."""
+        """Lay out the hot lists by blocks, with the largest weight of each."""
         self.blocks = -(-self.n // BLOCK)
-        block = _least(self.at // BLOCK)
-        new = np.diff(block, prepend=block[:1]) != 0
-        new[self.posting_at[:-1][np.diff(self.posting_at) > 0]] = True
-        first = np.flatnonzero(new).astype(np.int32)
-        self.term_at = np.searchsorted(first, self.posting_at).astype(np.int32)
-        self.block_at = np.append(first, len(self.at)).astype(np.int32)
-        self.block = block[first]
-        self.largest = np.maximum.reduceat(self.value * self.scale[self.at], first) if len(first) else np.empty(0)
+        self.length = np.diff(self.posting_at).astype(np.int64)
+        hot = np.argsort(-self.length, kind="stable")[:HOT]
+        hot = hot[self.length[hot] * HOT_SHARE >= max(1, self.n)]
+        self.column = np.full(len(self.length), -1, dtype=np.int32)
+        self.column[hot] = np.arange(len(hot))
+        self.dense = np.zeros((self.blocks, len(hot), BLOCK))
+        for i, term in enumerate(hot):
+            p = slice(self.posting_at[term], self.posting_at[term + 1])
+            self.dense[self.at[p] // BLOCK, i, self.at[p] % BLOCK] = self.value[p] * self.scale[self.at[p]]
+        self.largest = self.dense.max(axis=2, initial=0.0).T
 
     def lists(self) -> dict:
         """What ``cut`` starts from."""
         return {k: vars(self)[k] for k in ("n", "ids", "labels", "scale", "at", "value", "posting_at")}
 
-    def nearest(self, terms: list[int] | np.ndarray, weights: np.ndarray, k: int,
-                leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """``(example positions, cosines)`` of the ``k`` nearest with a common term; ``leave`` is passed over."""
-        start = self.term_at[terms]
-        held = self.term_at[np.asarray(terms) + 1] - start
-        e, weight = _ranges(start, held), np.repeat(weights, held)
-        block = self.block[e]
-        bounds = np.bincount(block, weight * self.largest[e], minlength=self.blocks)
-        order = np.argsort(-bounds, kind="stable")
-        at, score = np.empty(0, dtype=np.int64), np.empty(0)
-        i, step = 0, STEP
-        while i < len(order):
-            least = score[-1] - 1e-12 if len(score) == k else 0.0
-            blocks = order[i:i + step]
-            blocks = blocks[(bounds[blocks] > 0) & (bounds[blocks] >= least - 1e-9)]
-            if not len(blocks):
-                break
-            i, step = i + step, 2 * step
-            chosen = np.zeros(self.blocks, dtype=bool)
-            chosen[blocks] = True
-            here = np.flatnonzero(chosen[block])
-            first = self.block_at[e[here]]
-            number = self.block_at[e[here] + 1] - first
-            p = _ranges(first, number)
-            found = np.round(np.bincount(self.at[p], np.repeat(weight[here], number) * self.value[p], minlength=self.n)
-                             * self.scale, 12)
-            if leave >= 0:
-                found[leave] = 0.0
-            if found.size > k:
-                least = max(least, np.partition(found, found.size - k)[found.size - k] - 1e-12)
-            new = np.flatnonzero((found > 0) & (found >= least))
-            at, score = np.concatenate((at, new)), np.concatenate((score, found[new]))
-            best = np.lexsort((self.ids[at], -score))[:k]
-            at, score = at[best], score[best]
-        return at, score
+    def _best(self, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        found = np.round(found, 12)
+        least = np.partition(found, found.size - k)[found.size - k] if found.size > k else 0.0
+        at = np.flatnonzero((found > 0) & (found >= least))
+        at = at[np.lexsort((self.ids[at], -found[at]))[:k]]
+        return at, found[at]
+
+    def nearest(self, queries: Found, k: int, leave: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``(example positions, cosines)`` of each query's ``k`` nearest with a common term.
+
+        ``queries`` have weights for counts; ``leave`` is each one's example that is passed over.
+        The short lists, essential to every query, are added up first; the k-th best sum so
+        far is a score that the answer reaches.  Of the hot lists only blocks whose largest
+        weights can lift an example to it are multiplied.
+        """
+        out = []
+        for start in range(0, len(queries.first) - 1, TOGETHER):
+            batch = range(start, min(start + TOGETHER, len(queries.first) - 1))
+            sums, hot = np.zeros((len(batch), self.blocks * BLOCK)), np.zeros((len(batch), self.dense.shape[1]))
+            reach = np.zeros(len(batch))
+            for r, i in enumerate(batch):
+                terms, weights = queries.terms[queries.of(i)], queries.counts[queries.of(i)]
+                column = self.column[terms]
+                hot[r, column[column >= 0]] = weights[column >= 0]
+                terms, weights = terms[column < 0], weights[column < 0]
+                length = self.length[terms]
+                p = _ranges(self.posting_at[terms].astype(np.int64), length)
+                sums[r, :self.n] = np.bincount(self.at[p], np.repeat(weights, length) * self.value[p], minlength=self.n) * self.scale
+                if leave is not None and leave[i] >= 0:
+                    sums[r, leave[i]] = -np.inf
+                if self.n > k:
+                    reach[r] = max(0.0, np.partition(sums[r, :self.n], self.n - k)[self.n - k])
+            if self.dense.shape[1]:
+                bounds = hot @ self.largest + sums.reshape(len(batch), self.blocks, BLOCK).max(axis=2)
+                for block in np.flatnonzero((bounds >= reach[:, None] - 1e-9).any(axis=0)):
+                    sums[:, block * BLOCK:(block + 1) * BLOCK] += hot @ self.dense[block]
+            out += [self._best(row[:self.n], k) for row in sums]
+        return out
 
 
 _EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
@@ -215,26 +245,26 @@ class ToxicityModel:
     def maker(self) -> Callable[[], ToxicityModel]:
         return _maker(*self.sent, (self.class_weight, self.curve, self.without_terms, self.neighbours))
 
-    def vote(self, terms: np.ndarray, counts: np.ndarray, leave: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
-        """Share of the toxic neighbours' weight, and the neighbours; None without any."""
-        if not len(terms):
-            return None, np.empty(0, dtype=int), np.empty(0)
-        v = counts * self.weight[terms]
+    def votes(self, found: Found, leave: np.ndarray | None = None) -> list[tuple[float | None, np.ndarray, np.ndarray]]:
+        """Of each text: share of the toxic neighbours' weight, and the neighbours; None without any."""
+        v = found.counts * self.weight[found.terms]
+        row = np.repeat(np.arange(len(found.first) - 1), np.diff(found.first))
+        norm = np.sqrt(np.bincount(row, v * v, minlength=len(found.first) - 1))
         # the index holds counts: the examples' term weights are in the query
-        at, cosine = self.index.nearest(terms, v / np.linalg.norm(v) * self.weight[terms], self.neighbours, leave)
-        if not len(at):
-            return None, at, cosine
-        weight = cosine ** 2 * np.where(self.index.labels[at] == 1, self.class_weight[1], self.class_weight[0])
-        # DOUBT stands for unseen clean neighbours: far ones alone can't carry a vote
-        return float((weight * self.index.labels[at]).sum() / (weight.sum() + DOUBT)), at, cosine
-
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Calibrated score and its evidence: positions and cosines of the neighbours, nearest first."""
-        share, at, cosine = self.vote(terms, counts)
-        if share is None:
-            return self.without_terms, at, cosine
+        queries = Found(found.first, found.terms, v / norm[row] * self.weight[found.terms])
+        out: list[tuple[float | None, np.ndarray, np.ndarray]] = []
+        for at, cosine in self.index.nearest(queries, self.neighbours, leave):
+            weight = cosine ** 2 * np.where(self.index.labels[at] == 1, self.class_weight[1], self.class_weight[0])
+            # DOUBT stands for unseen clean neighbours: far ones alone can't carry a vote
+            share = float((weight * self.index.labels[at]).sum() / (weight.sum() + DOUBT)) if len(at) else None
+            out.append((share, at, cosine))
+        return out
+
+    def scores(self, found: Found) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Of each text: calibrated score and its evidence, positions and cosines of the neighbours, nearest first."""
         a, b = self.curve
-        return float(1 / (1 + np.exp(-(a * share + b)))), at, cosine
+        return [(self.without_terms if share is None else float(1 / (1 + np.exp(-(a * share + b)))), at, cosine)
+                for share, at, cosine in self.votes(found)]
 
     def evidence(self, at: list[np.ndarray], cosine: list[np.ndarray]) -> pa.ListArray:
         """``[{doc_id, cosine, toxic}]`` of each document."""
@@ -298,8 +328,7 @@ def corpus_frequencies(docs: DataFrame, at: Broadcast, n_terms: int) -> tuple[np
         vocabulary = Vocabulary(at.value)
         held = np.zeros(n_terms + 1, dtype=np.int64)  # the last counts documents
         for batch in in_parts(batches):
-            for text in batch.column(1):
-                held[vocabulary.found(text.as_py() or "")[0]] += 1
+            held[:-1] += np.bincount(vocabulary.found(batch.column(1)).terms, minlength=n_terms)
             held[-1] += batch.num_rows
         some = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], names=["term", "n"])
@@ -329,7 +358,9 @@ def fit(docs: DataFrame, labels: DataFrame, bounds: dict[int, int] = EXAMPLES) -
     """The model of the labelled rows that aren't held out; None without any."""
     docs = id_and_text(docs)
     examples, stands_for = chosen_examples(labels, bounds)
-    texts = stored(docs.join(F.broadcast(examples), "doc_id"), "toxicity-examples")  # at most the bounds of rows
+    # rows that share an id are one example, so the bounds are of rows
+    texts = stored(docs.join(F.broadcast(examples), "doc_id").groupBy("doc_id")
+                   .agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "toxicity-examples")
     sizes = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic + n_other:
@@ -346,11 +377,11 @@ def fit(docs: DataFrame, labels: DataFrame, bounds: dict[int, int] = EXAMPLES) -
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(sent.value)
         for batch in batches:
-            held = [vocabulary.found(t.as_py() or "") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([h[0] for h in held], pa.list_(pa.int32())),
-                 pa.array([h[1].astype(np.int32) for h in held], pa.list_(pa.int32()))],
-                names=["doc_id", "toxic", "terms", "counts"])
+            held = vocabulary.found(batch.column(1))
+            first = pa.array(held.first, pa.int32())
+            lists = [pa.ListArray.from_arrays(first, pa.array(v.astype(np.int32))) for v in (held.terms, held.counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists],
+                                             names=["doc_id", "toxic", "terms", "counts"])
 
     rows = texts.select("doc_id", "text", "toxic") \
         .mapInArrow(found, "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow()  # the bounds of rows
@@ -376,10 +407,8 @@ def fit(docs: DataFrame, labels: DataFrame, bounds: dict[int, int] = EXAMPLES) -
         for i, d in enumerate(model.index.ids.tolist()):
             places.setdefault(d, []).append(i)
         for batch in batches:
-            shares = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                terms, counts = model.vocabulary.found(text or "")
-                shares.append(model.vote(terms, counts, places[doc_id][0])[0] if len(terms) else None)
+            leave = np.array([places.get(doc_id, [-1])[0] for doc_id in batch.column(0).to_pylist()], dtype=np.int64)
+            shares = [share for share, *_ in model.votes(model.vocabulary.found(batch.column(1)), leave)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(shares, pa.float64())],
                                              names=["doc_id", "toxic", "share"])
 
@@ -406,15 +435,14 @@ def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id",
             if model is None:
                 scores, evidence = np.zeros(batch.num_rows), pa.array([[]] * batch.num_rows, _EVIDENCE)
             else:
-                found = []
-                for text in batch.column(1):
-                    text = text.as_py() or ""
-                    key = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                    if key not in known:
-                        if len(known) >= KNOWN:
-                            known.clear()
-                        known[key] = model.score(*model.vocabulary.found(text))
-                    found.append(known[key])
+                keys = [hashlib.blake2b((t.as_py() or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                        for t in batch.column(1)]
+                if len(known) > KNOWN:
+                    known.clear()
+                new = {key: row for row, key in enumerate(keys) if key not in known}
+                texts = batch.column(1).take(pa.array(list(new.values()), pa.int64()))
+                known.update(zip(new, model.scores(model.vocabulary.found(texts)), strict=True))
+                found = [known[key] for key in keys]
                 scores = np.array([f[0] for f in found])
                 evidence = model.evidence([f[1] for f in found], [f[2] for f in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), evidence], schema=schema)

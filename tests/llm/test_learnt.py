@@ -2,8 +2,11 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lanternqa.llm import graph_ann as ga
@@ -80,7 +83,7 @@ def test_every_term_of_the_examples_is_searched(spark):
     table = spark.createDataFrame(list(enumerate(texts)) + probes, "doc_id long, text string")
     model = tx.fit(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     got = {r["doc_id"]: r["evidence"] for r in tx.score(table, model).collect()}
-    counts = [tx.Counter(b for w in texts[i].split() for b in tx.bases_of(w)) for i in known]
+    counts = [Counter(b for w in texts[i].split() for b in tx.bases_of(w)) for i in known]
     assert set(model.vocabulary.at) == {b for c in counts for b in c}
     x = np.zeros((len(known), len(model.weight)))
     for k, c in enumerate(counts):
@@ -95,8 +98,48 @@ def test_every_term_of_the_examples_is_searched(spark):
 
 
 def test_counts_of_a_term_are_not_levelled():
-    terms, counts = tx.Vocabulary({"bad": 0, "good": 1}).found("bad " * 7 + "good bad")
-    assert terms.tolist() == [0, 1] and counts.tolist() == [8, 1]
+    texts = ["bad " * 7 + "good bad", None, "", "ugly", "Good!bad? badly", "\u00e9good"]
+    found = tx.Vocabulary({"bad": 0, "good": 1, "badl*": 2}).found(pa.array(texts))
+    lists = [(found.terms[found.of(i)].tolist(), found.counts[found.of(i)].tolist()) for i in range(len(texts))]
+    assert lists == [([0, 1], [8, 1]), ([], []), ([], []), ([], []), ([0, 1, 2], [1, 1, 1]), ([], [])]
+
+
+def test_rows_of_one_id_are_one_example(spark):
+    docs = spark.createDataFrame([(0, f"bad words {i:04d}") for i in range(3000)] + [(i, f"fine text {i}") for i in range(1, 40)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 if i == 0 else 0) for i in range(40)], "doc_id long, toxic int")
+    model = tx.fit(docs, labels, {1: 2, 0: 5})
+    assert len(model.index.ids) <= 7 and (model.index.ids == 0).sum() == 1
+    assert tx.toxicity(docs, labels).count() == docs.count()
+
+
+def test_votes_and_calibrated_scores_against_brute_force(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["vile", "foul", "rude"] if rng.random() < (0.4 if i % 4 == 0 else 0.05) else ["calm", "kind", "mild", "tree", "sky"])
+                      for _ in range(rng.randrange(1, 12))) for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in tx.toxicity(docs, labels).collect()}
+    learnt = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    names = sorted({t for i in learnt for t in tx.all_terms(texts[i])})
+    counts = np.array([[sum(t in tx.bases_of(w.decode()) for w in tx.words_of(text)) for t in names] for text in texts])
+    toxic = np.array([int(i % 4 == 0) for i in range(200)])
+    single = list({(texts[i], toxic[i]): i for i in learnt}.values())
+    a, b = ((counts[[i for i in single if toxic[i] == c]] > 0).sum(axis=0) for c in (1, 0))
+    chi = tx.chi_squared(a.astype(float), b.astype(float), sum(toxic[i] for i in single), sum(1 - toxic[i] for i in single))
+    weight = np.log(1 + 200 / np.maximum((counts > 0).sum(axis=0), 1)) * (1 + np.sqrt(chi))
+    v = counts * weight
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    def share(i, leave):
+        cosine = np.round(v[learnt] @ v[i], 12)
+        near = [j for j in np.lexsort((learnt, -cosine)) if cosine[j] > 0 and learnt[j] != leave][:15]
+        w = cosine[near] ** 2
+        return (w * toxic[learnt][near]).sum() / (w.sum() + tx.DOUBT)
+
+    curve = tx.logistic_curve(np.array([share(i, i) for i in learnt]), toxic[learnt], np.ones(len(learnt)))
+    for i in range(200):
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-(curve[0] * share(i, None) + curve[1]))), abs=1e-6)
 
 
 def test_block_max_search_is_exact():
@@ -113,7 +156,7 @@ def test_block_max_search_is_exact():
         if not terms:
             continue
         w = q[terms] / np.linalg.norm(q)
-        at, cosine = index.nearest(terms, w, 15)
+        at, cosine = index.nearest(tx.Found(np.array([0, len(terms)]), np.array(terms), w), 15)[0]
         full = np.round(vectors[:, terms] @ w, 12)
         order = [i for i in np.lexsort((ids, -full)) if full[i] > 0][:15]
         assert np.allclose(cosine, full[order], atol=1e-11)
