@@ -49,7 +49,6 @@ EXPAND = 4  # beam members expanded at a step
 ALPHA = 1.2
 FIRST = 256  # vectors that are linked by brute force before the graph grows
 BATCH = 512
-SCAN_WHOLE = 1024  # shards up to so many nodes are scanned instead of searched
 ROOT_UNIT = 1024  # shards = sqrt(vectors / ROOT_UNIT)
 MAX_SHARD = 1 << 20
 QUERY_BLOCK = 1 << 20
@@ -169,7 +168,9 @@ def build_graph(x: np.ndarray, seed: int = 0) -> tuple[np.ndarray, int]:
     order = np.random.default_rng(seed).permutation(n)
     order = np.concatenate(([entry], order[order != entry])).astype(np.int32)
     start = order[:FIRST]
-    edges[start, :DEGREE] = robust_prune(start, np.broadcast_to(start, (len(start), len(start))), x, norms)
+    kept = robust_prune(start, np.broadcast_to(start, (len(start), len(start))), x, norms)
+    edges[start, :DEGREE] = kept
+    _add_reverse(edges, kept[kept >= 0], np.repeat(start, (kept >= 0).sum(axis=1)), x, norms)
     done = len(start)
     while done < n:
         batch = order[done:done + min(BATCH, done)]
@@ -218,8 +219,8 @@ def shard_graphs(vectors: DataFrame, k: int) -> DataFrame:
         _, first, node = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(),
                                    return_index=True, return_inverse=True)
         nodes = x[first]
-        edges, entry = build_graph(lifted(nodes.astype(np.float64)), seed=shard) if len(nodes) > SCAN_WHOLE \
-            else (np.empty((len(nodes), 0), dtype=np.int32), 0)
+        edges, entry = build_graph(lifted(nodes.astype(np.float64)), seed=shard) if len(nodes) > SEARCH_BEAM \
+            else (np.empty((len(nodes), 0), dtype=np.int32), 0)  # the beam holds them all
         node, ids = np.unique(np.stack((node.ravel(), ids), axis=1), axis=0).T  # by node, then id, repeated rows once
         nth = np.arange(len(node)) - np.searchsorted(node, node)
         node, ids = node[nth <= k], ids[nth <= k]
