@@ -10,7 +10,7 @@ from ..operators import index as ix
 from ..operators import retrieve as rt
 from ..session import scratch_path
 from ..sources import documents as sd
-from ..sources import index_store, jsonl
+from ..sources import index_store, json_object, jsonl
 from . import fixtures as fx
 from . import qa_queries as qa
 from .oracle_sql import retrieval_sql
@@ -68,7 +68,15 @@ def entity_roundtrip(spark, sf_dir):
 
 
 def entity_map_scan(spark, sf_dir):
+    """The map as one object in one file, read in byte ranges."""
     path = scratch_path(spark, "entity-map")
+    json_object.write_json_object(qa._index_map(spark, sf_dir), path)
+    return jsonl.read_entity_map(spark, path)
+
+
+def entity_map_lines(spark, sf_dir):
+    """A9 with an object a line."""
+    path = scratch_path(spark, "entity-map-lines")
     jsonl.write_entity_map(qa._index_map(spark, sf_dir), path)
     return jsonl.read_entity_map(spark, path, lines=True)
 
@@ -83,7 +91,8 @@ def index_roundtrip(spark, sf_dir):
 QUERIES = {
     "doc_ids": doc_ids, "doc_text_lookup": doc_text_lookup, "questions_scan": questions_scan,
     "pdocs_roundtrip": pdocs_roundtrip, "preds_roundtrip": preds_roundtrip,
-    "entity_roundtrip": entity_roundtrip, "entity_map_scan": entity_map_scan, "line_ids": line_ids,
+    "entity_roundtrip": entity_roundtrip, "entity_map_scan": entity_map_scan,
+    "entity_map_lines": entity_map_lines, "line_ids": line_ids,
     "index_roundtrip": index_roundtrip,
 }
 
@@ -99,3 +108,4 @@ ORACLE = {
     "preds_roundtrip": qa.ORACLE["span_sum"],
     "entity_roundtrip": qa.ORACLE["dedupe_entities"],
 }
+ORACLE["entity_map_lines"] = ORACLE["entity_map_scan"]

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .json_object import read_json_object
+
 QUESTION_SCHEMA = T.StructType([
     T.StructField("query_id", T.LongType()),
     T.StructField("question", T.StringType()),
@@ -155,11 +157,12 @@ def write_entity_map(index_map: DataFrame, path: str) -> None:
 
 
 def read_entity_map(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """A JSON object ``{id: entity}`` per file -> ``(key, value)``.
+    """A JSON object ``{id: entity}`` per file -> ``(key, value)``, each file read in byte ranges.
 
-    A file is one row, read by one task, which bounds it by that task's
-    memory; with ``lines`` every line is an object (``write_entity_map``).
+    With ``lines`` every line is an object (``write_entity_map``).
     """
-    m = spark.read.option("wholetext", not lines).text(path).where(F.trim("value") != "") \
+    if not lines:
+        return read_json_object(spark, path)
+    m = spark.read.text(path).where(F.trim("value") != "") \
         .select(F.from_json("value", "map<string,string>", FAIL).alias("m"))
     return m.select(F.explode("m").alias("key", "value"))
