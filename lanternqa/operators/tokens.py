@@ -13,7 +13,7 @@ cumulative sum per Arrow batch).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrow
@@ -124,3 +124,55 @@ def entity_groups(df: DataFrame, tagger=None, key_cols: tuple[str, ...] = ("doc_
         *key_cols, F.col("group_idx").cast("long").alias("group_idx"),
         untokenize(F.col(text_col), F.col("toks"), F.col("r.lo"), F.col("r.hi")).alias("text"),
         F.col("r.tag").alias("tag"))
+
+
+#: Tokens of a document that one window orders; longer documents are parted and their runs joined at the borders.
+TOKEN_BLOCK = 4096
+
+
+def token_table(df: DataFrame, taggers: dict, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The long form of annotated tokens: ``(key, pos, token, text_ws, <kind>...)``, a row for each token.
+
+    ``taggers`` has a Column -> Column function of the token for each kind;
+    ``text_ws`` reaches to the next token's start.
+    """
+    spans = with_token_spans(df.select(key, text_col), text_col)
+    rows = spans.select(key, text_col, "toks", F.posexplode_outer("toks").alias("pos", "t")).where(F.col("t").isNotNull())
+    stop = F.coalesce(F.try_element_at("toks", F.col("pos") + 2)["start"], F.col("t.end"))
+    return rows.select(key, F.col("pos").cast("long").alias("pos"), F.col("t.token").alias("token"),
+                       F.substring(text_col, F.col("t.start") + 1, stop - F.col("t.start")).alias("text_ws"),
+                       *[tagger(F.col("t.token")).alias(kind) for kind, tagger in taggers.items()])
+
+
+def annotations_of_table(tokens: DataFrame, kinds: tuple[str, ...] = ANNOTATIONS, key: str = "doc_id") -> DataFrame:
+    """B15 over the long form: ``(key, tokens, <kind>...)``, an array for each kind in the order of the tokens."""
+    sets = F.array_sort(F.collect_list(F.struct("pos", "token", *kinds)))
+    grouped = tokens.groupBy(key).agg(sets.alias("_t"))
+    return grouped.select(key, F.col("_t.token").alias("tokens"), *[F.col(f"_t.{k}").alias(k) for k in kinds])
+
+
+def entity_groups_of_table(tokens: DataFrame, kind: str = "ner", non_ent: str = "O", key: str = "doc_id",
+                           block: int = TOKEN_BLOCK) -> DataFrame:
+    """B16 over the long form: ``(key, group_idx, text, tag)``, as ``entity_groups`` has it.
+
+    A tag that differs from its predecessor's begins a run.  Predecessors
+    are looked up, and runs counted, within blocks of ``block`` tokens; what
+    passes a border - the last tag, the runs so far - is added up over one
+    row a block.
+    """
+    rows = tokens.select(key, "pos", "text_ws", F.col(kind).alias("tag"), F.floor(F.col("pos") / block).alias("block"))
+    blocks = rows.groupBy(key, "block").agg(F.max_by(F.struct("tag"), "pos").alias("last"))
+    before = blocks.select(key, "block", F.lag("last").over(Window.partitionBy(key).orderBy("block")).alias("border"))
+    here = Window.partitionBy(key, "block").orderBy("pos")
+    previous = F.coalesce(F.lag(F.struct("tag")).over(here), F.col("border"))
+    entity = F.coalesce(F.col("tag") != non_ent, F.lit(False))
+    begun = rows.join(before, [key, "block"]).withColumn("previous", previous) \
+        .withColumn("begins", (entity & (F.col("previous").isNull() | ~F.col("tag").eqNullSafe(F.col("previous.tag")))).cast("long"))
+    earlier = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    runs = begun.groupBy(key, "block").agg(F.sum("begins").alias("n")) \
+        .select(key, "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("so_far"))
+    numbered = begun.withColumn("own", F.sum("begins").over(here.rowsBetween(Window.unboundedPreceding, 0))) \
+        .join(runs, [key, "block"]).where(entity)
+    parts = F.array_sort(F.collect_list(F.struct("pos", "text_ws")))
+    return numbered.groupBy(key, (F.col("so_far") + F.col("own") - 1).alias("group_idx")).agg(
+        strip_edges(F.array_join(F.transform(parts, lambda t: t["text_ws"]), "")).alias("text"), F.first("tag").alias("tag"))

@@ -66,8 +66,32 @@ def fixture_relevance(doc: Column) -> Column:
     return (doc % 11) / 10.0
 
 
+def fixture_model():
+    """A model over tokens, for ``score_passages_with``: arithmetic on their lengths, outer characters and places."""
+    def model(seqs):
+        out = []
+        for tokens in seqs:
+            starts = [(37 * len(t) + 13 * ord(t[0]) + i) % 101 / 20.0 - 4.0 for i, t in enumerate(tokens)]
+            ends = [(53 * len(t) + 7 * ord(t[-1]) + i) % 97 / 20.0 - 4.0 for i, t in enumerate(tokens)]
+            out.append((starts, ends, len(tokens) % 11 / 10.0))
+        return out
+    return model
+
+
 def fixture_ner_tag(token: Column) -> Column:
     """'ENT' for tokens whose first character is upper case, else 'O'."""
     first = F.substring(token, 1, 1)
     return F.when((F.upper(first) == first) & (F.lower(first) != first), F.lit("ENT")) \
         .otherwise(F.lit("O"))
+
+
+def fixture_pos_tag(token: Column) -> Column:
+    return F.when(token.rlike(r"^\p{N}+$"), F.lit("NUM")).when(token.rlike(r"^\p{P}+$"), F.lit("PUNCT")).otherwise(F.lit("WORD"))
+
+
+def fixture_lemma(token: Column) -> Column:
+    """Lower case without a closing s."""
+    return F.regexp_replace(F.lower(token), "s$", "")
+
+
+TAGGERS = {"pos_tag": fixture_pos_tag, "lemma": fixture_lemma, "ner": fixture_ner_tag}

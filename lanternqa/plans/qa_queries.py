@@ -109,6 +109,24 @@ def score_passages(spark, sf_dir):
                      total("start_logits").alias("start_sum"), total("end_logits").alias("end_sum"))
 
 
+def _model_scored(spark, sf_dir):
+    return rd.score_passages_with(rd.pair_encoding(_pairs(spark, sf_dir)), fx.fixture_model)
+
+
+def score_passages_model(spark, sf_dir):
+    """E4 with a batch model that reads the tokens."""
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 6)
+    return _model_scored(spark, sf_dir).select("query_id", "passage_idx", F.round("rel", 6).alias("rel"),
+                                               total("start_logits").alias("start_sum"), total("end_logits").alias("end_sum"))
+
+
+def span_sum_model(spark, sf_dir):
+    """E5 to E11 over the batch model's logits."""
+    scored = rd.materialize_passages(_model_scored(spark, sf_dir))
+    nbest = rd.nbest(rd.passage_spans(scored, MAX_ANSWER_TOKENS, N_BEST), N_BEST)
+    return _show_spans(rd.aggregate_spans(nbest, "sum", EMITTED_SPANS))
+
+
 def span_scores(spark, sf_dir):
     """E5 + E6: each passage's best valid spans, cut to its n-best."""
     scored = rd.materialize_passages(_scored(spark, sf_dir))
@@ -249,6 +267,7 @@ QUERIES = {
     "retrieval_hit": retrieval_hit, "retrieval_accuracy": retrieval_accuracy,
     "reader_pairs": reader_pairs, "reader_placeholder": reader_placeholder,
     "pair_encoding": pair_encoding, "score_passages": score_passages,
+    "score_passages_model": score_passages_model, "span_sum_model": span_sum_model,
     "span_scores": span_scores, "span_nbest": span_nbest, "span_sum": span_sum, "span_none": span_none,
     "reader_output": reader_output, "reader_hits": reader_hits,
     "occurrences": occurrences, "mention_spans": mention_spans,
@@ -394,6 +413,21 @@ ORACLE = {
 }
 
 
+# the model's logits by token, joined to the spans' ends
+_MODEL_CTES = _reader_ctes().split("st AS (")[0] + f"""
+ml AS (SELECT *, list_transform(seq, lambda t, i: (37 * length(t) + 13 * unicode(t) + i - 1) % 101 / 20.0::DOUBLE - 4.0::DOUBLE) AS sl,
+       list_transform(seq, lambda t, i: (53 * length(t) + 7 * unicode(t[-1]) + i - 1) % 97 / 20.0::DOUBLE - 4.0::DOUBLE) AS el,
+       (len(seq) % 11) / 10.0::DOUBLE AS rel FROM enc),
+tl AS MATERIALIZED (SELECT query_id, passage_idx, doc_key, sep1, sep2, rel, unnest(range(len(seq))) AS i, unnest(sl) AS s, unnest(el) AS e FROM ml),
+sp AS (SELECT *, unnest(range(i, least(i + {L}, sep2))) AS j FROM tl WHERE i > sep1 AND i < sep2),
+lg AS (SELECT a.query_id, a.passage_idx, a.doc_key, a.i AS start_idx, a.j AS end_idx, a.s + b.e + a.rel AS raw_logit
+       FROM sp a JOIN tl b ON b.query_id = a.query_id AND b.passage_idx = a.passage_idx AND b.i = a.j),
+sc AS (""" + _reader_ctes().split("sc AS (")[1]
+ORACLE["score_passages_model"] = f"""WITH {_MODEL_CTES.split("tl AS MATERIALIZED")[0].rstrip().rstrip(",")}
+    SELECT query_id, passage_idx, round(rel, 6) AS rel, round(list_sum(sl), 6) AS start_sum, round(list_sum(el), 6) AS end_sum FROM ml"""
+ORACLE["span_sum_model"] = _agg_sql("sum").replace(_reader_ctes(), _MODEL_CTES)
+
+
 _OCC_SQL = _SPAN_SUM_CTE + """,
 occ0 AS (SELECT r.query_id, r.rank AS pred_rank, n.doc_key, n.start_idx, n.end_idx,
          row_number() OVER (PARTITION BY r.query_id, r.rank ORDER BY n.nbest_rank) - 1 AS occ

@@ -13,6 +13,7 @@ from ..functions import arrow
 from ..functions import text as tx
 from ..functions.constants import SEGMENT_PATTERN
 from ..operators import tokens as tk
+from ..session import materialized
 from . import fixtures as fx
 from .oracle_sql import filtered_word, lit, terms, tokens, uncased
 
@@ -117,6 +118,23 @@ def entity_groups(spark, sf_dir):
     return tk.entity_groups(_docs(spark, sf_dir), fx.fixture_ner_tag)
 
 
+def _token_table(spark, sf_dir):
+    """The annotated tokens, stored as a user would have them."""
+    return materialized(tk.token_table(_docs(spark, sf_dir), fx.TAGGERS), "tokens")
+
+
+def annotation_kinds(spark, sf_dir):
+    """B15 from a stored token table: three kinds at once."""
+    arrays = tk.annotations_of_table(_token_table(spark, sf_dir), tuple(fx.TAGGERS))
+    return arrays.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"),
+                         *[F.array_join(k, " ").alias(k) for k in fx.TAGGERS])
+
+
+def entity_groups_long(spark, sf_dir):
+    """B16 from a stored token table."""
+    return tk.entity_groups_of_table(_token_table(spark, sf_dir))
+
+
 QUERIES = {
     "nfd_normalize": nfd_normalize,
     "tokenize": tokenize,
@@ -136,6 +154,8 @@ QUERIES = {
     "strip_whitespace": strip_whitespace,
     "annotation_arrays": annotation_arrays,
     "entity_groups": entity_groups,
+    "annotation_kinds": annotation_kinds,
+    "entity_groups_long": entity_groups_long,
 }
 
 # ---------------------------------------------------------------- oracle SQL
@@ -245,3 +265,10 @@ ORACLE = {
         JOIN toks lt ON lt.doc_id = r.doc_id AND lt.pos = r.hi
         LEFT JOIN toks nx ON nx.doc_id = r.doc_id AND nx.pos = r.hi + 1""",
 }
+ORACLE["entity_groups_long"] = ORACLE["entity_groups"]
+ORACLE["annotation_kinds"] = f"""WITH {TOKS_CTE},
+    tt AS (SELECT doc_id, pos, CASE WHEN regexp_full_match(token, '\\p{{N}}+') THEN 'NUM'
+        WHEN regexp_full_match(token, '\\p{{P}}+') THEN 'PUNCT' ELSE 'WORD' END AS pos_tag,
+        regexp_replace(lower(token), 's$', '') AS lemma, {NER_SQL_TAG} AS ner FROM toks)
+    SELECT doc_id, count(*) AS n_tokens, string_agg(pos_tag, ' ' ORDER BY pos) AS pos_tag,
+    string_agg(lemma, ' ' ORDER BY pos) AS lemma, string_agg(ner, ' ' ORDER BY pos) AS ner FROM tt GROUP BY doc_id"""
