@@ -11,8 +11,10 @@ Layout (all long form, one row per fact):
 * ``meta`` - one row: ``n_docs``, ``total_terms``, and the parameters.
 
 A stored index keeps the postings bucketed by ``doc_id`` and sorted by
-``term``: sums per (query, document) need no exchange, row-group statistics
-prune terms, and joins with the stored ``terms`` can be split by AQE.
+``term``: sums per (query, document) need no exchange, and joins with the
+stored ``terms`` can be split by AQE (dealing the postings out by document,
+when they are stored, is their one shuffle).  ``sources/segments.py`` holds
+the layout by term parts that questions are answered from.
 """
 
 from __future__ import annotations
@@ -28,12 +30,17 @@ from ..functions.text import FILTER_MODES, term_frequencies, with_parsed_terms
 
 
 def normalized_text(text: Column, unicode_form: str | None) -> Column:
-    """Apply the index's Unicode normalisation (``'NFD'`` or ``None``)."""
+    """Apply the index's Unicode normalisation (``'NFD'`` or ``None``).
+
+    ASCII texts (as many bytes as characters) are in every form and stay in
+    the JVM; only the others go through the Arrow function.
+    """
     if unicode_form is None:
         return text
     if unicode_form != "NFD":
         raise ValueError(f"unsupported unicode form: {unicode_form}")
-    return arrow.nfd(text)
+    other = F.when(F.octet_length(text) != F.length(text), text)
+    return F.coalesce(arrow.nfd(other), text)
 
 
 def document_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -13,6 +13,7 @@ from ..functions import arrow
 from ..functions import text as tx
 from ..functions.constants import SEGMENT_PATTERN
 from ..operators import tokens as tk
+from ..operators.index import normalized_text
 from ..session import materialized
 from . import fixtures as fx
 from .oracle_sql import filtered_word, lit, terms, tokens, uncased
@@ -135,7 +136,16 @@ def entity_groups_long(spark, sf_dir):
     return tk.entity_groups_of_table(_token_table(spark, sf_dir))
 
 
+def nfd_code_points(spark, sf_dir):
+    """B1, marks included: the length, the marks and a digest of every decomposed text."""
+    d = _docs(spark, sf_dir).select("doc_id", normalized_text(F.col("text"), "NFD").alias("t"))
+    return d.select("doc_id", F.length("t").cast("long").alias("n_points"),
+                    F.length(F.regexp_replace("t", r"[^\u0300-\u036f]+", "")).cast("long").alias("n_marks"),
+                    F.sha2("t", 256).alias("nfd_sha256"))
+
+
 QUERIES = {
+    "nfd_code_points": nfd_code_points,
     "nfd_normalize": nfd_normalize,
     "tokenize": tokenize,
     "token_offsets": token_offsets,
@@ -272,3 +282,12 @@ ORACLE["annotation_kinds"] = f"""WITH {TOKS_CTE},
         regexp_replace(lower(token), 's$', '') AS lemma, {NER_SQL_TAG} AS ner FROM toks)
     SELECT doc_id, count(*) AS n_tokens, string_agg(pos_tag, ' ' ORDER BY pos) AS pos_tag,
     string_agg(lemma, ' ' ORDER BY pos) AS lemma, string_agg(ner, ' ' ORDER BY pos) AS ner FROM tt GROUP BY doc_id"""
+# which letter and mark a character composes of, by composing them all (four marks are other names of some)
+ORACLE["nfd_code_points"] = """WITH letters AS (SELECT chr(unnest(range(65, 91))::INTEGER) AS b UNION ALL SELECT chr(unnest(range(97, 123))::INTEGER)),
+    marks AS (SELECT chr(k::INTEGER) AS k FROM (SELECT unnest(range(768, 880)) AS k) WHERE k NOT IN (832, 833, 835, 836)),
+    parts AS (SELECT nfc_normalize(b || k) AS c, b || k AS d FROM letters, marks WHERE length(nfc_normalize(b || k)) = 1),
+    chars AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), '')) AS c,
+        unnest(range(len(string_split(coalesce(text, ''), '')))) AS i FROM documents),
+    t AS (SELECT doc_id, string_agg(coalesce(d, chars.c), '' ORDER BY i) AS t FROM chars LEFT JOIN parts ON parts.c = chars.c GROUP BY doc_id)
+    SELECT doc_id, length(t) AS n_points, length(regexp_replace(t, '[^\\x{300}-\\x{36f}]+', '', 'g')) AS n_marks,
+    sha256(t) AS nfd_sha256 FROM t"""
