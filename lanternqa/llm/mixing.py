@@ -1,17 +1,24 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Tokens are summed by cell (source, language, topic).  Raking multiplies
-the cells' weights until the weighted tokens meet the target share of
-every source, language and topic; a document is then sampled with its
-cell's probability, scaled so that the expected tokens are the budget and
-none exceeds 1.  Up to ``FEW_CELLS`` cells are raked in one piece; beyond
-it (cells grow with the number of sources) cells and margins are Spark
-tables and each raking round is written to the shared folder.
-
-The topic of a text is its nearest centroid among ``TOPICS`` centroids of
-TF-IDF vectors, fitted by spherical k-means on a bounded sample of
-``SAMPLE_DOCS`` documents (smallest hash of the id) over ``VOCABULARY``
-terms.  Everything else reads every document and the whole text.
+Tokens are summed by cell (source, language, topic).  A margin's target
+tokens are its tempered shares of the budget, none above the tokens there
+are: what a category cannot give is shared by the others.  Raking multiplies
+the cells' probabilities, margin by margin, until their expected tokens meet
+every target; a probability that reaches 1 stays there while its margin
+wants more, so capping and raking do not undo each other.  Documents are
+sampled with their cell's probability.  Each row has its margins' target and
+reached shares.  Up to ``FEW_CELLS`` cells are raked in one piece; beyond it
+(cells grow with the number of sources) cells and margins are Spark tables,
+raked in the same steps, each round written to the shared folder.
+
+Topics are told apart within each language, so that they are no second name
+for it.  A language's vocabulary is the ``VOCABULARY`` terms that weigh most
+in it (document frequency times idf), counted over all its documents; their
+co-occurrence, again over all documents, gives the correlations of its
+terms.  Along their first principal axis, on whose ends lie the terms that
+keep apart, the vocabulary is cut into ``TOPICS`` topics of equal weight.  A
+text has the topic whose terms weigh most in it, each topic measured by its
+mean.  Every pass reads all documents and whole texts.
 
 Defined cases: a NULL or empty source or language is the category ``''``;
 a text without a vocabulary term (NULL and empty ones too) has topic -1;
@@ -23,25 +30,27 @@ column of its input, whatever the names.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import compacted, stored
+from .common import compacted, in_parts, stored
 
 TOPICS = 8
-SAMPLE_DOCS = 1000
-VOCABULARY = 512
+VOCABULARY = 128  # terms of a language
+HELD_TERMS = 1 << 19  # counts that a task gathers before it lets them go
 MARGINS = ("source", "lang", "topic")
+MEASURES = tuple(f"{kind}_{m}" for m in MARGINS for kind in ("target", "reached"))
 #: Target share of a category: proportional to its tokens to this power.
 TEMPERATURE = {"source": 0.7, "lang": 0.7, "topic": 0.7}
 BUDGET = 0.8  # expected share of the tokens that is sampled
-ROUNDS = 20
-TOLERANCE = 1e-3  # largest correction of a margin at which raking ends
+ROUNDS = 200
+TOLERANCE = 1e-5  # of the budget: what a margin may miss when raking ends
 FEW_CELLS = 1 << 16  # raked in one piece: a few MB
-STALLED = 0.98  # corrections above this times the last round's no longer shrink
 SEED = 7
 
 # letters and bytes beyond ASCII stay, A-Z are lower-cased, the rest parts words
@@ -53,123 +62,173 @@ def words_of(text: str) -> list[bytes]:
 
 
 class TopicModel:
-    """Vocabulary with idf weights, and unit centroids."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray, centroids: np.ndarray):
-        self.index = {t.encode(): i for i, t in enumerate(terms)}
-        self.idf, self.centroids = idf, centroids
-
-    def topic(self, text: str) -> int:
-        found = [i for w in words_of(text) if (i := self.index.get(w)) is not None]
-        if not found or not len(self.centroids):
-            return -1
-        counts = np.bincount(found, minlength=len(self.idf))
-        return int(np.argmax(self.centroids @ (np.sqrt(counts) * self.idf)))
-
-
-def _spherical_kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
-    """Unit centroids; the first is the first row, each next the row farthest from those chosen."""
-    chosen = [0]
-    near = x @ x[0]
-    while len(chosen) < min(k, len(x)):
-        chosen.append(int(np.argmin(near)))
-        near = np.maximum(near, x @ x[chosen[-1]])
-    centroids = x[chosen]
-    for _ in range(rounds):
-        own = np.argmax(x @ centroids.T, axis=1)
-        sums = np.stack([x[own == j].sum(axis=0) if (own == j).any() else centroids[j] for j in range(len(centroids))])
-        centroids = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    return centroids
-
-
-def fit_topics(docs: DataFrame, topics: int = TOPICS, sample_docs: int = SAMPLE_DOCS, vocabulary: int = VOCABULARY,
-               id_col: str = "doc_id", text_col: str = "text") -> TopicModel:
-    """Fit on the ``sample_docs`` ids of smallest hash; at most
-    ``sample_docs * vocabulary`` counts reach the driver."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ids = src.where(F.col("doc_id").isNotNull()).select("doc_id").distinct() \
-        .orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(sample_docs)
-    sample = src.join(F.broadcast(ids), "doc_id", "left_semi")
-
-    @F.arrow_udf("array<string>")
-    def words(texts: pa.Array) -> pa.Array:
-        return pa.array(([w.decode("utf-8", "replace") for w in words_of(t.as_py() or "")] for t in texts),
-                        type=pa.list_(pa.string()))
-
-    counts = compacted(sample.select("doc_id", F.explode(words("text")).alias("term")).groupBy("doc_id", "term")
-                       .agg(F.count(F.lit(1)).alias("tf")), "mixing-sample")
-    n = counts.select("doc_id").distinct().count()
-    frequent = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")) \
-        .where((F.col("df") > 0.02 * n) & (F.col("df") <= 0.5 * n)).orderBy(F.desc("df"), "term").limit(vocabulary).collect()
-    terms = [r["term"] for r in frequent]
-    if not terms:
-        return TopicModel([], np.empty(0), np.empty((0, 0)))
-    idf = np.log(n / np.array([r["df"] for r in frequent]))
-    held = counts.where(F.col("term").isin(terms)).select("doc_id", "term", "tf").toArrow()
-    ids, row = np.unique(held["doc_id"].to_numpy(), return_inverse=True)  # in order of the ids
-    x = np.zeros((len(ids), len(terms)))
-    x[row, pc.index_in(held["term"], value_set=pa.array(terms)).to_numpy()] = np.sqrt(held["tf"].to_numpy())
-    x *= idf
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    return TopicModel(terms, idf, _spherical_kmeans(x, topics))
+    """For each language its terms' topics and weights, idf by the topic's mean."""
+
+    def __init__(self, terms: dict[str, dict[str, tuple[int, float]]]):
+        self.terms = {lang: {t.encode(): held for t, held in found.items()} for lang, found in terms.items()}
+
+    def topic(self, text: str, lang: str) -> int:
+        """The topic of most weight, the smaller number of equal ones; -1 without a term."""
+        known = self.terms.get(lang, {})
+        counts = Counter(w for w in words_of(text) if w in known)
+        weights: dict[int, float] = {}
+        for word, n in sorted(counts.items()):
+            topic, weight = known[word]
+            weights[topic] = weights.get(topic, 0.0) + n ** 0.5 * weight
+        return min(weights, key=lambda t: (-round(weights[t], 9), t)) if weights else -1
+
+
+def _language(lang: Column) -> Column:
+    return F.coalesce(lang.cast("string"), F.lit(""))
+
+
+def vocabularies(src: DataFrame, size: int = VOCABULARY) -> dict[str, list[tuple[str, float]]]:
+    """By language, its ``size`` terms of most weight with their idf; all of ``src(lang, text)`` is counted."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+
+        def rows() -> pa.RecordBatch:
+            found = [(lang, term.decode("utf-8", "replace"), n) for lang, terms in held.items() for term, n in terms.items()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, type=t) for c, t in zip(zip(*found, strict=True) if found else ((), (), ()),
+                                                     (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "term", "n"])
+
+        for batch in in_parts(batches):
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held.setdefault(lang, Counter()).update(set(words_of(text.as_py() or "")))
+            if sum(map(len, held.values())) > HELD_TERMS:
+                yield rows()
+                held = {}
+        yield rows()
+
+    sizes = src.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
+    df = src.mapInArrow(count, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("df"))
+    idf = F.log(F.col("docs") / F.col("df"))
+    order = Window.partitionBy("lang").orderBy(F.desc("weight"), "term")
+    best = df.join(F.broadcast(sizes), "lang").withColumn("idf", idf).withColumn("weight", F.round(F.col("df") * F.col("idf"), 9)) \
+        .where(F.col("weight") > 0).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= size)
+    found: dict[str, list[tuple[str, float]]] = {}
+    for r in best.select("lang", "nth", "term", "idf").orderBy("lang", "nth").collect():  # ``size`` rows a language
+        found.setdefault(r["lang"], []).append((r["term"], r["idf"]))
+    return found
+
+
+def cooccurrences(src: DataFrame, terms: dict[str, list[str]]) -> dict[str, np.ndarray]:
+    """By language, how many documents hold both of two terms; all of ``src(lang, text)`` is counted."""
+    names = sorted(terms)
+    at = {lang: {t.encode(): i for i, t in enumerate(terms[lang])} for lang in names}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {lang: np.zeros((len(at[lang]), len(at[lang]))) for lang in names}
+        for batch in in_parts(batches):
+            shown: dict[str, list[list[int]]] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                known = at.get(lang)
+                if known:
+                    shown.setdefault(lang, []).append([known[w] for w in set(words_of(text.as_py() or "")) if w in known])
+            for lang, rows in shown.items():
+                x = np.zeros((len(rows), len(at[lang])), dtype=np.float32)
+                x[np.repeat(np.arange(len(rows)), [len(r) for r in rows]), [i for r in rows for i in r]] = 1
+                held[lang] += x.T @ x
+        for number, lang in enumerate(names):
+            i, j = np.nonzero(np.triu(held[lang]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(i), number, dtype=np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)),
+                 pa.array(held[lang][i, j].astype(np.int64))], names=["lang", "i", "j", "n"])
+
+    table = src.mapInArrow(count, "lang int, i int, j int, n long").groupBy("lang", "i", "j").agg(F.sum("n").alias("n")).toArrow()
+    lang, i, j, n = (table[c].to_numpy() for c in ("lang", "i", "j", "n"))  # bounded by the vocabularies' squares
+    found = {}
+    for number, name in enumerate(names):
+        own = lang == number
+        both = np.zeros((len(at[name]), len(at[name])))
+        both[i[own], j[own]] = n[own]
+        found[name] = np.maximum(both, both.T)
+    return found
+
+
+def fit_topics(docs: DataFrame, topics: int = TOPICS, vocabulary: int = VOCABULARY, text_col: str = "text") -> TopicModel:
+    """Two passes over all documents: terms, then what occurs together."""
+    src = docs.select(_language(F.col("lang")).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    chosen = vocabularies(src, vocabulary)
+    sizes = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    model: dict[str, dict[str, tuple[int, float]]] = {}
+    both = cooccurrences(src, {lang: [t for t, _ in terms] for lang, terms in chosen.items()})
+    for lang, terms in chosen.items():
+        share = both[lang] / sizes[lang]
+        p = np.diag(share)
+        spread = np.sqrt(np.outer(p * (1 - p), p * (1 - p)))
+        x = np.divide(share - np.outer(p, p), spread, out=np.zeros_like(share), where=spread > 0)
+        axis = np.linalg.eigh(x)[1][:, -1]
+        axis = np.round(axis * np.sign(axis[np.argmax(np.abs(np.round(axis, 9)))]), 9)
+        order = np.argsort(axis, kind="stable")
+        weight = p * [idf for _, idf in terms]
+        before = np.cumsum(weight[order]) - weight[order]
+        own = np.empty(len(terms), dtype=int)
+        own[order] = np.minimum(topics - 1, np.floor(before / weight.sum() * topics)).astype(int)
+        mean = np.bincount(own, weight, minlength=topics)
+        model[lang] = {t: (int(o), idf / mean[o]) for (t, idf), o in zip(terms, own, strict=True)}
+    return TopicModel(model)
 
 
 def _categories(model: TopicModel, text: Column, source: Column, lang: Column) -> list[Column]:
     @F.arrow_udf("struct<topic: int, tokens: bigint>")
-    def read(texts: pa.Array) -> pa.Array:
-        found = [(model.topic(t), len(t.encode("utf-8", "surrogatepass").split()))
-                 for t in (x.as_py() or "" for x in texts)]
+    def read(texts: pa.Array, langs: pa.Array) -> pa.Array:
+        found = [(model.topic(t, lang), len(t.encode("utf-8", "surrogatepass").split()))
+                 for t, lang in zip((x.as_py() or "" for x in texts), langs.to_pylist(), strict=True)]
         topics, tokens = zip(*found, strict=True) if found else ((), ())
         return pa.StructArray.from_arrays([pa.array(topics, pa.int32()), pa.array(tokens, pa.int64())],
                                           names=["topic", "tokens"])
 
-    return [F.coalesce(source.cast("string"), F.lit("")), F.coalesce(lang.cast("string"), F.lit("")), read(text)]
+    return [F.coalesce(source.cast("string"), F.lit("")), _language(lang), read(text, _language(lang))]
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
          tolerance: float = TOLERANCE) -> DataFrame:
     """``cells(*MARGINS, tokens)`` plus ``weight``: weighted tokens meet every target share.
 
-    ``targets[m]`` is ``(m, share)``; shares of a margin sum to 1.  A round
-    rakes each margin once; it ends when no margin is corrected by more
-    than ``tolerance``, or, where the targets contradict each other (a topic
-    found in one language only, say), when the corrections no longer shrink.
+    ``targets[m]`` is ``(m, share)``; shares of a margin sum to 1.
+    """
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    wanted = {m: t.select(m, (F.col("share") * total).alias("wanted")) for m, t in targets.items()}
+    return _raked(cells.withColumn("weight", F.lit(1.0)), wanted, total, float("inf"), rounds, tolerance)
+
+
+def _raked(now: DataFrame, wanted: dict[str, DataFrame], total: float, cap: float, rounds: int = ROUNDS,
+           tolerance: float = TOLERANCE) -> DataFrame:
+    """``now(..., tokens, weight)`` with weights up to ``cap`` that meet ``wanted[m] = (m, wanted)`` tokens.
+
+    A round rakes each margin once; it ends when none missed its tokens by
+    more than ``tolerance`` of ``total``.  Weights at the cap stay there while their margin wants more.
     """
-    total, rows = cells.agg(F.sum("tokens").cast("double"), F.count(F.lit(1))).first()
-    total = total or 0.0
-    now, before = cells.withColumn("weight", F.lit(1.0)), float("inf")
+    columns, rows = now.columns, now.count()
     for _ in range(rounds):
         off = F.lit(0.0)
-        for i, m in enumerate(targets):
-            have = now.groupBy(m).agg(F.sum(F.col("tokens") * F.col("weight")).alias("__have"))
-            factor = have.join(targets[m], m).select(
-                m, F.when(F.col("__have") > 0, F.col("share") * F.lit(total) / F.col("__have"))
-                .otherwise(F.lit(1.0)).alias(f"__f{i}"))
-            now = now.join(factor, m).withColumn("weight", F.col("weight") * F.col(f"__f{i}"))
-            off = F.greatest(off, F.abs(F.col(f"__f{i}") - 1))
-        now = stored(now.select(*cells.columns, "weight", off.alias("__off")), "mixing-round", rows)
+        for i, m in enumerate(wanted):
+            full = F.col("weight") >= cap
+            have = now.groupBy(m).agg(F.sum(F.col("tokens") * F.col("weight")).alias("__have"),
+                                      F.sum(F.when(full, F.col("tokens") * F.col("weight")).otherwise(0.0)).alias("__full"))
+            more = F.col("wanted") > F.col("__full")
+            free = F.col("__have") - F.col("__full")
+            factor = F.when(more & (free > 0), (F.col("wanted") - F.col("__full")) / free) \
+                .when(~more & (F.col("__have") > 0), F.col("wanted") / F.col("__have")).otherwise(1.0)
+            steps = have.join(wanted[m], m).select(m, more.alias("__more"), factor.alias("__factor"),
+                                                   F.abs(F.col("__have") - F.col("wanted")).alias(f"__off{i}"))
+            now = now.join(steps, m).withColumn("weight", F.when(full & F.col("__more"), F.col("weight")).otherwise(
+                F.least(F.lit(cap), F.col("weight") * F.col("__factor")))).drop("__more", "__factor")
+            off = F.greatest(off, F.col(f"__off{i}"))
+        now = stored(now.select(*columns, off.alias("__off")), "mixing-round", rows)
         worst = now.agg(F.max("__off")).first()[0]
         now = now.drop("__off")
-        if worst is None or worst <= tolerance or worst > STALLED * before:
+        if worst is None or worst <= tolerance * total:
             break
-        before = worst
     return now
 
 
-def tempered_targets(cells: DataFrame, temperature: dict[str, float]) -> dict[str, DataFrame]:
-    """``{margin: (margin, share)}``, shares proportional to tokens to a power."""
-    targets, rows = {}, cells.count()
-    for m, power in temperature.items():
-        sums = cells.groupBy(m).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("__s"))
-        whole = sums.agg(F.sum("__s")).first()[0] or 1.0
-        targets[m] = stored(sums.select(m, (F.col("__s") / F.lit(whole)).alias("share")), "mixing-target", rows)
-    return targets
-
-
 def calibrate(weighted: DataFrame, budget: float = BUDGET) -> DataFrame:
     """Adds ``probability = min(1, c * weight)`` with ``sum(tokens * probability) = budget * tokens``.
 
-    The cells at 1 are found by repeating: what they leave of the budget is
+    The rows at 1 are found by repeating: what they leave of the budget is
     shared by the others in proportion to their weights.
     """
     total = weighted.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
@@ -186,42 +245,68 @@ def calibrate(weighted: DataFrame, budget: float = BUDGET) -> DataFrame:
     return weighted.withColumn("probability", F.round(F.least(F.lit(1.0), F.col("weight") * F.lit(c)), 12))
 
 
+def margin_targets(cells: DataFrame, temperature: dict[str, float], budget: float) -> dict[str, DataFrame]:
+    """``{margin: (margin, wanted)}``: tokens of the budget, in proportion to tokens to a power and no more than there are."""
+    targets, rows = {}, cells.count()
+    for m, power in temperature.items():
+        sums = cells.groupBy(m).agg(F.sum("tokens").alias("tokens")) \
+            .withColumn("weight", F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), F.lit(power - 1))).otherwise(0.0))
+        filled = calibrate(sums, budget)
+        targets[m] = stored(filled.select(m, (F.col("tokens") * F.col("probability")).alias("wanted")), "mixing-target", rows)
+    return targets
+
+
+def _filled(tokens: np.ndarray, weight: np.ndarray, budget: float) -> np.ndarray:
+    """``calibrate`` of arrays: the probabilities."""
+    c, total = 0.0, tokens.sum()
+    while True:
+        full = weight * c >= 1.0
+        shared = (tokens * weight)[~full].sum()
+        after = (budget * total - tokens[full].sum()) / shared if shared > 0 else c
+        if after <= c * (1 + 1e-9):
+            return np.round(np.minimum(1.0, weight * c), 12)
+        c = after
+
+
 def odds_of_rows(cells: pa.Table, temperature: dict[str, float], budget: float, rounds: int = ROUNDS,
                  tolerance: float = TOLERANCE) -> pa.Table:
-    """``tempered_targets``, ``rake`` and ``calibrate`` over a table of few cells, by the same steps."""
+    """``margin_targets``, ``_raked`` and ``calibrate`` over a table of few cells, by the same steps."""
     if not cells.num_rows:
-        nothing = pa.array([], pa.float64())
-        return cells.append_column("weight", nothing).append_column("probability", nothing)
+        for name in ("weight", "probability", *MEASURES):
+            cells = cells.append_column(name, pa.array([], pa.float64()))
+        return cells
     tokens = cells["tokens"].to_numpy().astype(np.float64)
     codes = [np.unique(cells[m].to_numpy(), return_inverse=True)[1] for m in temperature]
-    total = tokens.sum()
-    shares = [np.bincount(c, tokens) ** p for c, p in zip(codes, temperature.values(), strict=True)]
-    shares = [s / (s.sum() or 1.0) for s in shares]
-    weight, before = np.ones(len(tokens)), float("inf")
+    whole = budget * tokens.sum()
+    wanted = []
+    for code, power in zip(codes, temperature.values(), strict=True):
+        held = np.bincount(code, tokens)
+        wanted.append(held * _filled(held, np.power(held, power - 1, where=held > 0, out=np.zeros_like(held)), budget))
+    p = np.full(len(tokens), budget)
     for _ in range(rounds):
         worst = 0.0
-        for code, share in zip(codes, shares, strict=True):
-            have = np.bincount(code, tokens * weight)
-            factor = np.divide(share * total, have, out=np.ones_like(have), where=have > 0)
-            weight = weight * factor[code]
-            worst = max(worst, np.abs(factor - 1).max(initial=0))
-        if worst <= tolerance or worst > STALLED * before:
+        for code, want in zip(codes, wanted, strict=True):
+            full = p >= 1.0
+            have, at_one = np.bincount(code, tokens * p), np.bincount(code, tokens * full)
+            worst = max(worst, np.abs(have - want).max(initial=0))
+            more, free = want > at_one, have - at_one
+            factor = np.ones_like(want)
+            np.divide(want - at_one, free, out=factor, where=more & (free > 0))
+            np.divide(want, have, out=factor, where=~more & (have > 0))
+            p = np.where(full & more[code], p, np.minimum(1.0, p * factor[code]))
+        if worst <= tolerance * whole:
             break
-        before = worst
-    c = 0.0
-    while True:
-        full = weight * c >= 1.0
-        shared = (tokens * weight)[~full].sum()
-        after = (budget * total - tokens[full].sum()) / shared if shared > 0 else c
-        if after <= c * (1 + 1e-9):
-            break
-        c = after
-    return cells.append_column("weight", pa.array(weight)) \
-        .append_column("probability", pa.array(np.round(np.minimum(1.0, weight * c), 12)))
+    p = _filled(tokens, p, budget)
+    out = cells.append_column("weight", pa.array(p / budget if budget else p)).append_column("probability", pa.array(p))
+    sampled = (tokens * p).sum() or 1.0
+    for m, code, want in zip(temperature, codes, wanted, strict=True):
+        out = out.append_column(f"target_{m}", pa.array((want / (want.sum() or 1.0))[code])) \
+            .append_column(f"reached_{m}", pa.array((np.bincount(code, tokens * p) / sampled)[code]))
+    return out
 
 
 def odds(cells: DataFrame, temperature: dict[str, float], budget: float, few: int = FEW_CELLS) -> DataFrame:
-    """``cells`` plus ``weight`` and ``probability``.
+    """``cells`` plus ``weight``, ``probability`` and, for each margin, ``target_<m>`` and ``reached_<m>``.
 
     At most ``few`` cells are raked in one piece and their odds broadcast;
     more are raked as Spark tables, in the same steps.
@@ -230,7 +315,17 @@ def odds(cells: DataFrame, temperature: dict[str, float], budget: float, few: in
     if n <= few:
         table = odds_of_rows(cells.orderBy(*MARGINS).toArrow(), temperature, budget)
         return F.broadcast(cells.sparkSession.createDataFrame(table))
-    return stored(calibrate(rake(cells, tempered_targets(cells, temperature)), budget), "mixing-odds", n)
+    wanted = margin_targets(cells, temperature, budget)
+    whole = float(budget * (cells.agg(F.sum("tokens")).first()[0] or 0))
+    raked = _raked(cells.withColumn("weight", F.lit(float(budget))), wanted, whole, 1.0)
+    found = stored(calibrate(raked, budget).withColumn("weight", F.col("probability") / (budget or 1.0)), "mixing-odds", n)
+    sampled = found.agg(F.sum(F.col("tokens") * F.col("probability"))).first()[0] or 1.0
+    for m, want in wanted.items():
+        sums = found.groupBy(m).agg((F.sum(F.col("tokens") * F.col("probability")) / sampled).alias(f"reached_{m}"))
+        both = want.select(m, (F.col("wanted") / (whole or 1.0)).alias(f"target_{m}")).join(sums, m)
+        found = found.join(both, m)
+    return stored(found.select(*cells.columns, "weight", "probability", *[f"{k}_{m}" for m in wanted for k in ("target", "reached")]),
+                  "mixing-odds", n)
 
 
 def _draw(doc_id: Column, text: Column, seed: int) -> Column:
@@ -242,7 +337,7 @@ def _draw(doc_id: Column, text: Column, seed: int) -> Column:
 def _with_probability(docs: DataFrame, temperature: dict[str, float], budget: float, seed: int,
                       id_col: str, text_col: str) -> DataFrame:
     """``docs`` plus ``__source, __lang, __topic, __tokens, __probability, __sampled``."""
-    model = fit_topics(docs, id_col=id_col, text_col=text_col)
+    model = fit_topics(docs, text_col=text_col)
     source, lang, read = _categories(model, F.col(text_col), F.col("source"), F.col("lang"))
     held = docs.select("*", source.alias("__source"), lang.alias("__lang"), read.alias("__read"),
                        _draw(F.col(id_col), F.col(text_col), seed).alias("__draw")) \
@@ -252,18 +347,17 @@ def _with_probability(docs: DataFrame, temperature: dict[str, float], budget: fl
     cells = compacted(held.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"),
                                    F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens")), "mixing-cells")
     drawn = odds(cells, temperature, budget).select(*[F.col(m).alias(f"__{m}") for m in MARGINS],
-                                                    F.col("weight").alias("__weight"),
-                                                    F.col("probability").alias("__probability"))
+                                                    *[F.col(c).alias(f"__{c}") for c in (*MEASURES, "weight", "probability")])
     return held.join(drawn, [f"__{m}" for m in MARGINS]).withColumn("__sampled", F.col("__draw") < F.col("__probability"))
 
 
 def mixture(docs: DataFrame, temperature: dict[str, float] = TEMPERATURE, budget: float = BUDGET, seed: int = SEED,
             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, source, lang, topic, tokens, weight, probability, sampled)`` for every document."""
+    """``(doc_id, source, lang, topic, tokens, weight, probability, sampled, target_<margin>, reached_<margin>)`` of every document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        "source", "lang")
     return _with_probability(docs, temperature, budget, seed, "doc_id", "text").select(
-        "doc_id", *[F.col(f"__{c}").alias(c) for c in (*MARGINS, "tokens", "weight", "probability", "sampled")])
+        "doc_id", *[F.col(f"__{c}").alias(c) for c in (*MARGINS, "tokens", "weight", "probability", "sampled", *MEASURES)])
 
 
 def mixed_documents(docs: DataFrame, temperature: dict[str, float] = TEMPERATURE, budget: float = BUDGET,

@@ -261,3 +261,106 @@ def test_sampled_tokens_follow_the_targets(spark):
     want = {s: n ** 0.7 for s, n in have.items()}
     for s in have:
         assert abs(expected[s] / sum(expected.values()) - want[s] / sum(want.values())) < 0.05
+
+
+def brute_probabilities(cells, power, budget):
+    """Water-filled targets, then margins met one after the other; probabilities at 1 stay while their margin wants more."""
+    total = sum(cells.values())
+
+    def filled(tokens):
+        c_low, c_high = 0.0, 1e12
+        for _ in range(300):  # bisection
+            c = (c_low + c_high) / 2
+            got = sum(min(t, c * t ** power) for t in tokens.values() if t)
+            c_low, c_high = (c, c_high) if got < budget * total else (c_low, c)
+        return {m: min(t, c_low * t ** power) if t else 0.0 for m, t in tokens.items()}
+
+    wanted = []
+    for i in range(3):
+        held = defaultdict(float)
+        for c, t in cells.items():
+            held[c[i]] += t
+        wanted.append(filled(held))
+    p = {c: budget for c in cells}
+    for _ in range(400):
+        for i, want in enumerate(wanted):
+            for value, tokens in want.items():
+                own = [c for c in cells if c[i] == value]
+                at_one = sum(cells[c] for c in own if p[c] >= 1)
+                have = sum(cells[c] * p[c] for c in own)
+                for c in own:
+                    if tokens > at_one and p[c] < 1 and have > at_one:
+                        p[c] = min(1.0, p[c] * (tokens - at_one) / (have - at_one))
+                    elif tokens <= at_one and have > 0:
+                        p[c] = p[c] * tokens / have
+    return p, wanted
+
+
+def brute_topics(docs, vocabulary, topics):
+    """``{doc_id: topic}`` by the definition, document by document."""
+    out = {}
+    for lang in {d[2] for d in docs}:
+        own = [(i, [w.decode() for w in mx.words_of(t or "")]) for i, t, la in docs if la == lang]
+        df = Counter(w for _, ws in own for w in set(ws))
+        idf = {w: np.log(len(own) / n) for w, n in df.items()}
+        best = sorted((w for w in df if round(df[w] * idf[w], 9) > 0), key=lambda w: (-round(df[w] * idf[w], 9), w))[:vocabulary]
+        held = np.array([[w in set(ws) for w in best] for _, ws in own], dtype=float).reshape(len(own), len(best))
+        if not best:
+            out.update({i: -1 for i, _ in own})
+            continue
+        p, both = held.mean(axis=0), held.T @ held / len(own)
+        sd = np.sqrt(p * (1 - p))
+        r = (both - np.outer(p, p)) / np.outer(sd, sd)
+        axis = np.linalg.eigh(r / np.linalg.norm(r, axis=1, keepdims=True) * np.linalg.norm(r, axis=1, keepdims=True))[1][:, -1]
+        axis = np.round(axis * np.sign(axis[np.argmax(np.abs(np.round(axis, 9)))]), 9)
+        weight = {w: p[j] * idf[w] for j, w in enumerate(best)}
+        topic, so_far = {}, 0.0
+        for j in np.argsort(axis, kind="stable"):
+            topic[best[j]] = min(topics - 1, int(so_far / sum(weight.values()) * topics + 1e-12))
+            so_far += weight[best[j]]
+        mean = Counter()
+        for w in best:
+            mean[topic[w]] += weight[w]
+        for i, ws in own:
+            sums = Counter()
+            for w, n in Counter(ws).items():
+                if w in topic:
+                    sums[topic[w]] += n ** 0.5 * idf[w] / mean[topic[w]]
+            out[i] = min(sums, key=lambda t: (-round(sums[t], 9), t)) if sums else -1
+    return out
+
+
+def test_mixture_against_brute_force(spark):
+    rng = random.Random(12)
+    themes = [[f"t{k}w{i}" for i in range(12)] for k in range(4)]
+    docs = []
+    for i in range(400):
+        theme = themes[rng.randrange(4)]
+        words = [rng.choice(theme if rng.random() < 0.7 else themes[rng.randrange(4)]) for _ in range(rng.randrange(0, 30))]
+        docs.append((i, " ".join(words) or None, rng.choice(["en", "en", "en", "fr"]), rng.choice(["a", "a", "a", "b", "c"])))
+    rows = mx.mixture(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(5)).collect()
+    topics = brute_topics([d[:3] for d in docs], mx.VOCABULARY, mx.TOPICS)
+    assert {r["doc_id"]: r["topic"] for r in rows} == topics
+    cells = Counter()
+    for i, text, lang, source in docs:
+        cells[source, lang, topics[i]] += len((text or "").split())
+    p, wanted = brute_probabilities(cells, 0.7, mx.BUDGET)
+    total = mx.BUDGET * sum(cells.values())
+    for r in rows:
+        cell = (r["source"], r["lang"], r["topic"])
+        assert r["probability"] == pytest.approx(p[cell], abs=2e-3)
+        for k, m in enumerate(mx.MARGINS):
+            assert r[f"target_{m}"] == pytest.approx(wanted[k][cell[k]] / total, abs=1e-6)
+            assert r[f"reached_{m}"] == pytest.approx(r[f"target_{m}"], abs=1e-3)
+        assert r["sampled"] == (r["probability"] > 0 and r["sampled"])
+
+
+def test_targets_beyond_what_there_is_are_cut_and_told(spark):
+    cells = spark.createDataFrame([("a", "en", 0, 9000), ("b", "en", 0, 10), ("a", "fr", 1, 900), ("b", "fr", 1, 90)],
+                                  "source string, lang string, topic int, tokens long")
+    for few in (1000, 0):
+        rows = mx.odds(cells, mx.TEMPERATURE, 0.8, few).collect()
+        assert sum(r["tokens"] * r["probability"] for r in rows) == pytest.approx(8000, abs=1)
+        b = next(r for r in rows if r["source"] == "b")
+        assert b["target_source"] == pytest.approx(100 / 8000, abs=1e-6)  # all there is
+        assert all(0 <= r["probability"] <= 1 for r in rows)

@@ -52,5 +52,5 @@ def test_run_matches_brute_force(spark):
 
 def test_one_query_for_each_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert len(cp.STAGES) == 5 and cp.ORACLE_SQL is None
