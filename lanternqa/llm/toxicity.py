@@ -50,7 +50,7 @@ NEIGHBOURS = 15
 BLOCK = 64
 HOT_SHARE = 16  # lists that hold one in so many examples are dense,
 HOT = 512  # at most so many of them
-TOGETHER = 32  # texts whose dense lists are multiplied together
+TOGETHER = 64  # texts whose dense lists are multiplied together
 MEMO_WORDS = 200_000
 ALIKE = 32  # most frequent terms whose presence orders the examples
 DOUBT = 0.5  # weight on the clean side of every vote; a neighbour at cosine 1 has 1
@@ -112,15 +112,12 @@ class Vocabulary:
         row, coded = pc.list_parent_indices(split).to_numpy(zero_copy_only=False), split.flatten().dictionary_encode()
         words, word = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         numbers, held = self._numbers(words)
-        at, n = np.unique(row * max(1, len(words)) + word, return_counts=True)
-        row, word = np.divmod(at, max(1, len(words)))
         spread = held[word]
         key = np.repeat(row * (len(self.at) + 1), spread) + numbers[_ranges((np.cumsum(held) - held)[word], spread)]
-        order = np.argsort(key, kind="stable")
-        key, n = key[order], np.repeat(n, spread)[order]
+        key.sort()
         new = np.flatnonzero(np.diff(key, prepend=-1))
         row, terms = np.divmod(key[new], len(self.at) + 1)
-        return Found(np.searchsorted(row, np.arange(len(plain) + 1)), terms, np.add.reduceat(n, new) if len(new) else n)
+        return Found(np.searchsorted(row, np.arange(len(plain) + 1)), terms, np.diff(new, append=len(key)))
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -213,9 +210,11 @@ class BlockMaxIndex:
                 column = self.column[terms]
                 hot[r, column[column >= 0]] = weights[column >= 0]
                 terms, weights = terms[column < 0], weights[column < 0]
-                length = self.length[terms]
-                p = _ranges(self.posting_at[terms].astype(np.int64), length)
-                sums[r, :self.n] = np.bincount(self.at[p], np.repeat(weights, length) * self.value[p], minlength=self.n) * self.scale
+                if len(terms):
+                    lists = [slice(*ends) for ends in zip(self.posting_at[terms].tolist(), self.posting_at[terms + 1].tolist(), strict=True)]
+                    weight = np.repeat(weights, self.length[terms])
+                    weight *= np.concatenate([self.value[p] for p in lists])
+                    sums[r, :self.n] = np.bincount(np.concatenate([self.at[p] for p in lists]), weight, minlength=self.n) * self.scale
                 if leave is not None and leave[i] >= 0:
                     sums[r, leave[i]] = -np.inf
                 if self.n > k:
