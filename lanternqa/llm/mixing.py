@@ -335,15 +335,20 @@ def _draw(doc_id: Column, text: Column, seed: int) -> Column:
 
 
 def _with_probability(docs: DataFrame, temperature: dict[str, float], budget: float, seed: int,
-                      id_col: str, text_col: str) -> DataFrame:
-    """``docs`` plus ``__source, __lang, __topic, __tokens, __probability, __sampled``."""
+                      id_col: str, text_col: str, with_text: bool = True) -> DataFrame:
+    """``docs`` plus ``__source, __lang, __topic, __tokens, __probability, __sampled``.
+
+    ``with_text`` keeps the text: it is read for the cells and again for the
+    draw, never written.  Without it the narrow rows are stored once between.
+    """
     model = fit_topics(docs, text_col=text_col)
     source, lang, read = _categories(model, F.col(text_col), F.col("source"), F.col("lang"))
     held = docs.select("*", source.alias("__source"), lang.alias("__lang"), read.alias("__read"),
                        _draw(F.col(id_col), F.col(text_col), seed).alias("__draw")) \
         .select(*[F.col(f"`{c}`") for c in docs.columns], "__source", "__lang", "__draw",
                 F.col("__read.topic").alias("__topic"), F.col("__read.tokens").alias("__tokens"))
-    # every text is read for the cells, and again for the draw: no text is shuffled or written
+    if not with_text:
+        held = stored(held.drop(text_col), "mixing-rows")
     cells = compacted(held.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"),
                                    F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens")), "mixing-cells")
     drawn = odds(cells, temperature, budget).select(*[F.col(m).alias(f"__{m}") for m in MARGINS],
@@ -356,7 +361,7 @@ def mixture(docs: DataFrame, temperature: dict[str, float] = TEMPERATURE, budget
     """``(doc_id, source, lang, topic, tokens, weight, probability, sampled, target_<margin>, reached_<margin>)`` of every document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        "source", "lang")
-    return _with_probability(docs, temperature, budget, seed, "doc_id", "text").select(
+    return _with_probability(docs, temperature, budget, seed, "doc_id", "text", with_text=False).select(
         "doc_id", *[F.col(f"__{c}").alias(c) for c in (*MARGINS, "tokens", "weight", "probability", "sampled", *MEASURES)])
 
 
