@@ -19,12 +19,18 @@ META = ("ngram int, mode string, unicode_form string, tokenizer string, k1 doubl
 
 
 def _postings(spark: SparkSession, path: str, buckets: int) -> DataFrame:
-    """The stored postings as a bucketed table (a name in this session's catalog; no data moves)."""
+    """The stored postings as a bucketed table.
+
+    The catalog is where Spark takes buckets from: a name is made, resolved
+    and dropped again (the name only: the files lie under the given path).
+    """
     name = f"postings_{uuid.uuid4().hex}"
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{path}/postings").schema)
     spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (doc_id) SORTED BY (term) "
               f"INTO {buckets} BUCKETS LOCATION '{path}/postings'")
-    return spark.table(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 def save_index(index: TermIndex, path: str, buckets: int | None = None) -> TermIndex:

@@ -207,6 +207,7 @@ def test_stored_index_reads_back(spark, tmp_path):
         assert sorted(tuple(r) for r in getattr(index, part).collect()) == want
         assert sorted(tuple(r) for r in getattr(again, part).collect()) == want
     assert (again.n, again.total) == (4, 5)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("postings_")]
     assert again.stats.first().asDict() == {"n_docs": 4, "avgdl": 1.25}
 
 
