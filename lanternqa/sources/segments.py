@@ -166,13 +166,17 @@ class SegmentIndex:
         _write_manifest(self.spark, self.path, self.version + 1, manifest)
         return SegmentIndex(self.spark, self.path, self.version + 1, manifest)
 
-    def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SegmentIndex:
-        """Adds documents as one more segment.  Their ids must not be among the live ones."""
+    def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_docs: int | None = None) -> SegmentIndex:
+        """Adds documents (``n_docs`` of them, counted if not given) as one more segment.
+
+        Their ids must not be among the live ones.
+        """
         parsed = document_terms(docs, id_col, text_col, self.ngram, self.mode, self.unicode_form)
         marked = parsed.select("doc_id", F.size("terms").cast("long").alias("dl"),
                                F.concat("terms", F.array(F.lit(DOCUMENT))).alias("terms"))
         postings = term_frequencies(marked, "terms", keep=("doc_id", "dl"))
-        return self._with_segment(postings, docs.count(), self.manifest["segments"], self.manifest["deletes"], self.n, self.total)
+        n_docs = docs.count() if n_docs is None else n_docs
+        return self._with_segment(postings, n_docs, self.manifest["segments"], self.manifest["deletes"], self.n, self.total)
 
     def compact(self) -> SegmentIndex:
         """All live documents in one segment; nothing is parsed again."""
@@ -242,10 +246,11 @@ def create_index(spark: SparkSession, path: str, parts: int, doc_type: str = "bi
 def build_segments(docs: DataFrame, path: str, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text",
                    **parameters) -> SegmentIndex:
     """An index of one segment.  The number of parts grows with the documents, to ``MAX_PARTS``."""
-    parts = parts or min(MAX_PARTS, max(16, docs.count() // DOCS_PER_PART))
+    n_docs = docs.count()
+    parts = parts or min(MAX_PARTS, max(16, n_docs // DOCS_PER_PART))
     doc_type = dict(docs.dtypes)[id_col]
     empty = create_index(docs.sparkSession, path, parts, doc_type, **parameters)
-    return empty.append(docs, id_col, text_col)
+    return empty.append(docs, id_col, text_col, n_docs)
 
 
 def open_index(spark: SparkSession, path: str, version: int | None = None) -> SegmentIndex:
