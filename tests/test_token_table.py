@@ -29,6 +29,16 @@ def test_groups_of_the_corpus(spark):
     assert groups(tk.entity_groups_of_table(tk.token_table(docs, fx.TAGGERS), block=50)) == want
 
 
+def test_tokens_do_not_carry_the_document(spark):
+    """A row a token that held the document's token array took time with its square."""
+    long = spark.range(1).select(F.col("id").alias("doc_id"), F.expr("repeat('One two, three.  ', 30000)").alias("text"))
+    table = tk.token_table(long, fx.TAGGERS)
+    generate = [line for line in table._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in line]
+    assert len(generate) == 1 and "toks" not in generate[0]
+    got = table.agg(F.count("*"), F.sum(F.length("text_ws")), F.count_if(F.col("text_ws") == ".")).first()
+    assert tuple(got) == (150_000, 30_000 * 17 - 2, 1)
+
+
 def test_any_kind_and_absent_tags(spark):
     rows = [(1, i, t, t + " ", tag) for i, (t, tag) in enumerate([("a", "X"), ("b", "X"), ("c", None), ("d", "X"), ("e", "Y"), ("f", "-")])]
     table = spark.createDataFrame(rows, "doc_id long, pos long, token string, text_ws string, kind string")
