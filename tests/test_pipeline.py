@@ -305,6 +305,35 @@ def test_dense_topk_ties_blocks_and_empty_tiles(spark, monkeypatch):
     assert "collect" not in inspect.getsource(lk.dense_topk)
 
 
+def test_dense_topk_moves_a_vector_few_times():
+    """600,000 vectors of 64 as mentions and catalogue; some 600 copies of each before."""
+    size = 600_000 * 64 * 8
+    tiles, blocks = lk.grid(size, 600_000, size, 12, lk.TILE_BYTES)
+    assert tiles <= 5 and blocks <= 40 and tiles * blocks >= 100
+    assert lk.grid(10_000 * 512, 10_000, 10_000 * 512, 12, lk.TILE_BYTES) == (1, 10)
+
+
+def test_single_precision_loses_no_vector(monkeypatch):
+    """Scores apart by less than single precision tells, many equal ones, vectors too large for it or not finite."""
+    monkeypatch.setattr(lk, "ENTITY_BLOCK", 64)
+    monkeypatch.setattr(lk, "SCORE_ROWS", 3)
+    rng = np.random.default_rng(5)
+    for scale in (1.0, 30.0, 1e-3, 1e25):
+        x = (np.ones((400, 8)) + rng.integers(-3, 4, (400, 8)) * 1e-7 + (rng.random((400, 1)) < 0.3)) * scale
+        x = x[np.argsort(-np.square(x).sum(axis=1))]
+        mentions, ids = x[rng.permutation(400)[:20]], rng.permutation(400)
+        block = lk.MentionBlock(ids[:20] + 0, mentions, 4, exclude_self=True)
+        for at in range(0, 400, 90):
+            block.meet(ids[at:at + 90], x[at:at + 90])
+        for i in range(20):
+            s = lk._rounded(np.einsum("j,ij->i", mentions[i], x))
+            s[ids == ids[i]] = -np.inf
+            near = np.lexsort((ids, -s))[:4]
+            if scale < 1e6:
+                assert block.best_ids[i].tolist() == ids[near].tolist()
+            assert np.allclose(block.best[i], s[near], rtol=1e-12)
+
+
 def test_vectors_that_cannot_reach_are_not_scored(monkeypatch):
     """Falling norms: most products are left out, the lists are those of all products."""
     monkeypatch.setattr(lk, "ENTITY_BLOCK", 50)
