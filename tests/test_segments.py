@@ -136,3 +136,33 @@ def test_a_hot_term_is_dealt_on(spark, tmp_path, monkeypatch):
     hot = index.blocks.where("term = 'hot'")
     assert hot.agg(F.max("n")).first()[0] < 60  # ranges are small, whatever the term's frequency
     assert hot.select(F.input_file_name()).distinct().count() > 4
+
+
+def test_a_task_has_so_many_documents(spark, tmp_path, monkeypatch):
+    """Sums and blocks are dealt by the number of documents, whatever the session's number of partitions."""
+    monkeypatch.setattr(sg, "DOCS_PER_TASK", 50)
+    monkeypatch.setattr(pr, "DOCS_PER_TASK", 50)
+    index = sg.build_segments(corpus(spark, 2000, 6), f"{tmp_path}/index", parts=16, unicode_form=None)
+    vectors = pr.question_vectors(index, spark.createDataFrame([(1, "w19 w23"), (2, "w23 w31")], "query_id long, question string"))
+    scores = pr.score_terms(index, vectors)
+    assert scores.rdd.getNumPartitions() == -(-index.n // 50) >= 40
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan and "doc_id" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+
+
+def test_deletions_meet_blocks_not_postings(spark, tmp_path, monkeypatch):
+    """Beyond the bytes of a broadcast, blocks are moved, not a row for every posting; results are the same."""
+    docs = corpus(spark, 600, 6)
+    built = sg.build_segments(docs, f"{tmp_path}/index", parts=16, unicode_form=None).delete(docs.where("doc_id % 3 = 0"))
+    want = sg.build_segments(docs.where("doc_id % 3 <> 0"), f"{tmp_path}/want", parts=16, unicode_form=None)
+    moved = docs.where("doc_id % 3 = 1")
+    for fits in (True, False):
+        monkeypatch.setattr(sg, "fits_broadcast", lambda *_: fits)
+        got = sg.open_index(spark, built.path, 2)
+        assert sorted(map(tuple, got.postings.collect())) == sorted(map(tuple, want.postings.collect()))
+        assert sorted(map(tuple, got.terms.collect())) == sorted(map(tuple, want.terms.collect())) and got.n == want.n
+    plan = got.postings._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("CoGroup")  # read from the top: blocks meet deletions, then are exploded
+    twice, wanted = got.delete(moved), want.delete(moved)
+    assert sorted(map(tuple, twice.terms.collect())) == sorted(map(tuple, wanted.terms.collect())) and twice.n == wanted.n
+    assert sorted(map(tuple, twice.postings.collect())) == sorted(map(tuple, wanted.postings.collect()))
