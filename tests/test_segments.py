@@ -166,3 +166,26 @@ def test_deletions_meet_blocks_not_postings(spark, tmp_path, monkeypatch):
     twice, wanted = got.delete(moved), want.delete(moved)
     assert sorted(map(tuple, twice.terms.collect())) == sorted(map(tuple, wanted.terms.collect())) and twice.n == wanted.n
     assert sorted(map(tuple, twice.postings.collect())) == sorted(map(tuple, wanted.postings.collect()))
+
+
+def test_a_build_moves_blocks_not_postings(spark, tmp_path, monkeypatch):
+    """A range's documents meet before they are parsed: what is dealt by term has a row for each term and range."""
+    monkeypatch.setattr(sg, "RANGE_DOCS", 64)
+    seen, real = [], sg.SegmentIndex._with_segment
+
+    def watched(self, rows, *rest):
+        seen.append(rows)
+        return real(self, rows, *rest)
+
+    monkeypatch.setattr(sg.SegmentIndex, "_with_segment", watched)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")  # ranges go on in the next batch
+    try:
+        docs = corpus(spark, 700, 6)
+        docs = docs.unionByName(docs.where("doc_id % 7 = 0"))  # ids may repeat
+        index = sg.build_segments(docs, f"{tmp_path}/index", unicode_form=None)
+        assert tables(index.compact()) == tables(index) == fresh(spark, docs)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert "Generate" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    blocks, postings = seen[0].count(), index.postings.count()
+    assert blocks == index.blocks.count() == index.blocks.select("term", "range").distinct().count() < postings / 3
