@@ -10,8 +10,9 @@ term; the hot lists, which hold most postings, are dense and cut into
 blocks of examples with the largest weight of each.  A document's short
 lists are added up first: its K-th best sum is a cosine that its neighbours
 reach.  Of the hot lists only blocks whose bounds reach it are multiplied
-(for some documents at a time), so the nearest examples are exact.  They
-vote with their squared cosine; a logistic curve fitted on the examples'
+(for some documents at a time, in single precision); what can be among the
+K best by its error bound is multiplied in double precision, so the nearest
+examples are exact.  They vote with their squared cosine; a logistic curve fitted on the examples'
 leave-one-out votes calibrates the score, and the neighbours are its
 evidence.
 
@@ -33,7 +34,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +50,10 @@ PREFIXES = range(4, 9)
 NEIGHBOURS = 15
 BLOCK = 64
 HOT_SHARE = 16  # lists that hold one in so many examples are dense,
-HOT = 512  # at most so many of them
+HOT = 1024  # at most so many of them
 TOGETHER = 64  # texts whose dense lists are multiplied together
-MEMO_WORDS = 200_000
+SPREAD = 16  # examples, far from each other, that share a maximum
+SLICE = 1 << 20  # postings whose weights are worked out together
 ALIKE = 32  # most frequent terms whose presence orders the examples
 DOUBT = 0.5  # weight on the clean side of every vote; a neighbour at cosine 1 has 1
 THRESHOLD = 0.7
@@ -88,36 +90,68 @@ class Found:
         return slice(self.first[i], self.first[i + 1])
 
 
+def term_tables(names: pa.Array) -> list[tuple[int, pa.Array, np.ndarray]]:
+    """Words (0) and word beginnings of each length as ``(length, texts, numbers)``; a term's number is its place."""
+    marked, size = pc.ends_with(names, "*").to_numpy(zero_copy_only=False), pc.utf8_length(names).to_numpy()
+    out = []
+    for n in (0, *PREFIXES):
+        numbers = np.flatnonzero(marked & (size == n + 1) if n else ~marked)
+        texts = names.take(pa.array(numbers))
+        out.append((n, pc.utf8_slice_codeunits(texts, 0, n) if n else texts, numbers))
+    return out
+
+
 class Vocabulary:
-    """Numbers of the terms; remembers those of the words it has met."""
+    """Numbers of the terms: words are looked up in columns, all at once."""
 
     def __init__(self, at: dict[str, int]):
-        self.at = at
-        self.memo: dict[str, list[int]] = {}
-
-    def _numbers(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        numbers = np.fromiter(at.values(), dtype=np.int64, count=len(at))
+        self.size = len(at)
+        self.tables = [(n, texts, numbers[places]) for n, texts, places in term_tables(pa.array(at, pa.string()))]
+
+    @classmethod
+    def of(cls, size: int, tables: list[tuple[int, pa.Array, np.ndarray]]) -> Vocabulary:
+        """The vocabulary of ``term_tables``."""
+        made = cls.__new__(cls)
+        made.size, made.tables = size, tables
+        return made
+
+    @cached_property
+    def at(self) -> dict[str, int]:
+        return {text + "*" * (n > 0): i for n, texts, numbers in self.tables
+                for text, i in zip(texts.to_pylist(), numbers.tolist(), strict=True)}
+
+    def _numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of the words' known terms, one word after the other, and how many each word has."""
-        if len(self.memo) + len(words) > MEMO_WORDS:
-            self.memo.clear()
-        for word in words:
-            if word not in self.memo:
-                self.memo[word] = [i for b in bases_of(word) if (i := self.at.get(b)) is not None]
-        held = [self.memo[word] for word in words]
-        return np.array(list(chain.from_iterable(held)), dtype=np.int64), np.array([len(h) for h in held], dtype=np.int64)
+        size = pc.utf8_length(words).to_numpy()
+        found = np.full((len(words), len(self.tables)), -1, dtype=np.int64)
+        for column, (n, texts, numbers) in enumerate(self.tables):
+            if not len(texts):
+                continue
+            longer = np.flatnonzero(size > n)
+            bases = words.take(pa.array(longer)) if n else words
+            places = pc.index_in(pc.utf8_slice_codeunits(bases, 0, n) if n else bases, value_set=texts)
+            known = places.is_valid().to_numpy(zero_copy_only=False)
+            found[(longer if n else np.arange(len(words)))[known], column] = numbers[places.drop_null().to_numpy()]
+        held = found >= 0
+        return found[held], held.sum(axis=1)
 
     def found(self, texts: pa.Array) -> Found:
         """NULL texts have no terms.  Each distinct word of the texts is looked up once."""
         plain = [b"" if t is None else t.lower().encode("utf-8", "replace").translate(_LETTERS) for t in texts.to_pylist()]
         split = pc.ascii_split_whitespace(pa.array(plain, pa.binary()).cast(pa.string()))
         row, coded = pc.list_parent_indices(split).to_numpy(zero_copy_only=False), split.flatten().dictionary_encode()
-        words, word = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        numbers, held = self._numbers(words)
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        numbers, held = self._numbers(coded.dictionary)
         spread = held[word]
-        key = np.repeat(row * (len(self.at) + 1), spread) + numbers[_ranges((np.cumsum(held) - held)[word], spread)]
+        kind = np.uint32 if len(plain) * (self.size + 1) < 1 << 32 else np.int64
+        key = np.repeat((row * (self.size + 1)).astype(kind), spread)
+        key += numbers.astype(kind)[_ranges((np.cumsum(held) - held)[word], spread)]
         key.sort()
-        new = np.flatnonzero(np.diff(key, prepend=-1))
-        row, terms = np.divmod(key[new], len(self.at) + 1)
-        return Found(np.searchsorted(row, np.arange(len(plain) + 1)), terms, np.diff(new, append=len(key)))
+        new = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), dtype=bool), key[1:] != key[:-1])))
+        first = np.searchsorted(key[new], (np.arange(len(plain) + 1) * (self.size + 1)).astype(kind))
+        terms = key[new].astype(np.int64) - np.repeat(np.arange(len(plain)) * (self.size + 1), np.diff(first))
+        return Found(first, terms, np.diff(new, append=len(key)))
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -138,7 +172,7 @@ class BlockMaxIndex:
     its non-zero values; a posting weighs its value times the ``scale`` of
     its example.  Term ``t`` has the blocks ``term_at[t]`` to ``term_at[t + 1]``
     (those that hold a posting), block ``e`` of a term the postings
-    ``block_at[e]`` to ``block_at[e + 1]``.
+    ``block_at[e]`` to ``block_at[e + 1]``.  Values and weights aren't negative.
     """
 
     def __init__(self, vectors: np.ndarray | tuple, ids: np.ndarray, labels: np.ndarray,
@@ -152,20 +186,21 @@ class BlockMaxIndex:
         scale = np.ones(self.n) if scale is None else scale
         # like examples lie side by side, so that a block's largest weights say much
         often = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:ALIKE]
-        column = np.full(n_terms, -1)
+        column = np.full(n_terms, -1, dtype=np.int8)
         column[often] = np.arange(len(often))
         alike = np.zeros((len(often), self.n), dtype=bool)
         shown = column[term] >= 0
         alike[column[term[shown]], row[shown]] = True
         order = np.lexsort((ids, *alike[::-1], labels))
         self.ids, self.labels, self.scale = ids[order], labels[order], scale[order]
-        place = np.empty(self.n, dtype=np.int64)
+        place = np.empty(self.n, dtype=np.min_scalar_type(self.n))
         place[order] = np.arange(self.n)
-        at = _least(place[row])
+        at = place[row]
         by = np.lexsort((at, term))
-        self.at, self.value = at[by], value[by]
+        self.postings = np.empty(len(by), dtype=[("at", at.dtype), ("value", value.dtype)])
+        self.postings["at"], self.postings["value"] = at[by], value[by]
         self.posting_at = np.searchsorted(term[by], np.arange(n_terms + 1)).astype(np.int32)
-        self.cut()
+        self.dense: np.ndarray | None = None  # what searches need is cut for the first
 
     def cut(self) -> None:
         """Lay out the hot lists by blocks, with the largest weight of each."""
@@ -175,55 +210,94 @@ class BlockMaxIndex:
         hot = hot[self.length[hot] * HOT_SHARE >= max(1, self.n)]
         self.column = np.full(len(self.length), -1, dtype=np.int32)
         self.column[hot] = np.arange(len(hot))
-        self.dense = np.zeros((self.blocks, len(hot), BLOCK))
+        # values that single precision holds, like counts, are kept in it
+        exact = all(np.array_equal(v.astype(np.float32), v) for v in (self._list(t)["value"] for t in hot))
+        self.dense = np.zeros((self.blocks * BLOCK, len(hot)), dtype=np.float32 if exact else np.float64)
         for i, term in enumerate(hot):
-            p = slice(self.posting_at[term], self.posting_at[term + 1])
-            self.dense[self.at[p] // BLOCK, i, self.at[p] % BLOCK] = self.value[p] * self.scale[self.at[p]]
-        self.largest = self.dense.max(axis=2, initial=0.0).T
+            self.dense[self._list(term)["at"], i] = self._list(term)["value"]
+        self.spread = np.zeros(self.blocks * BLOCK)
+        self.spread[:self.n] = self.scale
+        self.largest = np.zeros((len(hot), self.blocks))
+        for block in range(self.blocks):
+            p = slice(block * BLOCK, (block + 1) * BLOCK)
+            self.largest[:, block] = (self.dense[p] * self.spread[p, None]).max(axis=0)
+        # a list is one value of a binary column, so that many are put together at once
+        self.lists_in_one = pa.Array.from_buffers(pa.large_binary(), len(self.length), [
+            None, pa.py_buffer(self.posting_at.astype(np.int64) * self.postings.itemsize), pa.py_buffer(self.postings.view(np.uint8))])
+
+    def _list(self, term: int) -> np.ndarray:
+        return self.postings[self.posting_at[term]:self.posting_at[term + 1]]
+
+    def _together(self, terms: np.ndarray) -> np.ndarray:
+        """The terms' postings, one list after the other."""
+        n = int(self.length[terms].sum())
+        if not n:
+            return self.postings[:0]
+        return np.frombuffer(self.lists_in_one.take(pa.array(terms)).buffers()[2], dtype=self.postings.dtype, count=n)
 
     def lists(self) -> dict:
         """What ``cut`` starts from."""
-        return {k: vars(self)[k] for k in ("n", "ids", "labels", "scale", "at", "value", "posting_at")}
-
-    def _best(self, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        found = np.round(found, 12)
-        least = np.partition(found, found.size - k)[found.size - k] if found.size > k else 0.0
-        at = np.flatnonzero((found > 0) & (found >= least))
-        at = at[np.lexsort((self.ids[at], -found[at]))[:k]]
-        return at, found[at]
+        return {k: vars(self)[k] for k in ("n", "ids", "labels", "scale", "postings", "posting_at")}
+
+    def _reached(self, sums: np.ndarray, k: int) -> np.ndarray:
+        """Of each row a sum that its ``k`` best reach: the k-th of the maxima of scattered examples."""
+        maxima = sums.reshape(len(sums), SPREAD, -1).max(axis=1)
+        if maxima.shape[1] < k:
+            return np.zeros(len(sums))
+        return np.maximum(0.0, np.partition(maxima, maxima.shape[1] - k, axis=1)[:, maxima.shape[1] - k])
+
+    def _best(self, short: np.ndarray, hot: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` best of the examples ``at``, in double precision."""
+        found = np.round(short[at] + (self.dense[at] * hot).sum(axis=1) * self.spread[at], 12)
+        best = np.lexsort((self.ids[at], -found))[:k]
+        best = best[found[best] > 0]
+        return at[best], found[best]
 
     def nearest(self, queries: Found, k: int, leave: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """``(example positions, cosines)`` of each query's ``k`` nearest with a common term.
 
         ``queries`` have weights for counts; ``leave`` is each one's example that is passed over.
-        The short lists, essential to every query, are added up first; the k-th best sum so
-        far is a score that the answer reaches.  Of the hot lists only blocks whose largest
-        weights can lift an example to it are multiplied.
+        The short lists, essential to every query, are added up first; their k best sums so
+        far are scores that the answer reaches.  Of the hot lists only blocks whose largest
+        weights can lift an example to it are multiplied; whatever is then among the k best
+        but for the error of the product is scored again in double precision.
         """
+        if self.dense is None:
+            self.cut()
         out = []
+        error = (self.dense.shape[1] + 2) * np.finfo(self.dense.dtype).eps  # relative, of sums without negative terms
         for start in range(0, len(queries.first) - 1, TOGETHER):
             batch = range(start, min(start + TOGETHER, len(queries.first) - 1))
             sums, hot = np.zeros((len(batch), self.blocks * BLOCK)), np.zeros((len(batch), self.dense.shape[1]))
-            reach = np.zeros(len(batch))
             for r, i in enumerate(batch):
                 terms, weights = queries.terms[queries.of(i)], queries.counts[queries.of(i)]
                 column = self.column[terms]
                 hot[r, column[column >= 0]] = weights[column >= 0]
                 terms, weights = terms[column < 0], weights[column < 0]
                 if len(terms):
-                    lists = [slice(*ends) for ends in zip(self.posting_at[terms].tolist(), self.posting_at[terms + 1].tolist(), strict=True)]
+                    postings = self._together(terms)
                     weight = np.repeat(weights, self.length[terms])
-                    weight *= np.concatenate([self.value[p] for p in lists])
-                    sums[r, :self.n] = np.bincount(np.concatenate([self.at[p] for p in lists]), weight, minlength=self.n) * self.scale
+                    weight *= postings["value"]
+                    sums[r, :self.n] = np.bincount(postings["at"], weight, minlength=self.n) * self.scale
                 if leave is not None and leave[i] >= 0:
                     sums[r, leave[i]] = -np.inf
-                if self.n > k:
-                    reach[r] = max(0.0, np.partition(sums[r, :self.n], self.n - k)[self.n - k])
-            if self.dense.shape[1]:
-                bounds = hot @ self.largest + sums.reshape(len(batch), self.blocks, BLOCK).max(axis=2)
-                for block in np.flatnonzero((bounds >= reach[:, None] - 1e-9).any(axis=0)):
-                    sums[:, block * BLOCK:(block + 1) * BLOCK] += hot @ self.dense[block]
-            out += [self._best(row[:self.n], k) for row in sums]
+            whole, least = sums, np.full(len(batch), 1e-13)
+            if self.n > k:
+                reach = self._reached(sums, k)
+                if self.dense.shape[1]:
+                    bounds = hot @ self.largest + sums.reshape(len(batch), self.blocks, BLOCK).max(axis=2)
+                    needed = np.concatenate(([False], (bounds >= reach[:, None] - 1e-9).any(axis=0), [False]))
+                    whole, single, most = sums.copy(), hot.astype(self.dense.dtype), np.zeros(len(batch))
+                    for low, high in np.flatnonzero(needed[1:] != needed[:-1]).reshape(-1, 2) * BLOCK:
+                        part = (single @ self.dense[low:high].T) * self.spread[low:high]
+                        most = np.maximum(most, part.max(axis=1))
+                        whole[:, low:high] += part
+                    reach = self._reached(whole, k) - 2 * error * most
+                least = np.maximum(least, reach - 1e-11)
+                candidates = [np.flatnonzero(row[:self.n] >= low) for row, low in zip(whole, least, strict=True)]
+            else:
+                candidates = [np.flatnonzero(row[:self.n] >= 0) for row in sums]
+            out += [self._best(*row, k) for row in zip(sums, hot, candidates, strict=True)]
         return out
 
 
@@ -239,7 +313,7 @@ class ToxicityModel:
     curve: tuple[float, float]  # of the calibrated score over the vote
     without_terms: float
     neighbours: int = NEIGHBOURS
-    sent: tuple[Broadcast, Broadcast] | None = None  # the term numbers; the term weights and posting lists
+    sent: tuple[Broadcast, Broadcast] | None = None  # the terms' tables; the term weights and posting lists
 
     def maker(self) -> Callable[[], ToxicityModel]:
         return _maker(*self.sent, (self.class_weight, self.curve, self.without_terms, self.neighbours))
@@ -321,10 +395,10 @@ def chi_squared(a: np.ndarray, b: np.ndarray, n_toxic: int, n_other: int) -> np.
     return n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * float(n_toxic) * float(n_other), 1e-9)
 
 
-def corpus_frequencies(docs: DataFrame, at: Broadcast, n_terms: int) -> tuple[np.ndarray, int]:
+def corpus_frequencies(docs: DataFrame, tables: Broadcast, n_terms: int) -> tuple[np.ndarray, int]:
     """Documents of the corpus that hold each term, and their number."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(at.value)
+        vocabulary = Vocabulary.of(n_terms, tables.value)
         held = np.zeros(n_terms + 1, dtype=np.int64)  # the last counts documents
         for batch in in_parts(batches):
             held[:-1] += np.bincount(vocabulary.found(batch.column(1)).terms, minlength=n_terms)
@@ -338,17 +412,16 @@ def corpus_frequencies(docs: DataFrame, at: Broadcast, n_terms: int) -> tuple[np
     return found[:-1], int(found[-1])
 
 
-def _maker(at: Broadcast, lists: Broadcast, rest: tuple) -> Callable[[], ToxicityModel]:
+def _maker(tables: Broadcast, lists: Broadcast, rest: tuple) -> Callable[[], ToxicityModel]:
     """Makes a model in a task; a worker cuts the posting lists once."""
     def make() -> ToxicityModel:
         held = lists.value
         index = BlockMaxIndex.__new__(BlockMaxIndex)
         index.__dict__.update(held["index"])
-        if "cut" not in held:
+        if "dense" not in held["index"]:
             index.cut()
             held["index"] = dict(vars(index))
-            held["cut"] = True
-        return ToxicityModel(Vocabulary(at.value), held["weight"], index, *rest)
+        return ToxicityModel(Vocabulary.of(len(held["weight"]), tables.value), held["weight"], index, *rest)
 
     return make
 
@@ -368,13 +441,15 @@ def fit(docs: DataFrame, labels: DataFrame, bounds: dict[int, int] = EXAMPLES) -
     n = {r["toxic"]: r["n"] for r in single.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     counted = term_counts(single)
     a, b = (counted[c].to_numpy().astype(np.float64) for c in "ab")
-    at = {t: i for i, t in enumerate(counted["term"].to_pylist())}
-    sent = docs.sparkSession.sparkContext.broadcast(at)
-    frequency, n_docs = corpus_frequencies(docs, sent, len(at))
+    n_terms = counted.num_rows
+    vocabulary = Vocabulary.of(n_terms, term_tables(counted["term"].combine_chunks().cast(pa.string())))
+    del counted
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary.tables)
+    frequency, n_docs = corpus_frequencies(docs, sent, n_terms)
     term_weight = np.log(1 + n_docs / np.maximum(frequency, 1)) * (1 + np.sqrt(chi_squared(a, b, n.get(1, 0), n.get(0, 0))))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(sent.value)
+        vocabulary = Vocabulary.of(n_terms, sent.value)
         for batch in batches:
             held = vocabulary.found(batch.column(1))
             first = pa.array(held.first, pa.int32())
@@ -391,13 +466,17 @@ def fit(docs: DataFrame, labels: DataFrame, bounds: dict[int, int] = EXAMPLES) -
     del rows
     held = length > 0
     row = np.repeat((np.cumsum(held) - 1).astype(np.int32), length)
-    norm = np.sqrt(np.bincount(row, (value * term_weight[term]) ** 2, minlength=held.sum()))
-    index = BlockMaxIndex((row, term, value, len(at)), ids[held], toxic[held], 1 / norm)
+    norm = np.zeros(int(held.sum()))
+    for low in range(0, len(row), SLICE):  # the driver holds postings, not their weights
+        p = slice(low, low + SLICE)
+        norm += np.bincount(row[p], (value[p] * term_weight[term[p]]) ** 2, minlength=len(norm))
+    index = BlockMaxIndex((row, term, value, n_terms), ids[held], toxic[held], 1 / np.sqrt(norm))
+    del row, term, value
     weight = (stands_for[0], stands_for[1])
     bare = [weight[c] * int((~held & (toxic == c)).sum()) for c in (0, 1)]
     without = (bare[1] + 0.5 * n_toxic / (n_toxic + n_other)) / (bare[0] + bare[1] + 1)
     lists = docs.sparkSession.sparkContext.broadcast({"index": index.lists(), "weight": term_weight})
-    model = ToxicityModel(Vocabulary(at), term_weight, index, weight, (0.0, 0.0), without, sent=(sent, lists))
+    model = ToxicityModel(vocabulary, term_weight, index, weight, (0.0, 0.0), without, sent=(sent, lists))
     make = model.maker()
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Operators 2 and 4 against brute force and held-out accuracy."""
 
 import random
+import sys
 import zlib
 from collections import Counter
 
@@ -104,6 +105,24 @@ def test_counts_of_a_term_are_not_levelled():
     assert lists == [([0, 1], [8, 1]), ([], []), ([], []), ([], []), ([0, 1, 2], [1, 1, 1]), ([], [])]
 
 
+def test_words_are_looked_up_in_columns():
+    """No step of Python for a word, whatever the number of distinct words."""
+    words = [f"{a}{b}{c}{d}word{a}" for a in "abcdefg" for b in "abcdefg" for c in "abcdefg" for d in "abcdefg"]
+    vocabulary = tx.Vocabulary({b: i for i, b in enumerate(dict.fromkeys(b for w in words[::2] for b in tx.bases_of(w)))})
+    texts, steps = pa.array([" ".join(words), None, "aaaaw aaaaword"]), []
+    sys.setprofile(lambda _frame, event, _arg: steps.append(event))
+    try:
+        found = vocabulary.found(texts)
+    finally:
+        sys.setprofile(None)
+    assert len(steps) < len(words) / 2
+    want = Counter(vocabulary.at[b] for w in words for b in tx.bases_of(w) if b in vocabulary.at)
+    assert dict(zip(found.terms[found.of(0)].tolist(), found.counts[found.of(0)].tolist(), strict=True)) == want
+    want = Counter(vocabulary.at[b] for w in ("aaaaw", "aaaaword") for b in tx.bases_of(w) if b in vocabulary.at)
+    assert found.first[1] == found.first[2]
+    assert dict(zip(found.terms[found.of(2)].tolist(), found.counts[found.of(2)].tolist(), strict=True)) == want
+
+
 def test_rows_of_one_id_are_one_example(spark):
     docs = spark.createDataFrame([(0, f"bad words {i:04d}") for i in range(3000)] + [(i, f"fine text {i}") for i in range(1, 40)],
                                  "doc_id long, text string")
@@ -165,6 +184,26 @@ def test_block_max_search_is_exact():
         assert set(got[cosine > last + 1e-9]) == {i for i, c in zip(want, full[order], strict=True) if c > last + 1e-9}
 
 
+def test_the_search_is_exact_beyond_single_precision():
+    """Counts are multiplied in single precision first; cosines that differ less are told apart."""
+    rng = np.random.default_rng(9)
+    counts = (rng.random((900, 40)) < 0.5).astype(np.int64)
+    counts[:400] = counts[0]  # apart by their scale alone
+    scale = 1 / np.linalg.norm(counts, axis=1)
+    scale[:400] *= 1 - rng.permutation(400) * 1e-10
+    row, term = np.nonzero(counts)
+    index = tx.BlockMaxIndex((row, term, counts[row, term].astype(np.uint8), 40), np.arange(900), np.zeros(900, dtype=np.int64), scale)
+    index.cut()
+    assert index.dense.shape[1] == 40 and index.dense.dtype == np.float32
+    for q in (counts[0] * rng.random(40), rng.random(40)):
+        terms = np.flatnonzero(q)
+        at, cosine = index.nearest(tx.Found(np.array([0, len(terms)]), terms, q[terms] / np.linalg.norm(q)), 15)[0]
+        full = np.round((counts @ (q / np.linalg.norm(q))) * scale, 12)
+        order = np.lexsort((np.arange(900), -full))[:15]
+        assert np.allclose(cosine, full[order], atol=2e-12)
+        assert index.ids[at].tolist() == order.tolist()
+
+
 def brute_nearest(rows, k=20):
     ok = [(i, np.array(v, dtype=np.float64)) for i, v in rows if i is not None and v is not None and None not in v
           and len(v) == 8 and np.isfinite(np.array(v, dtype=float)).all() and any(v)]
