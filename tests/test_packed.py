@@ -71,6 +71,11 @@ def test_annotations_move_less_than_the_text(spark, stored):
     assert 0 < exchanged(tk.annotations_of_table(table, tuple(fx.TAGGERS))) < size
 
 
+def test_entity_groups_move_less_than_the_text(spark, stored):
+    size, table = stored
+    assert 0 < exchanged(tk.entity_groups_of_table(table)) < size / 2
+
+
 ROWS = [(1, 0, "a", "a ", "X"), (1, 0, "b", "b ", "X"), (1, 1, "c", "c ", "Y"), (None, 1, "e", "e", "X"), (None, 0, "d", "d ", "X"),
         (1, 1, "c", "c ", "Y"), (2, None, "n", "n", "X"), (2, 5, "g", "g ", None), (2, 9, "h", "h ", "X"), (2, 7, "f", "f ", "X"), (3, 0, "o", "o", "O")]
 
@@ -80,3 +85,6 @@ def test_keys_that_repeat_or_are_null(spark):
     got = {r.doc_id: (r.tokens, r.ner) for r in tk.annotations_of_table(table, ("ner",)).collect()}
     assert got == {1: (["a", "b", "c", "c"], ["X", "X", "Y", "Y"]), None: (["d", "e"], ["X", "X"]),
                    2: (["n", "g", "f", "h"], ["X", None, "X", "X"]), 3: (["o"], ["O"])}
+    for block in (1, 2, 8, 4096):
+        groups = sorted(tuple(r) for r in tk.entity_groups_of_table(table, block=block).select("doc_id", "group_idx", "text", "tag").collect())
+        assert groups == [(1, 0, "a b", "X"), (1, 1, "c c", "Y"), (2, 0, "f h", "X")]
