@@ -189,3 +189,47 @@ def test_a_build_moves_blocks_not_postings(spark, tmp_path, monkeypatch):
     assert "Generate" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
     blocks, postings = seen[0].count(), index.postings.count()
     assert blocks == index.blocks.count() == index.blocks.select("term", "range").distinct().count() < postings / 3
+
+
+def test_a_build_moves_no_text_unless_a_partition_holds_most(spark, tmp_path, monkeypatch):
+    seen, real = [], sg.SegmentIndex._with_segment
+
+    def watched(self, rows, *rest):
+        seen.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return real(self, rows, *rest)
+
+    monkeypatch.setattr(sg.SegmentIndex, "_with_segment", watched)
+    monkeypatch.setattr(sg, "DOCS_PER_TASK", 40)
+    spark.range(600).select(F.col("id").alias("doc_id"), F.expr("concat('w', id % 7, ' v', id % 13)").alias("text")) \
+        .repartition(20).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    for rows, moved in ((spark.range(600, numPartitions=20).join(F.broadcast(docs), F.col("id") == F.col("doc_id")).drop("id"), False),
+                        (docs.coalesce(1), True)):
+        index = sg.build_segments(rows, f"{tmp_path}/{moved}", unicode_form=None)
+        assert tables(index) == fresh(spark, docs)
+        assert ("Repartition" in seen[-1].split("MapInArrow", 1)[1].replace("Repartition 1, false", "")) == moved
+
+
+def test_deletions_are_sent_to_the_blocks(spark, tmp_path, monkeypatch):
+    """Beyond a broadcast of rows, ids alone are sent, and no block is moved."""
+    monkeypatch.setattr(sg, "fits_broadcast", lambda df, most=32 << 20: most > 32 << 20)
+    for kind, step in (("long", 1), ("long", 1_000_003), ("string", 1)):  # ids that lie close, lie apart, aren't numbers
+        one, two = (corpus(spark, 300, seed, first).withColumn("doc_id", (F.col("doc_id") * step).cast(kind)) for seed, first in ((6, 0), (7, 1000)))
+        both = one.unionByName(two)
+        gone = both.where("xxhash64(doc_id) % 3 = 0")
+        index = sg.build_segments(one, f"{tmp_path}/{kind}-{step}", parts=16, unicode_form=None).append(two).delete(gone)
+        assert tables(index) == fresh(spark, both.where("xxhash64(doc_id) % 3 <> 0"))
+        plan = index.postings._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "CoGroup" not in plan and "Repartition" not in plan and "Join" not in plan
+
+
+def test_a_build_leaves_no_shuffle_files(spark, tmp_path):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    docs = spark.createDataFrame([(i, f"w{i % 7} v{i % 13}") for i in range(300)], "doc_id long, text string")
+    before = files()
+    index = sg.build_segments(docs, f"{tmp_path}/index", unicode_form=None).delete(docs.where("doc_id % 2 = 0").select("doc_id"))
+    assert len(files() - before) <= 4 and index.n == 150  # of the two aggregates that are read by the driver
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
