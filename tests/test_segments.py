@@ -210,6 +210,19 @@ def test_a_build_moves_no_text_unless_a_partition_holds_most(spark, tmp_path, mo
         assert ("Repartition" in seen[-1].split("MapInArrow", 1)[1].replace("Repartition 1, false", "")) == moved
 
 
+def test_rows_of_an_id_are_in_one_range(spark, tmp_path, monkeypatch):
+    """Scores are added up within a range, so rows that repeat an id score as one document, wherever they lie."""
+    monkeypatch.setattr(sg, "RANGE_DOCS", 8)
+    docs = spark.createDataFrame([(None if i % 10 == 9 else i % 150, f"w{i % 7} v{i % 13}") for i in range(200)], "doc_id long, text string").repartition(5)
+    index = sg.build_segments(docs, f"{tmp_path}/index", unicode_form=None)
+    ids = index.exploded(index.blocks.where(F.col("part") == sg.DOCUMENTS_PART), "range").groupBy("doc_id")
+    assert ids.agg(F.count_distinct("range").alias("n")).where("n > 1").count() == 0 and index.n == 200
+    assert index.docs.where("doc_id IS NULL").count() == 20
+    want = docs.select("doc_id", F.explode(F.split("text", " ")).alias("term"))
+    got = index.postings.select("doc_id", "term")
+    assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+
+
 def test_deletions_are_sent_to_the_blocks(spark, tmp_path, monkeypatch):
     """Beyond a broadcast of rows, ids alone are sent, and no block is moved."""
     monkeypatch.setattr(sg, "fits_broadcast", lambda df, most=32 << 20: most > 32 << 20)
